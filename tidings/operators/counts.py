@@ -9,26 +9,27 @@ from pyspark.sql import functions as F
 def item_counts(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A1, A2, A3 in one pass: rows for each type and source, each type (source null), and all (both null).
 
-    ``level`` is 0, 1, 3 for these. With ``by`` (such as ``run_date``) the totals are per group.
+    ``level`` is 0, 1, 3 for these. With ``by`` (such as ``run_date``) the totals are per group. Rows are counted per
+    source first, so only those counts are expanded into the three levels.
     """
     by = by or []
+    per_source = items.groupBy(*by, "source_type", "source_name").agg(F.count("*").alias("n"))
     sets = [[*by, "source_type", "source_name"], [*by, "source_type"], by]
     columns = [F.col(c) for c in (*by, "source_type", "source_name")]
-    return items.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
-        F.grouping_id().cast("int").alias("level"), F.count("*").alias("items")
+    return per_source.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
+        F.grouping_id().cast("int").alias("level"), F.coalesce(F.sum("n"), F.lit(0)).alias("items")
     )
 
 
 def run_totals(sources: DataFrame, items: DataFrame) -> DataFrame:
     """A3: how many sources were configured, how many gave items, how many items came."""
-    configured = sources.agg(F.count("*").alias("sources"))
-    # Distinct sources by two plain counts: a distinct count would send each source's rows to one task.
-    came = (
-        items.groupBy("source_ord").agg(F.count("*").alias("n"))
-        .agg(F.count("*").alias("sources_with_items"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    configured = sources.select(one.alias("s"), zero.alias("h"), zero.alias("n"))
+    came = items.groupBy("source_ord").agg(F.count("*").alias("n")).select(zero.alias("s"), one.alias("h"), "n")
+    return configured.unionByName(came).agg(
+        *[F.coalesce(F.sum(c), zero).alias(name)
+          for c, name in (("s", "sources"), ("h", "sources_with_items"), ("n", "items"))]
     )
-    # Both sides are the single row of a whole-table aggregate.
-    return configured.join(came, F.lit(True))
 
 
 def stage_counts(entries: DataFrame, stages: dict[str, Column], by: tuple[str, ...] = ("source_type", "source_name")):

@@ -38,9 +38,9 @@ def standing() -> Column:
                     F.col("id").alias("i"), F.col("source_name").alias("n"))
 
 
-def primaries(items: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
-    """One row per group: its size and the ``keep`` columns of its primary item."""
-    chosen = F.min_by(F.struct(*keep), standing()).alias("p")
+def primaries(items: DataFrame, by: list[str], keep: list[str], place: Column | None = None) -> DataFrame:
+    """One row per group: its size and the ``keep`` columns of its primary item (the first by ``place``)."""
+    chosen = F.min_by(F.struct(*keep), standing() if place is None else place).alias("p")
     return items.groupBy(*by).agg(F.count("*").alias("items"), chosen).select(*by, "items", "p.*")
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidings.functions.text import preview, strip_tags
 from tidings.operators.callouts import RULES, callouts
 from tidings.operators.enrich import basis
-from tidings.operators.grouping import exact_key, primaries
+from tidings.operators.grouping import exact_key, primaries, standing
 from tidings.operators.ordered import PAGES_PER_BLOCK, joined_text
 from tidings.operators.themes import overview, themes
+from tidings.session import through_table
 
 TITLE = "## Unified Content Digest"
 OVERVIEW = "**Global Overview:**"
@@ -53,14 +54,16 @@ def _lines(df: DataFrame, part: Column | int, text: Column | str, position: Colu
 def digest_lines(items: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
     """Every line of every day's digest with its place. Equal titles give one bullet, linked to their primary source;
     a section without bullets is left out."""
-    keep = ["title", "url", "label", "content", "metadata", "source_ord", "page_no", "item_pos"]
-    found = callouts(items, rules, threshold).withColumn("group_key", exact_key())
-    chosen = primaries(found, ["run_date", "section", "group_key"], keep)
-    bullets = chosen.select(
-        "run_date", _section_no(F.col("section")).alias("part_no"), "source_ord",
+    keep = ["source_ord", "page_no", "item_pos", "line"]
+    called = callouts(items, rules, threshold).select(
+        "run_date", "section", exact_key().alias("group_key"), "source_ord",
         F.col("page_no").cast("long").alias("page_no"), F.col("item_pos").cast("int").alias("item_pos"),
-        bullet().alias("line"),
+        bullet().alias("line"), standing().alias("standing"),
     )
+    # Bullets and headings both read the callouts; the rules go over the texts only once.
+    found = through_table(called, "callouts")
+    chosen = primaries(found, ["run_date", "section", "group_key"], keep, F.col("standing"))
+    bullets = chosen.select("run_date", _section_no(F.col("section")).alias("part_no"), *keep)
     days = items.select("run_date").distinct()
     sections = found.select("run_date", "section").distinct()
     heading = F.coalesce(*[F.when(F.col("section") == s, F.lit(h)) for s, (_, h) in HEADINGS.items()])

@@ -19,7 +19,7 @@ def bind(
     """Each payload with its source's settings; the run's time is ``as_of``, or when the payload was fetched."""
     stamped = payloads.withColumn("as_of", F.col("fetched_at") if as_of is None else as_of)
     return stamped.drop("fetched_at").withColumn("run_date", run_day(F.col("as_of"), zone)).join(
-        broadcast_if(sources, source_bound), ["source_name", "source_type"]
+        broadcast_if(sources.withColumnRenamed("url", "source_url"), source_bound), ["source_name", "source_type"]
     )
 
 

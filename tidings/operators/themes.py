@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidings.functions.text import strip_tags, words
 from tidings.operators.enrich import basis
 from tidings.operators.ordered import top_per_group
+from tidings.session import broadcast_days
 
 THEMES = 10
 SENTENCES = 5
@@ -33,7 +34,7 @@ def themes(items: DataFrame, k: int = THEMES, by: str = "run_date") -> DataFrame
     """The ``k`` words of greatest ``tf * ln((1 + N) / (1 + df))`` per day, ties by word."""
     sizes = items.groupBy(by).agg(F.count("*").alias("n"))
     weight = F.round(F.col("tf") * F.log((1 + F.col("n")) / (1 + F.col("df"))), 6)
-    weighted = word_counts(items, by).join(sizes, by).withColumn("weight", weight).drop("n")
+    weighted = word_counts(items, by).join(broadcast_days(sizes, by), by).withColumn("weight", weight).drop("n")
     return top_per_group(
         weighted, [by], [F.col("weight").desc(), F.col("word")], k, k, ["word"], rank="rank"
     )
@@ -56,7 +57,7 @@ def overview(
         "w", F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at("weights", t), F.lit(0.0))
     )
     scored = (
-        sentences.join(weights, by).withColumn("score", F.round(total / F.size("w"), 6))
+        sentences.join(broadcast_days(weights, by), by).withColumn("score", F.round(total / F.size("w"), 6))
         .filter("score > 0").select(by, "sentence", "score").distinct()
     )
     order = [F.col("score").desc(), F.col("sentence")]

@@ -14,9 +14,10 @@ from tidings.operators.paging import pages_until_end
 from tidings.operators.recency import is_recent, since_cutoff
 from tidings.operators.resolve import bind, listing_paths, resolve_channels
 from tidings.operators.union import union_errors, union_items
+from tidings.session import broadcast_counted, through_table
 from tidings.sources.config import config_facts, split_sources
 from tidings.sources.feed import feed_errors, read_feeds
-from tidings.sources.listing import complete, explode_posts, listing_errors, read_listing, read_pages, readable
+from tidings.sources.listing import complete, explode_posts, listing_errors, read_pages
 from tidings.sources.page import read_articles
 from tidings.sources.video import read_videos, video_errors
 
@@ -82,9 +83,16 @@ def _feeds(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
 
 
 def _posts(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
-    """J5 picks the path; on the direct one L4b picks the pages; then cutoff and cap; then what nobody could read."""
-    chosen = listing_paths(bound, readable())
-    on_path = bound.join(chosen, ["run_date", "source_ord", "path"], "left_semi")
+    """J5 picks the path; on the direct one L4b picks the pages; then cutoff and cap; then what nobody could read.
+
+    Every page is decoded once, into a table; the choices read its narrow columns only.
+    """
+    pages = through_table(
+        read_pages(bound).withColumns({"readable": F.col("children").isNotNull(), "size": F.size("children")}), "pages"
+    )
+    chosen = through_table(listing_paths(pages, F.col("readable")), "paths")
+    keys = ["run_date", "source_ord", "path"]
+    on_path = pages.join(broadcast_counted(chosen.filter("path is not null")), keys, "left_semi")
 
     def recent(posts: DataFrame) -> DataFrame:
         created = F.timestamp_seconds(F.col("created").cast("long"))
@@ -94,22 +102,19 @@ def _posts(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
         return cap_per_source(fresh, max_cap)
 
     # The first max_results recent posts lie on the pages L4a keeps, so the client path needs no page rule.
-    client = post_items(recent(read_listing(on_path.filter("path = 'client'"))), "client", options.zone)
+    client = post_items(recent(explode_posts(on_path.filter("path = 'client'"))), "client", options.zone)
 
-    pages = read_pages(on_path.filter("path = 'direct'"))
-    sizes = pages.select(
-        "run_date", "source_ord", "page_no", "max_results", "after", F.size("children").alias("size")
-    )
-    read = pages_until_end(sizes, max_cap, keep_last_page=options.keep_last_page)
-    on_pages = pages.join(read.select("run_date", "source_ord", "page_no"), ["run_date", "source_ord", "page_no"],
-                          "left_semi")
+    direct_pages = on_path.filter("path = 'direct'")
+    sizes = direct_pages.select("run_date", "source_ord", "page_no", "max_results", "after", "size")
+    kept = pages_until_end(sizes, max_cap, keep_last_page=options.keep_last_page)
+    read = through_table(kept.select("run_date", "source_ord", "page_no"), "pages-read")
+    on_pages = direct_pages.join(broadcast_counted(read), ["run_date", "source_ord", "page_no"], "left_semi")
     direct = post_items(recent(explode_posts(on_pages)), "direct", options.zone)
 
+    lost = broadcast_counted(chosen.filter("path is null").select("run_date", "source_ord"))
     unread = (
-        bound.groupBy("run_date", "source_ord").agg(
-            *[F.min(c).alias(c) for c in ("source_name", "subreddit", "sort_by", "as_of")]
-        )
-        .join(chosen.filter("path is null").select("run_date", "source_ord"), ["run_date", "source_ord"], "left_semi")
+        pages.join(lost, ["run_date", "source_ord"], "left_semi").groupBy("run_date", "source_ord")
+        .agg(*[F.min(c).alias(c) for c in ("source_name", "subreddit", "sort_by", "as_of")])
         .withColumn("reason", F.lit("unreadable listing"))
     )
     return union_items(client, direct, placeholder_items(unread, options.zone))
@@ -120,6 +125,6 @@ def _videos(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
 
 
 def _articles(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
-    keep = ["source_name", "source_ord", "page_no", "run_date", "as_of", "url", "max_results", "selectors", "body"]
-    articles = read_articles(bound.select(*keep))
+    keep = ["source_name", "source_ord", "page_no", "run_date", "as_of", "max_results", "selectors", "body"]
+    articles = read_articles(bound.select(*keep, F.col("source_url").alias("url")))
     return article_items(cap_per_source(articles, max_cap), options.lenient_dates, options.resolve)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows a side may have before it is no longer broadcast (config-sized sides are a few hundred bytes a row).
 BROADCAST_ROWS = 100_000
@@ -17,6 +18,16 @@ def broadcast_if(df: DataFrame, row_bound: int | None) -> DataFrame:
     return F.broadcast(df) if row_bound is not None and row_bound <= BROADCAST_ROWS else df
 
 
+def broadcast_counted(table: DataFrame) -> DataFrame:
+    """Broadcast a table that is already written, if its row count allows; else the join is left to AQE."""
+    return broadcast_if(table, table.count())
+
+
+def broadcast_days(df: DataFrame, day: str) -> DataFrame:
+    """Broadcast a side with one small row per calendar day: dates bound its size. Other keys are left to AQE."""
+    return F.broadcast(df) if isinstance(df.schema[day].dataType, T.DateType) else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; a local session without one gets a scratch folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

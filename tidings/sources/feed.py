@@ -2,79 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions.dates import feed_date
 from tidings.schemas import ATOM, RSS
 
-# Bodies that are no feed, or that have no channel, become error rows; the job goes on.
+# Bodies that are no feed become error rows; the job goes on.
 XML = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 
+# The root element tells the dialect; it may stand behind a declaration, comments and a document type.
+ATOM_ROOT = r"(?s)^[\s\x{feff}]*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[\w.-]+:)?feed[\s>/]"
 
-def _columns(payloads: DataFrame, body: str) -> list[str]:
-    return [c for c in payloads.columns if c != body]
+
+def is_atom(body: str = "body") -> Column:
+    return F.coalesce(F.col(body).rlike(ATOM_ROOT), F.lit(False))
 
 
 def read_feeds(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """One row per entry, in feed order (``item_pos``). Reads both dialects."""
-    kept = _columns(payloads, body)
-    dialect = F.when(F.col(body).rlike(r"<(\w+:)?feed[\s>]"), "atom").otherwise("rss")
-    marked = payloads.withColumn("_dialect", dialect)
-    return _rss(marked.filter("_dialect = 'rss'"), kept, body).unionByName(
-        _atom(marked.filter("_dialect = 'atom'"), kept, body)
+    """One row per entry, in feed order (``item_pos``). Reads both dialects in one pass."""
+    kept = [c for c in payloads.columns if c != body]
+    atom = is_atom(body)
+    feeds = payloads.select(
+        *kept,
+        F.when(~atom, F.from_xml(F.col(body), RSS, XML)["channel"]).alias("rss"),
+        F.when(atom, F.from_xml(F.col(body), ATOM, XML)).alias("atom"),
+    )
+    rows = feeds.select(
+        *kept,
+        F.coalesce(F.col("rss.title"), F.col("atom.title")).alias("feed_title"),
+        F.coalesce(F.col("rss.description"), F.col("atom.subtitle")).alias("feed_description"),
+        F.posexplode(F.coalesce(F.transform("rss.item", _rss_entry), F.transform("atom.entry", _atom_entry))).alias(
+            "item_pos", "e"
+        ),
     )
+    entry = rows.select(*kept, "item_pos", "feed_title", "feed_description", "e.*")
+    return entry.withColumn("publish_date", feed_date(F.col("dated"))).drop("dated")
+
 
+def _entry(**fields: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-def _rss(payloads: DataFrame, kept: list[str], body: str) -> DataFrame:
-    feed = payloads.select(*kept, F.from_xml(F.col(body), RSS, XML)["channel"].alias("f"))
-    rows = feed.select(*kept, F.col("f.title").alias("feed_title"), F.col("f.description").alias("feed_description"),
-                       F.posexplode("f.item").alias("item_pos", "e"))
-    e = F.col("e")
+
+def _rss_entry(e: Column) -> Column:
     guid = e["guid"]["_VALUE"]
     is_link = F.coalesce(F.lower(e["guid"]["_isPermaLink"]), F.lit("true")) == "true"
-    return rows.select(
-        *kept, "item_pos", "feed_title", "feed_description",
-        guid.alias("uri"),
-        F.coalesce(e["link"], F.when(is_link, guid)).alias("link"),
-        e["title"].alias("title"),
-        e["description"].alias("description"),
-        e["encoded"].alias("encoded"),
-        feed_date(F.coalesce(e["pubDate"], e["date"])).alias("publish_date"),
-        F.coalesce(e["creator"], e["author"], F.lit("")).alias("author"),
-        F.coalesce(e["category"], F.array().cast("array<string>")).alias("categories"),
+    return _entry(
+        uri=guid,
+        link=F.coalesce(e["link"], F.when(is_link, guid)),
+        title=e["title"],
+        description=e["description"],
+        encoded=e["encoded"],
+        dated=F.coalesce(e["pubDate"], e["date"]),
+        author=F.coalesce(e["creator"], e["author"], F.lit("")),
+        categories=F.coalesce(e["category"], F.array().cast("array<string>")),
     )
 
 
-def _atom(payloads: DataFrame, kept: list[str], body: str) -> DataFrame:
-    feed = payloads.select(*kept, F.from_xml(F.col(body), ATOM, XML).alias("f"))
-    rows = feed.select(*kept, F.col("f.title").alias("feed_title"), F.col("f.subtitle").alias("feed_description"),
-                       F.posexplode("f.entry").alias("item_pos", "e"))
-    e = F.col("e")
+def _atom_entry(e: Column) -> Column:
     links = e["link"]
     alternate = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
-    link = F.coalesce(F.get(alternate, 0)["_href"], F.get(links, 0)["_href"])
-    names = F.transform(F.coalesce(e["category"], F.array().cast("array<struct<_term:string>>")), lambda c: c["_term"])
-    return rows.select(
-        *kept, "item_pos", "feed_title", "feed_description",
-        e["id"].alias("uri"),
-        link.alias("link"),
-        e["title"].alias("title"),
-        e["summary"].alias("description"),
-        e["content"].alias("encoded"),
-        feed_date(e["published"]).alias("publish_date"),
-        F.coalesce(F.get(e["author"], 0)["name"], F.lit("")).alias("author"),
-        names.alias("categories"),
+    categories = F.coalesce(e["category"], F.array().cast("array<struct<_term:string>>"))
+    return _entry(
+        uri=e["id"],
+        link=F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"]),
+        title=e["title"],
+        description=e["summary"],
+        encoded=e["content"],
+        dated=e["published"],
+        author=F.coalesce(F.get(e["author"], F.lit(0))["name"], F.lit("")),
+        categories=F.transform(categories, lambda c: c["_term"]),
     )
 
 
 def feed_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """An error row for each payload that is no feed."""
-    atom = F.col(body).rlike(r"<(\w+:)?feed[\s>]")
-    rss_title = F.from_xml(F.col(body), "channel struct<title:string>", XML)["channel"]
+    """An error row for each payload that is no feed, and for each entry without title or link."""
+    sha = F.sha2(F.col(body), 256).alias("body_sha")
+    rss_title = F.from_xml(F.col(body), "channel struct<title:string>", XML)["channel"]["title"]
     atom_title = F.from_xml(F.col(body), "title string", XML)["title"]
-    unreadable = (atom & atom_title.isNull()) | (~atom & rss_title.isNull())
-    return payloads.filter(F.col(body).isNull() | unreadable).select(
-        "source_name", F.lit("feed").alias("stage"), F.lit("unreadable feed").alias("reason"),
-        F.sha2(F.col(body), 256).alias("body_sha"),
+    title = F.when(is_atom(body), atom_title).otherwise(rss_title)
+    feeds = payloads.filter(F.col(body).isNull() | title.isNull()).select(
+        "source_name", F.lit("feed").alias("stage"), F.lit("unreadable feed").alias("reason"), sha
+    )
+    entries = read_feeds(payloads.select("source_name", sha, F.col(body).alias("_b")), "_b")
+    return feeds.unionByName(
+        entries.filter("feed_title is not null and (title is null or link is null)").select(
+            "source_name", F.lit("feed").alias("stage"),
+            F.concat(F.lit("entry without title or link: "), F.coalesce("uri", "link", F.lit("?"))).alias("reason"),
+            "body_sha",
+        )
     )
