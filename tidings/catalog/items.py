@@ -64,7 +64,8 @@ WHERE source_type IN ('rss', 'youtube')
 """)
 def f1_calendar_window(spark, sf_dir):
     items = A.event_items(spark, sf_dir).filter(kind().isin("rss", "youtube"))
-    inside = recency.in_calendar_days(date(), run_time(), F.col("time_range_days"))
+    most = max(A.DAYS_OF.values())
+    inside = recency.in_calendar_days(date(), run_time(), F.col("time_range_days"), most_days=most)
     return items.filter(inside).select("id", "source_name", A.ts_text(date()).alias("published"))
 
 
@@ -132,7 +133,7 @@ def l1_cap_large_table(spark, sf_dir):
 @query("l3_video_overfetch", f"""
 WITH {EVENTS}, newest AS (
   SELECT *, row_number() OVER (PARTITION BY source_ord ORDER BY ts DESC, event_id) AS seen
-  FROM ev WHERE source_type = 'youtube'
+  FROM (SELECT * REPLACE (ts - (source_ord % 5) * INTERVAL 1 DAY AS ts) FROM ev WHERE source_type = 'youtube')
 ), kept AS (
   SELECT *, row_number() OVER (PARTITION BY source_ord ORDER BY ts DESC, event_id) AS rn FROM newest
   WHERE seen <= greatest(2 * cap, 50)
@@ -141,7 +142,10 @@ WITH {EVENTS}, newest AS (
 SELECT source_name, id FROM kept WHERE rn <= cap
 """)
 def l3_video_overfetch(spark, sf_dir):
+    """Each source's clock is a number of days behind, so that their newest videos fall on both sides of the window."""
     items = A.event_items(spark, sf_dir, A.LATE_AS_OF).filter(kind() == "youtube")
+    behind = F.make_dt_interval(F.col("source_ord") % A.SOURCES_PER_TYPE)
+    items = items.withColumn("publish_date", date() - behind)
     return limits.recent_videos(items, A.MAX_CAP).select("source_name", "id")
 
 

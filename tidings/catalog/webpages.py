@@ -15,7 +15,8 @@ from tidings.sources.page import first_author, read_articles
 ARTICLE = {"articles": "article", "title": "h1", "content": "p", "date": "time"}
 LINKS = {"articles": "nav > ul > li", "title": "a", "content": "a[href]"}
 
-UNESCAPE = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+# A heading may be cut right before the semicolon.
+UNESCAPE = "regexp_replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
@@ -25,9 +26,7 @@ def text_sql(expr: str) -> str:
 
 
 def _read(spark, sf_dir, selectors, cap):
-    return read_articles(
-        A.page_payloads(spark, sf_dir, selectors, cap), partitions=spark.sparkContext.defaultParallelism
-    )
+    return read_articles(A.page_payloads(spark, sf_dir, selectors, cap))
 
 
 @query("s5_page_articles", f"""
@@ -87,5 +86,5 @@ def p12_author_places(spark, sf_dir):
     })
     pages = A.page_payloads(spark, sf_dir, ARTICLE, 10)
     marked = pages.withColumn("body", F.replace("body", F.lit("<h1>"), F.concat(places, F.lit("<h1>"))))
-    articles = read_articles(marked, partitions=spark.sparkContext.defaultParallelism)
+    articles = read_articles(marked)
     return articles.select(F.col("source_ord").alias("page_id"), first_author().alias("author"))

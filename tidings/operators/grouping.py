@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions.text import title_key
-from tidings.session import through_table
+from tidings.session import spread, through_table
 
 SHINGLE = 5
 BANDS = 16
@@ -79,7 +79,8 @@ def similar_links(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFr
     buckets, so the work grows with nodes times the few dissimilar leaders a bucket can have.
     """
     sets = through_table(keys.withColumn("sh", shingles(F.col("key"))).select("node", "sh"), "shingles")
-    rows = sets.select("node", F.posexplode(bands()).alias("band", "hash"))
+    # Hashing is the costly part and its input a small file, so every core gets a share.
+    rows = spread(sets).select("node", F.posexplode(bands()).alias("band", "hash"))
     pending = through_table(rows, "buckets")
     linked: list[DataFrame] = []
     while not pending.isEmpty():

@@ -10,17 +10,24 @@ from tidings.functions.dates import midnight, run_day
 SECONDS_PER_DAY = 86400
 
 
-def in_calendar_days(published: Column, as_of: Column, days: Column | int, zone: str = "UTC") -> Column:
-    """from the midnight ``days`` days back up to (not including) today's midnight; an unknown date is out."""
-    return F.coalesce(
-        (published >= midnight(as_of, days, zone)) & (published < midnight(as_of, 0, zone)), F.lit(False)
-    )
+def in_calendar_days(
+    published: Column, as_of: Column, days: Column | int, zone: str = "UTC", most_days: int | None = None
+) -> Column:
+    """from the midnight ``days`` days back up to (not including) today's midnight.
+
+    An unknown date gives null, which a filter drops. Both bounds are plain comparisons with the stored time, so with
+    constant ``days`` and ``as_of`` they reach the scan; where ``days`` differs by row, ``most_days`` adds a constant
+    bound that does.
+    """
+    inside = (published >= midnight(as_of, days, zone)) & (published < midnight(as_of, 0, zone))
+    return inside if most_days is None else inside & (published >= midnight(as_of, most_days, zone))
 
 
 def since_cutoff(published: Column, as_of: Column, days: Column | int) -> Column:
     """at most ``days`` times 24 hours before ``as_of`` in whole seconds, with no upper bound."""
     days = F.lit(days) if isinstance(days, int) else days
-    return F.unix_seconds(published) >= F.unix_seconds(as_of) - days.cast("long") * SECONDS_PER_DAY
+    # The cutoff is a whole second, so the stored time itself can be compared with it.
+    return published >= F.timestamp_seconds(F.unix_seconds(as_of) - days.cast("long") * SECONDS_PER_DAY)
 
 
 def is_recent(

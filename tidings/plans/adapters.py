@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidings.session import spread
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
 
@@ -27,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, which are costly per row: all cores get a share also of a single small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def as_of(text: str = AS_OF) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -238,7 +245,7 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = F.when(doc % 4 == 1, F.create_map(F.lit("score"), (doc % 100).cast("string"))).otherwise(
         F.create_map().cast("map<string,string>")
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         name.alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("content"),
@@ -273,7 +280,7 @@ def thread_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_payloads(spark: SparkSession, sf_dir: str, selectors: dict[str, str | None], max_results: int) -> DataFrame:
     """Each web page as a scraped source with the given selectors."""
     chosen = F.struct(*[F.lit(selectors.get(s)).cast("string").alias(s) for s in ("articles", "title", "content", "date")])
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         F.concat(F.lit("Site "), F.col("page_id").cast("string")).alias("source_name"),
         F.col("page_id").alias("source_ord"),
         F.lit(0).cast("long").alias("page_no"),

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidings.operators.callouts import RULES
 from tidings.operators.enrich import add_transcripts
 from tidings.operators.limits import cap_per_source, recent_videos
+from tidings.operators.model import call_model_once
 from tidings.operators.normalize import article_items, feed_items, placeholder_items, post_items, video_items
 from tidings.operators.paging import pages_until_end
+from tidings.operators.prompt import MAX_PROMPT_CHARS, batch_prompts
+from tidings.operators.publish import digests, index_entries, index_text, write_archive, write_digests
 from tidings.operators.recency import is_recent, since_cutoff
+from tidings.operators.render import digest_bodies, digest_lines
 from tidings.operators.resolve import bind, listing_paths, resolve_channels
 from tidings.operators.union import union_errors, union_items
 from tidings.session import broadcast_counted, through_table
@@ -24,8 +30,14 @@ from tidings.sources.video import read_videos, video_errors
 
 @dataclass(frozen=True)
 class Run:
+    """What a run gives. ``faults`` builds the error rows, which read the payloads once more."""
+
     items: DataFrame
-    errors: DataFrame
+    faults: Callable[[], DataFrame]
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.faults()
 
 
 @dataclass(frozen=True)
@@ -64,11 +76,55 @@ def collect_items(
         videos,
         _articles(by_type["scrape"], facts.max_cap, options),
     )
-    faults = [config_errors, feed_errors(by_type["rss"]), listing_errors(by_type["reddit"]),
-              video_errors(by_type["youtube"])]
-    if channel_errors is not None:
-        faults.append(channel_errors)
-    return Run(items, union_errors(*faults))
+
+    def faults() -> DataFrame:
+        found = [config_errors, feed_errors(by_type["rss"]), listing_errors(by_type["reddit"]),
+                 video_errors(by_type["youtube"])]
+        return union_errors(*found, *([] if channel_errors is None else [channel_errors]))
+
+    return Run(items, faults)
+
+
+@dataclass(frozen=True)
+class Published:
+    """Where a run's tables are; without a model there are no digests."""
+
+    archive: str
+    digests: str | None
+    index: str | None
+
+
+def publish_run(
+    items: DataFrame, output: str, prompt: Column | None = None, complete: Callable[[str], str | None] | None = None,
+    generated_at: Column | None = None, max_chars: int = MAX_PROMPT_CHARS, calls_at_once: int | None = None,
+) -> Published:
+    """M5: archive the items; then, unless ``complete`` is left out, have each run day summarized and published.
+
+    Everything after the archive reads the archive, so payloads are scanned once. A day without items is neither
+    archived nor summarized (F7). Previews (K4) of a run without a model come from the same archive.
+    """
+    spark = items.sparkSession
+    archive = f"{output.rstrip('/')}/archive"
+    items = through_table(items, "items")
+    write_archive(items, archive)
+    if complete is None:
+        return Published(archive, None, None)
+    if prompt is None or generated_at is None:
+        raise ValueError("a summarizing run needs a prompt and the time it is generated at")
+    digest_path, index_path = f"{output.rstrip('/')}/digests", f"{output.rstrip('/')}/index"
+    replies = call_model_once(batch_prompts(items, prompt, max_chars), "prompt", complete, "body", calls_at_once)
+    write_digests(digests(replies, generated_at), digest_path)
+    days = spark.read.parquet(digest_path).select("run_date").distinct()
+    index_text(index_entries(days.limit(0), days)).write.mode("overwrite").text(index_path)
+    return Published(archive, digest_path, index_path)
+
+
+def publish_without_model(items: DataFrame, output: str, generated_at: Column, rules=RULES) -> str:
+    """The digest the prompt asks for, made by rules instead of a model (R1-R9), in the digest table."""
+    items = through_table(items, "items")
+    path = f"{output.rstrip('/')}/digests"
+    write_digests(digests(digest_bodies(digest_lines(items, rules)), generated_at), path)
+    return path
 
 
 def _recent(entries: DataFrame, options: Options) -> DataFrame:

@@ -28,6 +28,12 @@ def broadcast_days(df: DataFrame, day: str) -> DataFrame:
     return F.broadcast(df) if isinstance(df.schema[day].dataType, T.DateType) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split an input that has fewer splits than there are cores (one small file); a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; a local session without one gets a scratch folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -19,11 +19,11 @@ FOUND = ("item_pos int, title string, content string, href string, date_text str
          + ", ".join(f"author_{i} string" for i in range(len(AUTHOR_SELECTORS))))
 
 
-def read_articles(pages: DataFrame, body: str = "body", partitions: int | None = None) -> DataFrame:
+def read_articles(pages: DataFrame, body: str = "body") -> DataFrame:
     """One row per article of every page, the first ``max_results`` of each page (L2 cuts before any filter).
 
     ``pages`` has the page text, a ``selectors`` struct, ``max_results``, and any columns to keep. Pages are parsed
-    where their file split lies; ``partitions`` spreads them only when there are fewer splits than that.
+    where their file split lies.
     """
     kept = [f for f in pages.schema.fields if f.name not in (body, "selectors")]
     source = pages.select(
@@ -31,8 +31,6 @@ def read_articles(pages: DataFrame, body: str = "body", partitions: int | None =
         F.col(body).alias("_html"),
         *[F.col(f"selectors.{s}").alias(f"_{s}") for s in ("articles", "title", "content", "date")],
     )
-    if partitions and source.rdd.getNumPartitions() < partitions:
-        source = source.repartition(partitions)
     schema = T.StructType(kept + T.StructType.fromDDL(FOUND).fields)
     names = [f.name for f in kept]
 
