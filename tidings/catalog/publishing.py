@@ -59,14 +59,14 @@ def k2_digest_table(spark, sf_dir):
     publish.write_digests(publish.digests(bodies, noon), path)
     again = bodies.filter("run_date = '2024-01-10'").withColumn("body", F.concat("body", F.lit(" again")))
     publish.write_digests(publish.digests(again, noon), path)
-    back = spark.read.parquet(path)
+    back = publish.read_digests(spark, path)
     return back.select(F.date_format("run_date", DAY).alias("run_date"), "body", "status")
 
 
 def _index(spark, sf_dir):
     days = A.table(spark, sf_dir, "orders", A.ORDERS).select(F.to_date("o_orderdate").alias("run_date"))
     existing = days.filter(F.dayofmonth("run_date") % 2 == 1).distinct()
-    return publish.index_entries(existing, days)
+    return publish.index_entries(days, existing)
 
 
 INDEX = """

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.functions.dates import zoned_text
 from tidings.operators.published import status_of
+from tidings.schemas import DIGEST
 
 DIGEST_TITLE = "# News Summary - "
 INDEX_TITLE = "# News Summaries"
@@ -53,10 +54,16 @@ def write_digests(rows: DataFrame, path: str) -> None:
     _replace_days(rows).parquet(path)
 
 
-def index_entries(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """K3, U4: the days of both, each once, with the line of its entry."""
-    fresh = new.select("run_date").distinct().join(existing.select("run_date"), "run_date", "left_anti")
-    days = existing.select("run_date").unionByName(fresh)
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DIGEST).parquet(path)
+
+
+def index_entries(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """K3, U4: the days of both, each once, with the line of its entry. The digest table alone is enough to make the
+    index anew."""
+    days = new.select("run_date").distinct()
+    if existing is not None:
+        days = existing.select("run_date").unionByName(days.join(existing, "run_date", "left_anti"))
     day = F.date_format("run_date", "yyyy-MM-dd")
     return days.select(
         "run_date",

@@ -15,15 +15,16 @@ from tidings.operators.model import call_model_once
 from tidings.operators.normalize import article_items, feed_items, placeholder_items, post_items, video_items
 from tidings.operators.paging import pages_until_end
 from tidings.operators.prompt import MAX_PROMPT_CHARS, batch_prompts
-from tidings.operators.publish import digests, index_entries, index_text, write_archive, write_digests
+from tidings.operators.publish import digests, index_entries, index_text, read_digests, write_archive, write_digests
 from tidings.operators.recency import is_recent, since_cutoff
 from tidings.operators.render import digest_bodies, digest_lines
 from tidings.operators.resolve import bind, listing_paths, resolve_channels
 from tidings.operators.union import union_errors, union_items
 from tidings.session import broadcast_counted, through_table
+from tidings.sources import feed, listing, video
 from tidings.sources.config import config_facts, split_sources
 from tidings.sources.feed import feed_errors, read_feeds
-from tidings.sources.listing import complete, explode_posts, listing_errors, read_pages
+from tidings.sources.listing import explode_posts, listing_errors, read_pages
 from tidings.sources.page import read_articles
 from tidings.sources.video import read_videos, video_errors
 
@@ -114,8 +115,8 @@ def publish_run(
     digest_path, index_path = f"{output.rstrip('/')}/digests", f"{output.rstrip('/')}/index"
     replies = call_model_once(batch_prompts(items, prompt, max_chars), "prompt", complete, "body", calls_at_once)
     write_digests(digests(replies, generated_at), digest_path)
-    days = spark.read.parquet(digest_path).select("run_date").distinct()
-    index_text(index_entries(days.limit(0), days)).write.mode("overwrite").text(index_path)
+    # The index is made from the digest table, so every published day is in it exactly once.
+    index_text(index_entries(read_digests(spark, digest_path))).write.mode("overwrite").text(index_path)
     return Published(archive, digest_path, index_path)
 
 
@@ -134,7 +135,8 @@ def _recent(entries: DataFrame, options: Options) -> DataFrame:
 
 
 def _feeds(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
-    entries = _recent(read_feeds(bound), options)
+    # Incomplete entries are error rows; they must not take up a place under the cap.
+    entries = _recent(read_feeds(bound).filter(feed.complete()), options)
     return feed_items(cap_per_source(entries, max_cap), options.zone)
 
 
@@ -152,7 +154,7 @@ def _posts(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
 
     def recent(posts: DataFrame) -> DataFrame:
         created = F.timestamp_seconds(F.col("created").cast("long"))
-        fresh = posts.filter(complete()).filter(
+        fresh = posts.filter(listing.complete()).filter(
             since_cutoff(created, F.col("as_of"), F.col("time_range_days"))
         )
         return cap_per_source(fresh, max_cap)
@@ -177,7 +179,7 @@ def _posts(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
 
 
 def _videos(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
-    return video_items(recent_videos(read_videos(bound), max_cap, zone=options.zone))
+    return video_items(recent_videos(read_videos(bound).filter(video.complete()), max_cap, zone=options.zone))
 
 
 def _articles(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:

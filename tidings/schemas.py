@@ -47,6 +47,8 @@ ARCHIVE = (
     "sourceName string, metadata map<string,string>"
 )
 
+DIGEST = "part long, generated_at timestamp, status string, body string, run_date date"
+
 ITEM_COLUMNS = (
     "id", "title", "content", "url", "publish_date", "publish_zone", "author", "source_type", "source_name",
     "metadata", "run_date", "as_of", "source_ord", "page_no", "item_pos",

@@ -75,6 +75,11 @@ def _atom_entry(e: Column) -> Column:
     )
 
 
+def complete() -> Column:
+    """Whether an entry has every field a record needs."""
+    return F.col("feed_title").isNotNull() & F.col("title").isNotNull() & F.col("link").isNotNull()
+
+
 def feed_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
     """An error row for each payload that is no feed, and for each entry without title or link."""
     sha = F.sha2(F.col(body), 256).alias("body_sha")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.schemas import LISTING
 
+# What a post must have to become an item.
 REQUIRED = ("id", "title", "author", "url", "created", "score", "num_comments", "over_18")
 
 
@@ -40,9 +43,7 @@ def read_listing(payloads: DataFrame, body: str = "body") -> DataFrame:
 
 def complete() -> Column:
     """Whether a post has every field a record needs; others go to the error rows, one by one."""
-    return F.lit(True) if not REQUIRED else ~F.exists(
-        F.array(*[F.col(c).isNull() for c in REQUIRED]), lambda missing: missing
-    )
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in REQUIRED])
 
 
 def listing_errors(payloads: DataFrame, body: str = "body") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions.dates import iso_zone, iso_zoned
 from tidings.schemas import SEARCH
 
+# What a search result must have to become an item.
+REQUIRED = ("video_id", "title", "description", "thumbnail_url")
+
 
 def read_videos(payloads: DataFrame, body: str = "body") -> DataFrame:
     """One row per search result, in result order (``item_pos``)."""
@@ -29,6 +34,11 @@ def read_videos(payloads: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def complete() -> Column:
+    """Whether a result has every field a record needs."""
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in REQUIRED])
+
+
 def video_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Error rows for unreadable searches and for results without the fields a record needs."""
     sha = F.sha2(F.col(body), 256).alias("body_sha")
@@ -38,7 +48,7 @@ def video_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
     )
     rows = read_videos(payloads.select("source_name", sha, F.col(body).alias("_b")), "_b")
     return pages.unionByName(
-        rows.filter("video_id is null or title is null or description is null or thumbnail_url is null").select(
+        rows.filter(~complete()).select(
             "source_name", F.lit("video").alias("stage"),
             F.concat(F.lit("video with missing fields: "), F.coalesce(F.col("video_id"), F.lit("?"))).alias("reason"),
             "body_sha",
