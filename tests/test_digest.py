@@ -115,6 +115,21 @@ def test_similarity_links_through_a_shared_leader_only(spark):
     assert {r["label"] for r in labels.collect()} == {"n00"}
 
 
+def test_template_titles_do_not_take_a_round_each(spark, monkeypatch):
+    """Titles that share buckets but are not similar: rounds grow with the logarithm of their number."""
+    rounds = []
+    original = grouping.through_table
+    monkeypatch.setattr(grouping, "through_table", lambda df, name: rounds.append(name) or original(df, name))
+    rnd = random.Random(11)
+    keys = {f"daily discussion thread {rnd.randrange(10**9):09d}" for _ in range(250)}
+    df = spark.createDataFrame([(f"n{i:04d}", k) for i, k in enumerate(sorted(keys))], "node string, key string")
+    keys = dict(df.collect())
+    for link in grouping.similar_links(df).collect():
+        a, b = ({k[i:i + 5] for i in range(len(k) - 4)} for k in (keys[link["node"]], keys[link["leader"]]))
+        assert len(a & b) / len(a | b) >= 0.7
+    assert rounds.count("buckets") <= 30
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"n{i + 1:03d}", f"n{i:03d}") for i in range(40)], "node string, leader string")
     nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(43)], "node string")

@@ -48,7 +48,8 @@ def _config_documents(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct("c_custkey", "entry"))).alias("rows")
     )
     listed = F.transform("rows", lambda r: r["entry"])
-    return documents.select("doc", F.to_json(F.struct(listed.alias("sources"))).alias("body"))
+    text = F.concat(F.to_json(F.struct(listed.alias("sources"))), F.lit("\n"))
+    return documents.select("doc", text.alias("body"))
 
 
 CONFIG_SQL = """

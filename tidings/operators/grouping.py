@@ -56,13 +56,15 @@ def shingles(key: Column) -> Column:
     return F.array_distinct(F.transform(whole, lambda s: F.xxhash64(s)))
 
 
-def bands() -> Column:
-    """Per band the hash of its minimum hashes over ``sh``."""
-    def smallest(seed: int) -> Column:
-        return F.array_min(F.transform("sh", lambda s: F.xxhash64(s, F.lit(seed))))
+def min_hash(seed: int) -> Column:
+    """The minimum hash of ``sh`` under one of any number of hash functions."""
+    return F.array_min(F.transform("sh", lambda s: F.xxhash64(s, F.lit(seed))))
+
 
+def bands() -> Column:
+    """Per band the hash of its minimum hashes."""
     return F.array(*[
-        F.xxhash64(*[smallest(band * ROWS_PER_BAND + row) for row in range(ROWS_PER_BAND)]) for band in range(BANDS)
+        F.xxhash64(*[min_hash(band * ROWS_PER_BAND + row) for row in range(ROWS_PER_BAND)]) for band in range(BANDS)
     ])
 
 
@@ -74,15 +76,18 @@ def similarity() -> Column:
 def similar_links(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """Links ``(node, leader)`` between keys of Jaccard distance up to ``max_distance`` that share a bucket.
 
-    In each round the smallest node of a bucket leads it and all others are compared with it alone; those that are
-    not similar go on to the next round among themselves. It ends when every node leads or is linked in each of its
-    buckets, so the work grows with nodes times the few dissimilar leaders a bucket can have.
+    In each round the smallest node of a bucket leads it and all others are compared with it alone. Those that are
+    not similar go on among themselves, in buckets split by one more hash function. Nodes that agree in less than the
+    wanted share stay together with a probability below that share, so a bucket of many unlike nodes (titles made from
+    one template, say) melts away geometrically and the comparisons grow with the nodes, not with their pairs. As with
+    every such hashing, a pair right at the limit may be missed; equal and nearly equal titles are not.
     """
     sets = through_table(keys.withColumn("sh", shingles(F.col("key"))).select("node", "sh"), "shingles")
     # Hashing is the costly part and its input a small file, so every core gets a share.
     rows = spread(sets).select("node", F.posexplode(bands()).alias("band", "hash"))
     pending = through_table(rows, "buckets")
     linked: list[DataFrame] = []
+    seed = BANDS * ROWS_PER_BAND
     while not pending.isEmpty():
         leaders = pending.groupBy("band", "hash").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
         members = pending.join(leaders.filter("n > 1").drop("n"), ["band", "hash"]).filter("node <> leader")
@@ -94,7 +99,9 @@ def similar_links(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFr
         )
         links = through_table(links, "links")
         linked.append(links)
-        pending = through_table(members.join(links, ["node", "leader"], "left_anti").drop("leader"), "buckets")
+        unlinked = members.join(links, ["node", "leader"], "left_anti").join(sets, "node")
+        split = F.xxhash64("hash", min_hash(seed + len(linked)))
+        pending = through_table(unlinked.select("node", "band", split.alias("hash")), "buckets")
     return reduce(DataFrame.unionByName, linked, rows.filter(F.lit(False)).select("node", F.col("node").alias("leader")))
 
 
