@@ -18,6 +18,7 @@ SHINGLE = 5
 BANDS = 16
 ROWS_PER_BAND = 4
 MAX_DISTANCE = 0.3
+LEVELS = 8
 
 
 def exact_key() -> Column:
@@ -73,36 +74,50 @@ def similarity() -> Column:
     return common / (F.size("sh") + F.size("lead_sh") - common)
 
 
+def split_path(seed: int) -> Column:
+    """The buckets a node of bucket ``hash`` goes on to: each takes one more hash function into its key."""
+    path, last = [], F.col("hash")
+    for level in range(LEVELS):
+        last = F.xxhash64(last, min_hash(seed + level))
+        path.append(last)
+    return F.array(*path)
+
+
 def similar_links(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """Links ``(node, leader)`` between keys of Jaccard distance up to ``max_distance`` that share a bucket.
 
-    In each round the smallest node of a bucket leads it and all others are compared with it alone. Those that are
-    not similar go on among themselves, in buckets split by one more hash function. Nodes that agree in less than the
-    wanted share stay together with a probability below that share, so a bucket of many unlike nodes (titles made from
-    one template, say) melts away geometrically and the comparisons grow with the nodes, not with their pairs. As with
-    every such hashing, a pair right at the limit may be missed; equal and nearly equal titles are not.
+    The smallest node of a bucket leads it and all others are compared with it alone. Those that are not similar go on
+    among themselves, in buckets split by further hash functions, several splits in one round. Nodes that agree in
+    less than the wanted share stay together with a probability below that share, so a bucket of many unlike nodes
+    (titles made from one template, say) melts away geometrically and the comparisons grow with the nodes, not with
+    their pairs. As with every such hashing, a pair right at the limit may be missed; equal and nearly equal titles
+    are not.
     """
     sets = through_table(keys.withColumn("sh", shingles(F.col("key"))).select("node", "sh"), "shingles")
+    lead_sets = sets.select(F.col("node").alias("leader"), F.col("sh").alias("lead_sh"))
     # Hashing is the costly part and its input a small file, so every core gets a share.
-    rows = spread(sets).select("node", F.posexplode(bands()).alias("band", "hash"))
-    pending = through_table(rows, "buckets")
+    pending = spread(sets).select("node", F.posexplode(bands()).alias("band", "hash")).withColumn("path", F.array("hash"))
+    depth, seed = 1, BANDS * ROWS_PER_BAND
     linked: list[DataFrame] = []
-    seed = BANDS * ROWS_PER_BAND
-    while not pending.isEmpty():
-        leaders = pending.groupBy("band", "hash").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
-        members = pending.join(leaders.filter("n > 1").drop("n"), ["band", "hash"]).filter("node <> leader")
+    while True:
+        buckets = through_table(pending.select("node", "band", F.posexplode("path").alias("level", "hash")), "buckets")
+        bucket = ["band", "level", "hash"]
+        leaders = buckets.groupBy(*bucket).agg(F.min("node").alias("leader"), F.count("*").alias("n"))
+        members = buckets.join(leaders.filter("n > 1").drop("n"), bucket).filter("node <> leader")
         members = through_table(members, "members")
-        lead_sets = sets.select(F.col("node").alias("leader"), F.col("sh").alias("lead_sh"))
+        if members.isEmpty():
+            break
         links = (
             members.select("node", "leader").distinct().join(sets, "node").join(lead_sets, "leader")
             .filter(similarity() >= 1 - max_distance).select("node", "leader")
         )
         links = through_table(links, "links")
         linked.append(links)
-        unlinked = members.join(links, ["node", "leader"], "left_anti").join(sets, "node")
-        split = F.xxhash64("hash", min_hash(seed + len(linked)))
-        pending = through_table(unlinked.select("node", "band", split.alias("hash")), "buckets")
-    return reduce(DataFrame.unionByName, linked, rows.filter(F.lit(False)).select("node", F.col("node").alias("leader")))
+        settled = members.join(links, ["node", "leader"], "left_semi").select("node", "band").distinct()
+        unlinked = members.filter(F.col("level") == depth - 1).join(settled, ["node", "band"], "left_anti")
+        pending = unlinked.join(sets, "node").select("node", "band", split_path(seed).alias("path"))
+        depth, seed = LEVELS, seed + LEVELS
+    return reduce(DataFrame.unionByName, linked, members.select("node", "leader").limit(0))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
