@@ -13,6 +13,7 @@ from tidings.operators.model import call_model_once, transcribe
 from tidings.operators.ordered import top_per_group
 from tidings.operators.union import dispatch, union_items
 from tidings.plans import adapters as A
+from tidings.session import through_table
 from tidings.sources.listing import read_pages
 
 
@@ -176,7 +177,8 @@ WITH {EVENTS}, {PAGES}, counted AS (
 SELECT source_name, page_no, CAST(valid AS BIGINT) AS valid, CAST(seen AS BIGINT) AS seen FROM counted WHERE seen < cap
 """)
 def l4a_pages_until_enough(spark, sf_dir):
-    kept = paging.pages_until_enough(_listing_pages(spark, sf_dir))
+    """The narrow page rows are read twice, the payloads behind them once."""
+    kept = paging.pages_until_enough(through_table(_listing_pages(spark, sf_dir), "page-sizes"))
     return kept.select("source_name", "page_no", F.col("valid").cast("long").alias("valid"), "seen")
 
 

@@ -13,10 +13,11 @@ from html.parser import HTMLParser
 # Fixed values of HTML: elements without content, elements that set text apart, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
-    "h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body br caption center dd del details div dl dt fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 header hgroup hr html ins li main menu nav noscript ol p pre section summary table tbody td "
+    "tfoot th thead tr ul".split()
 )
-ENDS_PARAGRAPH = BLOCK - {"body", "html", "br", "td", "th", "tr", "tbody", "thead", "tfoot"}
+ENDS_PARAGRAPH = BLOCK - set("body html br caption del ins noscript td th tr tbody thead tfoot".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
           "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOTS = 32
-PAGES_PER_BLOCK = 4096
+PAGES_PER_BLOCK = 1024
 
 
 def top_per_group(

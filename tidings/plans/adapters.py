@@ -39,7 +39,8 @@ def as_of(text: str = AS_OF) -> Column:
 
 
 def by_value(key: Column, values: dict) -> Column:
-    return F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in values.items()])
+    """The value for each key, null for others: one small constant map, however often the column is used again."""
+    return F.try_element_at(F.create_map(*[F.lit(part) for pair in values.items() for part in pair]), key)
 
 
 def ts_text(instant: Column) -> Column:

@@ -20,7 +20,7 @@ from tidings.operators.recency import is_recent, since_cutoff
 from tidings.operators.render import digest_bodies, digest_lines
 from tidings.operators.resolve import bind, listing_paths, resolve_channels
 from tidings.operators.union import union_errors, union_items
-from tidings.session import broadcast_counted, through_table
+from tidings.session import broadcast_counted, broadcast_if, through_table
 from tidings.sources import feed, listing, video
 from tidings.sources.config import config_facts, split_sources
 from tidings.sources.feed import feed_errors, read_feeds
@@ -66,7 +66,9 @@ def collect_items(
     channel_errors = None
     if candidates is not None:
         resolved, channel_errors = resolve_channels(valid, candidates)
-        by_type["youtube"] = by_type["youtube"].join(resolved.select("source_ord"), "source_ord", "left_semi")
+        # At most one row per source.
+        known = broadcast_if(resolved.select("source_ord"), facts.sources)
+        by_type["youtube"] = by_type["youtube"].join(known, "source_ord", "left_semi")
 
     videos = _videos(by_type["youtube"], facts.max_cap, options)
     if transcripts is not None:
