@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidings.functions import html
@@ -45,6 +47,21 @@ def test_unclosed_and_stray_tags():
     assert [p.text() for p in html.select(root, "div > p")] == ["a", "b"]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(
+    ["<", ">", "<!", "<![", "<![CDATA[", "]]>", "<!--", "-->", "</", "/>", "<p", "<p>", "</p>", "<div a='", "'", '"', "=", "&", "&#", "&#x1;",
+     "&#1114112;", "&amp", ";", "<script>", "</script", "<?", "<!DOCTYPE", "text", " ", "\n", "<li>", "</ul>", "<a href=x>", "</a>", "\x00", "[if"]),
+    max_size=25))
+def test_any_markup_can_be_read(parts):
+    root = html.parse("".join(parts))
+    assert isinstance(root.text(), str)
+    html.select(root, "p, div > a[href]")
+
+
+def test_cdata_is_text():
+    assert html.parse("<p>a<![CDATA[b < c]]>d<![if x]>e</p>").text() == "ab < cde"
+
+
 @pytest.fixture(scope="module")
 def articles(spark):
     pages = spark.createDataFrame(

@@ -224,6 +224,28 @@ def test_errors_of_a_run(run):
     ], key=repr)
 
 
+def test_sources_of_which_nothing_landed(spark, sources):
+    some = landed(spark).filter("source_name not in ('Forum', 'Site')")
+    run = collect_items(some, sources, as_of())
+    assert rows(run.items.filter("author = 'system'"), "source_name", metadata_text(F.col("metadata"))) == [
+        ("Forum", "{subreddit=forum, error=API access failed: no payload landed}"),
+        ("Gone", "{subreddit=gone, error=API access failed: unreadable listing}")]
+    assert rows(run.errors.filter("stage = 'landing'"), "source_name") == [("Forum",), ("Site",)]
+    backfill = collect_items(some, sources)
+    assert rows(backfill.items.filter("author = 'system'"), "source_name") == [("Gone",)]
+
+
+def test_backfill_equals_its_days(spark, sources):
+    """Payloads fetched on two days, without a run time: each day as if it was run alone."""
+    one = landed(spark)
+    two = one.withColumn("fetched_at", F.expr("fetched_at - interval 1 day"))
+    both = collect_items(one.unionByName(two), sources).items
+    days = [collect_items(day, sources).items for day in (one, two)]
+    assert rows(both, "run_date", "source_name", "id", "title") == sorted(
+        rows(days[0], "run_date", "source_name", "id", "title") + rows(days[1], "run_date", "source_name", "id", "title"), key=repr)
+    assert both.select("run_date").distinct().count() == 2
+
+
 def test_original_page_rule_loses_the_last_page(spark, sources):
     run = collect_items(landed(spark), sources, as_of(), options=Options(keep_last_page=False))
     assert rows(run.items.filter("source_name = 'Direct'"), "title") == [("t6",)]

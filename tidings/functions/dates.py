@@ -81,7 +81,8 @@ def midnight(as_of: Column, days_back: Column | int, zone: str = "UTC") -> Colum
     days = F.lit(days_back) if isinstance(days_back, int) else days_back
     if zone == "UTC":
         # Days without clock changes are seconds, which cost nothing per row; a constant midnight is computed once.
-        return F.timestamp_seconds(F.unix_seconds(F.date_trunc("day", as_of)) - days.cast("long") * 86400)
+        second = F.unix_seconds(as_of)
+        return F.timestamp_seconds(second - F.pmod(second, F.lit(86400)) - days.cast("long") * 86400)
     day = F.date_sub(F.to_date(F.from_utc_timestamp(as_of, zone)), days)
     return F.to_utc_timestamp(day.cast("timestamp"), zone)
 

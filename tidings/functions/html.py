@@ -87,6 +87,14 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag):
         self._close({tag}, () if tag not in ("p", "li", "b", "i", "a", "span") else BARRIER)
 
+    def parse_marked_section(self, i, report=1):
+        # Marked sections of web pages are text if they are CDATA and comments otherwise, never an error.
+        if not self.rawdata.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i)
+        end = self.rawdata.find("]]>", i)
+        self.handle_data(self.rawdata[i + 9 : end if end >= 0 else None])
+        return end + 3 if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data):
         self.top.children.append(data)
 

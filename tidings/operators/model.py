@@ -24,12 +24,13 @@ def call_model(
     requests: DataFrame, prompt: str, complete: Callable[[str], str | None], reply: str = "reply",
     partitions: int | None = None,
 ) -> DataFrame:
-    """One call per row, in parallel by partition; adds ``reply``, ``status`` and ``error``. A failing call is a row
-    with status ``failed`` whose reply says so; it never fails the job. ``partitions`` sets how many calls run at once.
+    """One call per row; adds ``reply``, ``status`` and ``error``. A failing call is a row with status ``failed`` whose
+    reply says so; it never fails the job. Calls are slow and requests few, so these are dealt out to ``partitions``
+    tasks (all cores by default) instead of staying in the few partitions their size asks for.
     """
+    partitions = partitions or requests.sparkSession.sparkContext.defaultParallelism
     kept = [f for f in requests.schema.fields if f.name != prompt]
     schema = T.StructType(kept + T.StructType.fromDDL(f"{reply} string, status string, error string").fields)
-    spread = requests.repartition(partitions, *[f.name for f in kept]) if partitions else requests
 
     def ask(text: str) -> tuple[str, str, str | None]:
         try:
@@ -51,7 +52,7 @@ def call_model(
                 }
             )[schema.names]
 
-    return spread.mapInPandas(run, schema)
+    return requests.repartition(partitions).mapInPandas(run, schema)
 
 
 def call_model_once(requests: DataFrame, prompt: str, complete, reply: str = "reply", partitions: int | None = None):

@@ -67,7 +67,8 @@ def digest_lines(items: DataFrame, rules=RULES, threshold: float = 1.0) -> DataF
     days = items.select("run_date").distinct()
     sections = found.select("run_date", "section").distinct()
     heading = F.coalesce(*[F.when(F.col("section") == s, F.lit(h)) for s, (_, h) in HEADINGS.items()])
-    said = overview(items, themes(items))
+    # A few sentences a day, wanted in several places.
+    said = through_table(overview(items, themes(items)), "overview")
     parts = [
         _lines(days, 0, TITLE),
         _lines(days, 0, "", 0),

@@ -50,9 +50,12 @@ def overview(
     """
     # At most k entries a day by construction, whatever the size of the input.
     weights = marked.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))
-    cut = items.select(by, F.explode(F.split(theme_text(), SENTENCE_END)).alias("_raw"))
-    sentences = cut.select(by, F.trim(F.regexp_replace("_raw", r"\s+", " ")).alias("sentence"))
-    sentences = sentences.withColumn("w", words(F.col("sentence"))).filter(F.size("w") >= least_words)
+    # Words are taken while the text is cut: as a later column they would be taken again by the filter.
+    cut = F.transform(
+        F.split(theme_text(), SENTENCE_END),
+        lambda s: F.struct(F.trim(F.regexp_replace(s, r"\s+", " ")).alias("sentence"), words(s).alias("w")),
+    )
+    sentences = items.select(by, F.inline(cut)).filter(F.size("w") >= least_words)
     total = F.aggregate(
         "w", F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at("weights", t), F.lit(0.0))
     )

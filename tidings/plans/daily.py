@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidings.functions.dates import run_day
 from tidings.operators.callouts import RULES
 from tidings.operators.enrich import add_transcripts
 from tidings.operators.limits import cap_per_source, recent_videos
@@ -75,13 +76,14 @@ def collect_items(
         videos = add_transcripts(videos, transcripts)
     items = union_items(
         _feeds(by_type["rss"], facts.max_cap, options),
-        _posts(by_type["reddit"], facts.max_cap, options),
+        _posts(by_type["reddit"], facts.max_cap, options, _expected(valid, as_of, options)),
         videos,
         _articles(by_type["scrape"], facts.max_cap, options),
     )
 
     def faults() -> DataFrame:
-        found = [config_errors, feed_errors(by_type["rss"]), listing_errors(by_type["reddit"]),
+        found = [] if as_of is None else [_not_landed(valid, payloads)]
+        found += [config_errors, feed_errors(by_type["rss"]), listing_errors(by_type["reddit"]),
                  video_errors(by_type["youtube"])]
         return union_errors(*found, *([] if channel_errors is None else [channel_errors]))
 
@@ -142,7 +144,25 @@ def _feeds(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
     return feed_items(cap_per_source(entries, max_cap), options.zone)
 
 
-def _posts(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
+def _expected(sources: DataFrame, as_of: Column | None, options: Options) -> DataFrame | None:
+    """The listing sources a run at one time must have heard of; a backfill knows only what has landed."""
+    if as_of is None:
+        return None
+    listings = sources.filter("source_type = 'reddit'")
+    return listings.withColumn("as_of", as_of).withColumn("run_date", run_day(F.col("as_of"), options.zone))
+
+
+def _not_landed(sources: DataFrame, payloads: DataFrame) -> DataFrame:
+    """An error row for each source that must be fetched and of which nothing has landed."""
+    landed = payloads.select("source_name", "source_type").distinct()
+    missing = sources.filter(F.col("source_type") != "youtube").join(landed, ["source_name", "source_type"], "left_anti")
+    return missing.select(
+        "source_name", F.lit("landing").alias("stage"), F.lit("no payload landed").alias("reason"),
+        F.lit(None).cast("string").alias("body_sha"),
+    )
+
+
+def _posts(bound: DataFrame, max_cap: int, options: Options, expected: DataFrame | None) -> DataFrame:
     """J5 picks the path; on the direct one L4b picks the pages; then cutoff and cap; then what nobody could read.
 
     Every page is decoded once, into a table; the choices read its narrow columns only.
@@ -171,11 +191,13 @@ def _posts(bound: DataFrame, max_cap: int, options: Options) -> DataFrame:
     on_pages = direct_pages.join(broadcast_counted(read), ["run_date", "source_ord", "page_no"], "left_semi")
     direct = post_items(recent(explode_posts(on_pages)), "direct", options.zone)
 
-    lost = broadcast_counted(chosen.filter("path is null").select("run_date", "source_ord"))
-    unread = (
-        pages.join(lost, ["run_date", "source_ord"], "left_semi").groupBy("run_date", "source_ord")
-        .agg(*[F.min(c).alias(c) for c in ("source_name", "subreddit", "sort_by", "as_of")])
-        .withColumn("reason", F.lit("unreadable listing"))
+    about = ["source_name", "subreddit", "sort_by", "as_of"]
+    if expected is None:
+        expected = pages.groupBy("run_date", "source_ord").agg(*[F.min(c).alias(c) for c in about])
+    tried = chosen.withColumn("landed", F.lit(True))
+    unread = expected.join(tried, ["run_date", "source_ord"], "left").filter("path is null").select(
+        "run_date", "source_ord", *about,
+        F.when(F.col("landed"), "unreadable listing").otherwise("no payload landed").alias("reason"),
     )
     return union_items(client, direct, placeholder_items(unread, options.zone))
 

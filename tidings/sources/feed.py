@@ -36,8 +36,7 @@ def read_feeds(payloads: DataFrame, body: str = "body") -> DataFrame:
             "item_pos", "e"
         ),
     )
-    entry = rows.select(*kept, "item_pos", "feed_title", "feed_description", "e.*")
-    return entry.withColumn("publish_date", feed_date(F.col("dated"))).drop("dated")
+    return rows.select(*kept, "item_pos", "feed_title", "feed_description", "e.*")
 
 
 def _entry(**fields: Column) -> Column:
@@ -53,7 +52,8 @@ def _rss_entry(e: Column) -> Column:
         title=e["title"],
         description=e["description"],
         encoded=e["encoded"],
-        dated=F.coalesce(e["pubDate"], e["date"]),
+        # Parsed as part of the entry, so that a filter on the date does not parse it again.
+        publish_date=feed_date(F.coalesce(e["pubDate"], e["date"])),
         author=F.coalesce(e["creator"], e["author"], F.lit("")),
         categories=F.coalesce(e["category"], F.array().cast("array<string>")),
     )
@@ -69,7 +69,7 @@ def _atom_entry(e: Column) -> Column:
         title=e["title"],
         description=e["summary"],
         encoded=e["content"],
-        dated=e["published"],
+        publish_date=feed_date(e["published"]),
         author=F.coalesce(F.get(e["author"], F.lit(0))["name"], F.lit("")),
         categories=F.transform(categories, lambda c: c["_term"]),
     )
