@@ -246,6 +246,16 @@ def test_backfill_equals_its_days(spark, sources):
     assert both.select("run_date").distinct().count() == 2
 
 
+def test_each_branch_reads_only_its_payloads(spark, sources, tmp_path):
+    """Payloads landed by type: a branch prunes the others, and bodies are not shuffled to meet their sources."""
+    landed(spark).write.partitionBy("source_type").parquet(str(tmp_path / "landed"))
+    stored = spark.read.parquet(str(tmp_path / "landed"))
+    bound = resolve.bind(stored, split_sources(sources)[0], as_of(), config_facts(sources).sources)
+    plan = bound.filter("source_type = 'rss'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source_type" in plan and "= rss)" in plan.split("PartitionFilters")[1]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_original_page_rule_loses_the_last_page(spark, sources):
     run = collect_items(landed(spark), sources, as_of(), options=Options(keep_last_page=False))
     assert rows(run.items.filter("source_name = 'Direct'"), "title") == [("t6",)]

@@ -5,7 +5,11 @@ import json
 from pyspark.sql import functions as F
 
 from tidings.operators.limits import cap_per_source
-from tidings.session import new_table_path, shared_dir
+from tidings.plans import adapters as A
+from tidings.session import new_table_path, shared_dir, through_table
+from tidings.sources.feed import read_feeds
+from tidings.sources.listing import read_listing
+from tidings.sources.video import read_videos
 from tidings.streaming.ingest import (
     daily_counts, drop_refetched, for_each_batch, landed_stream, read_run, run_available,
 )
@@ -73,6 +77,26 @@ def test_caps_run_on_each_batch(spark, tmp_path):
     assert rows(spark.read.parquet(out), "id") == [("a0",), ("a1",), ("a2",), ("a3",)]
 
 
+def test_scans_of_a_stream_equal_those_of_a_table(spark, sf_dir, tmp_path):
+    """Feeds, listings and videos as they land, in two deliveries, give the entries of the batch scan."""
+    events = A.events(spark, sf_dir)
+    cases = {
+        "rss": (A.feed_payloads, read_feeds, ("source_name", "page_no", "item_pos", "uri", "link", "publish_date")),
+        "reddit": (A.listing_payloads, read_listing, ("source_name", "page_no", "item_pos", "id", "score")),
+        "youtube": (A.search_payloads, read_videos, ("source_name", "page_no", "item_pos", "video_id", "publish_date")),
+    }
+    for kind, (build, scan, columns) in cases.items():
+        payloads = build(events.filter(F.col("source_type") == kind))
+        folder, out, progress = (str(tmp_path / f"{kind}-{n}") for n in ("in", "out", "progress"))
+        for late in (0, 1):
+            payloads.filter(F.col("page_no") % 2 == late).write.mode("append").json(folder)
+            stream = scan(landed_stream(spark, folder, "source_name string, page_no long, body string")).select(*columns)
+            run_available(stream, kind, out, progress)
+        assert rows(read_run(spark, out, stream)) == rows(scan(payloads).select(*columns))
+
+
 def test_scratch_tables_lie_in_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == named and new_table_path(spark, "x").startswith(named)
+    table = through_table(spark.range(3), "three")
+    assert table.count() == 3 and any("three-" in f for f in table.inputFiles())

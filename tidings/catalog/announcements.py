@@ -160,7 +160,7 @@ SELECT strftime(run_date, '%Y-%m-%d') AS run_date,
   CAST(CASE section WHEN 'product' THEN 3 WHEN 'research' THEN 4 ELSE 5 END AS BIGINT) AS part_no, line FROM bullets
 """)
 def r9_digest_bullets(spark, sf_dir):
-    lines = render.digest_lines(A.document_items(spark, sf_dir), RULES).filter("source_ord >= 0")
+    lines = render.callout_lines(A.document_items(spark, sf_dir), RULES).filter("source_ord >= 0")
     return lines.select(
         F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), F.col("part_no").cast("long").alias("part_no"), "line"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,9 @@ def _lines(df: DataFrame, part: Column | int, text: Column | str, position: Colu
     )
 
 
-def digest_lines(items: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
-    """Every line of every day's digest with its place. Equal titles give one bullet, linked to their primary source;
-    a section without bullets is left out."""
+def callout_lines(items: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
+    """Headings and bullets. Equal titles give one bullet, linked to their primary source; a section without bullets is
+    left out."""
     keep = ["source_ord", "page_no", "item_pos", "line"]
     called = callouts(items, rules, threshold).select(
         "run_date", "section", exact_key().alias("group_key"), "source_ord",
@@ -64,24 +66,38 @@ def digest_lines(items: DataFrame, rules=RULES, threshold: float = 1.0) -> DataF
     found = through_table(called, "callouts")
     chosen = primaries(found, ["run_date", "section", "group_key"], keep, F.col("standing"))
     bullets = chosen.select("run_date", _section_no(F.col("section")).alias("part_no"), *keep)
-    days = items.select("run_date").distinct()
     sections = found.select("run_date", "section").distinct()
     heading = F.coalesce(*[F.when(F.col("section") == s, F.lit(h)) for s, (_, h) in HEADINGS.items()])
-    # A few sentences a day, wanted in several places.
+    days = sections.select("run_date").distinct()
+    return _all(
+        bullets,
+        _lines(days, 2, ""),
+        _lines(days, 2, KEY, 0),
+        _lines(sections, _section_no(F.col("section")), ""),
+        _lines(sections, _section_no(F.col("section")), heading, 0),
+    )
+
+
+def overview_lines(items: DataFrame) -> DataFrame:
+    """The title of each day, and its overview if there is something to say."""
+    days = items.select("run_date").distinct()
+    # A few sentences a day, wanted in two places.
     said = through_table(overview(items, themes(items)), "overview")
-    parts = [
+    return _all(
         _lines(days, 0, TITLE),
         _lines(days, 0, "", 0),
         _lines(said.select("run_date").distinct(), 1, OVERVIEW),
         _lines(said, 1, F.regexp_replace("sentence", r"([^.!?])$", "$1."), F.col("rank")),
-        _lines(sections.select("run_date").distinct(), 2, ""),
-        _lines(sections.select("run_date").distinct(), 2, KEY, 0),
-        _lines(sections, _section_no(F.col("section")), ""),
-        _lines(sections, _section_no(F.col("section")), heading, 0),
-    ]
-    for part in parts:
-        bullets = bullets.unionByName(part)
-    return bullets
+    )
+
+
+def _all(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def digest_lines(items: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
+    """Every line of every day's digest with its place."""
+    return _all(callout_lines(items, rules, threshold), overview_lines(items))
 
 
 def digest_bodies(lines: DataFrame, max_chars: int = MAX_DIGEST_CHARS) -> DataFrame:

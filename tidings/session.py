@@ -47,9 +47,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark).rstrip('/')}/tidings-{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; reruns never overwrite a table another plan still reads."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table; reruns never overwrite a table another plan still reads."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables, once nothing that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:
