@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidings.operators.limits import cap_per_source
@@ -35,14 +37,15 @@ def test_runs_take_only_what_is_new(spark, tmp_path):
         assert read_run(spark, out, stream).count() == min(n, 2)
 
 
-def test_refetched_items_are_dropped_within_the_delay(spark, tmp_path):
+@pytest.mark.parametrize("spread", [None, ["publish_date", "source_type"]])
+def test_refetched_items_are_dropped_within_the_delay(spark, tmp_path, spread):
     folder = tmp_path / "in"
     land(folder, "1.json", ("a", "s", "rss", "2025-05-22 10:00:00"), ("a", "t", "rss", "2025-05-22 10:00:00"))
-    stream = drop_refetched(landed_stream(spark, str(folder), SCHEMA, files_per_trigger=1), "2 days")
+    stream = drop_refetched(landed_stream(spark, str(folder), SCHEMA, files_per_trigger=1), "2 days", spread=spread)
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     run_available(stream, "t", out, progress)
-    land(folder, "2.json", ("a", "s", "rss", "2025-05-22 10:00:00"), ("b", "s", "rss", "2025-05-23 10:00:00"))
-    stream = drop_refetched(landed_stream(spark, str(folder), SCHEMA, files_per_trigger=1), "2 days")
+    land(folder, "2.json", ("a", "s", "rss", "2025-05-22 10:30:00"), ("b", "s", "rss", "2025-05-23 10:00:00"))
+    stream = drop_refetched(landed_stream(spark, str(folder), SCHEMA, files_per_trigger=1), "2 days", spread=spread)
     run_available(stream, "t", out, progress)
     assert rows(read_run(spark, out, stream), "source_name", "id") == [("s", "a"), ("s", "b"), ("t", "a")]
 

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tidings.catalog import query
 from tidings.catalog.announcements import BULLETS, RULES, SCORED
+from tidings.catalog.items import BATCHES, PROMPT
 from tidings.catalog.sqltext import EVENTS, ts
 from tidings.functions.text import metadata_text
 from tidings.operators import publish, published, render
 from tidings.operators.limits import newest_first
 from tidings.plans import adapters as A
+from tidings.plans.daily import publish_run
 from tidings.session import new_table_path
 from tidings.sources.archive import list_digests, read_archive
 
@@ -63,6 +65,27 @@ def k2_digest_table(spark, sf_dir):
     return back.select(F.date_format("run_date", DAY).alias("run_date"), "body", "status")
 
 
+@query("m5_publish_run", f"""
+WITH {EVENTS}, {BATCHES}
+SELECT strftime(run_date, '%Y-%m-%d') AS run_date, part, CASE WHEN part = 0 THEN '# News Summary - '
+  || strftime(run_date, '%Y-%m-%d') || ' 00:00:00' || chr(10) || chr(10) ELSE '' END || CAST(items AS VARCHAR) || ' items' AS body,
+  (SELECT count(DISTINCT CAST(ts AS DATE)) FROM ev) AS indexed
+FROM batches
+""")
+def m5_publish_run(spark, sf_dir):
+    """Every day archived, summarized by a stand-in for a model, published and indexed."""
+    items = A.daily_items(A.event_items(spark, sf_dir))
+    done = publish_run(
+        items, new_table_path(spark, "published"), F.lit(PROMPT), lambda text: f"{text.count('Title: ')} items",
+        F.col("run_date").cast("timestamp"), 20000,
+    )
+    entries = spark.read.text(done.index).agg(F.count_if(F.col("value").startswith("- [")).alias("indexed"))
+    rows = publish.read_digests(spark, done.digests)
+    return rows.select(
+        F.date_format("run_date", DAY).alias("run_date"), "part", "body", F.lit(entries.first()["indexed"]).cast("long").alias("indexed")
+    )
+
+
 def _index(spark, sf_dir):
     days = A.table(spark, sf_dir, "orders", A.ORDERS).select(F.to_date("o_orderdate").alias("run_date"))
     existing = days.filter(F.dayofmonth("run_date") % 2 == 1).distinct()

@@ -61,10 +61,11 @@ def t1_incremental_ingest(spark, sf_dir):
 
 @query("t2_refetch_dedup", f"WITH {EVENTS} SELECT source_name, id, {ts('ts')} AS published FROM ev")
 def t2_refetch_dedup(spark, sf_dir):
-    """Every item is fetched twice; one is kept."""
+    """Every item is fetched twice, those of one source twelve times; one is kept."""
     items = _as_items(_landed_events(spark, sf_dir))
-    fetched = items.withColumn("fetch", F.explode(F.array(F.lit(1), F.lit(2)))).drop("fetch")
-    kept = drop_refetched(fetched, "2 days")
+    times = F.when(F.col("source_name") == "view-0", 12).otherwise(2)
+    fetched = items.withColumn("fetch", F.explode(F.sequence(F.lit(1), times)))
+    kept = drop_refetched(fetched, "2 days", spread=["fetch"]).drop("fetch")
     _, path = run_available(kept, "deduplicated")
     done = read_run(spark, path, kept)
     return done.select("source_name", "id", A.ts_text(F.col("publish_date")).alias("published"))

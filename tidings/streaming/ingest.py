@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidings.operators.ordered import SLOTS
 from tidings.session import new_table_path
 
 
@@ -24,9 +25,19 @@ def landed_stream(
     return reader.load(path)
 
 
-def drop_refetched(items: DataFrame, delay: str, time: str = "publish_date") -> DataFrame:
-    """Each ``(source_name, id)`` once, as long as its copies come within ``delay`` of each other."""
-    return items.withWatermark(time, delay).dropDuplicatesWithinWatermark(["source_name", "id"])
+def drop_refetched(
+    items: DataFrame, delay: str, time: str = "publish_date", spread: list[str] | None = None,
+) -> DataFrame:
+    """Each ``(source_name, id)`` once, as long as its copies come within ``delay`` of each other.
+
+    ``spread`` names columns in which copies differ (when or where they were fetched). Copies are then first dropped
+    inside slots of these, so that an item fetched without end is not one task's work; the price is a second state.
+    """
+    marked = items.withWatermark(time, delay)
+    if spread:
+        slotted = marked.withColumn("_slot", F.pmod(F.xxhash64(*spread), F.lit(SLOTS)))
+        marked = slotted.dropDuplicatesWithinWatermark(["source_name", "id", "_slot"]).drop("_slot")
+    return marked.dropDuplicatesWithinWatermark(["source_name", "id"])
 
 
 def daily_counts(items: DataFrame, delay: str, time: str = "publish_date", by: tuple[str, ...] = ("source_type",)):
