@@ -17,8 +17,8 @@ SECTION_HEADINGS = {
 }
 HEADER = r"^# News Summary - (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 HEADING = r"^(#{1,6} .*|\*\*[^*]+:\*\*)\s*$"
-BULLET = r"^\*\s+|^-\s+"
-LINK = r"\[[^\]]*\]\((https?://[^)\s]+)\)"
+BULLET = r"^\s*[*-]\s+"
+LINK = r"\]\((https?://[^)\s]+)\)"
 FAILED = r"^(Error generating summary:|Failed to generate summary\.)"
 
 
@@ -43,8 +43,8 @@ def digest_status(files: DataFrame) -> DataFrame:
                         status_of(F.col("body")).alias("status"))
 
 
-def digest_rows(files: DataFrame) -> DataFrame:
-    """The lines below each heading with their section; bullets with title, source label and first link.
+def _lines(files: DataFrame) -> DataFrame:
+    """Every line with the section it stands in and whether it is that section's heading.
 
     Lines are windowed inside one file, whose size is that of one row.
     """
@@ -53,8 +53,13 @@ def digest_rows(files: DataFrame) -> DataFrame:
     known = F.coalesce(*[F.when(trimmed == h, F.lit(s)) for h, s in SECTION_HEADINGS.items()])
     named = F.when(F.col("line").rlike(HEADING), F.coalesce(known, F.lit("other")))
     above = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    placed = lines.withColumn("_heading", named).withColumn("section", F.last("_heading", True).over(above))
-    rows = placed.filter("_heading is null and trim(line) <> ''")
+    return lines.withColumn("heading", named).withColumn("section", F.last("heading", True).over(above))
+
+
+def digest_rows(files: DataFrame) -> DataFrame:
+    """The lines below each heading with their section; bullets (also indented ones) with title, source label and
+    first link."""
+    rows = _lines(files).filter("heading is null and trim(line) <> ''")
     is_bullet = F.col("line").rlike(BULLET)
 
     def part(pattern: str) -> Column:
@@ -64,13 +69,13 @@ def digest_rows(files: DataFrame) -> DataFrame:
         "path", "line_no", "section",
         F.when(is_bullet, "bullet").otherwise("text").alias("kind"),
         F.regexp_replace("line", BULLET, "").alias("text"),
-        part(r"^(?:\*|-)\s+\*\*(.*?):?\*\*").alias("title"),
-        part(r"\(Source: ([^\[\]()]*?) - \[").alias("label"),
+        part(BULLET + r"\*\*(.*?):?\*\*").alias("title"),
+        part(r"\(Source: ([^\[\]()]*?)(?: - \[|\))").alias("label"),
         part(LINK).alias("url"),
     )
 
 
 def digest_links(files: DataFrame) -> DataFrame:
-    """Every link of every line, in order."""
-    found = F.regexp_extract_all("text", F.lit(LINK), F.lit(1))
-    return digest_rows(files).select("path", "line_no", "section", F.posexplode(found).alias("link_no", "url"))
+    """Every link of every line, headings included, in order."""
+    found = F.regexp_extract_all("line", F.lit(LINK), F.lit(1))
+    return _lines(files).select("path", "line_no", "section", F.posexplode(found).alias("link_no", "url"))
