@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -46,6 +51,20 @@ def test_no_cross_join(spark, sf_dir, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
+def test_workers_find_the_package_from_anywhere(sf_dir, tmp_path):
+    """Started elsewhere and without the package on the workers' path."""
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(contract.__file__).parent)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+print("pages:", __spark_entry__.queries()["s5_page_articles"](spark, {sf_dir!r}).count())
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert "pages: 50" in done.stdout, done.stderr[-2000:]
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 

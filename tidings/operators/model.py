@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.session import through_table
+from tidings.session import ship_package, through_table
 
 # What stands in the digest when the model gives nothing or fails.
 NO_REPLY = "Failed to generate summary."
@@ -28,6 +28,7 @@ def call_model(
     reply says so; it never fails the job. Calls are slow and requests few, so these are dealt out to ``partitions``
     tasks (all cores by default) instead of staying in the few partitions their size asks for.
     """
+    ship_package(requests.sparkSession)
     partitions = partitions or requests.sparkSession.sparkContext.defaultParallelism
     kept = [f for f in requests.schema.fields if f.name != prompt]
     schema = T.StructType(kept + T.StructType.fromDDL(f"{reply} string, status string, error string").fields)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,24 @@ def broadcast_days(df: DataFrame, day: str) -> DataFrame:
     return F.broadcast(df) if isinstance(df.schema[day].dataType, T.DateType) else df
 
 
+# The driver's own copies by application; they go when the driver ends.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package also where it is not installed: Spark hands them a copy, once per
+    application."""
+    application, package = spark.sparkContext.applicationId, Path(__file__).parent
+    if application in _shipped or not package.is_dir():
+        return
+    _shipped[application] = tempfile.TemporaryDirectory(prefix="tidings-package-")
+    archive = Path(_shipped[application].name) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as copy:
+        for module in sorted(package.rglob("*.py")):
+            copy.write(module, module.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Split an input that has fewer splits than there are cores (one small file); a large table stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

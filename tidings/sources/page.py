@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidings.functions import html
 from tidings.functions.text import is_blank
+from tidings.session import ship_package
 
 # Where an article may name its author, in the order they are tried.
 AUTHOR_SELECTORS = (".author", "[rel=author]", ".byline", ".meta-author")
@@ -25,6 +26,7 @@ def read_articles(pages: DataFrame, body: str = "body") -> DataFrame:
     ``pages`` has the page text, a ``selectors`` struct, ``max_results``, and any columns to keep. Pages are parsed
     where their file split lies.
     """
+    ship_package(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name not in (body, "selectors")]
     source = pages.select(
         *[f.name for f in kept],
