@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators import limits, ordered, paging
+from tidings.operators.recency import since_cutoff
+from tidings.plans import adapters as A
+from tidings.sources.listing import read_listing
 
 from conftest import rows
 
@@ -86,6 +89,21 @@ def test_page_rules_equal_the_sequential_loops(spark, monkeypatch):
             (s, n) for s, listing in listings.items() for n in loop_direct(listing, cap, keep_last))
 
 
+def test_client_posts_need_no_page_rule(spark, sf_dir):
+    """The first recent posts of a source are the same on the pages L4a keeps as on all."""
+    rows_of = A.events(spark, sf_dir).filter("source_type = 'reddit'")
+    posts = read_listing(A.bound(A.listing_payloads(rows_of)))
+    cutoff = since_cutoff(F.timestamp_seconds(F.col("created").cast("long")), F.col("as_of"), F.lit(9))
+    marked = posts.withColumns({"fresh": cutoff, "max_results": F.lit(12)})
+    per_page = marked.groupBy("run_date", "source_ord", "page_no", "max_results").agg(F.count_if("fresh").alias("valid"))
+    read = paging.pages_until_enough(per_page).select("run_date", "source_ord", "page_no")
+    fresh = marked.filter("fresh")
+    on_pages = fresh.join(read, ["run_date", "source_ord", "page_no"], "left_semi")
+    want = rows(limits.cap_per_source(fresh, 12), "source_ord", "id")
+    assert want and rows(limits.cap_per_source(on_pages, 12), "source_ord", "id") == want
+    assert read.count() < per_page.count()
+
+
 ITEMS = "run_date date, source_ord int, page_no long, item_pos int, publish_date timestamp, max_results int, id string"
 
 

@@ -13,7 +13,6 @@ from tidings.sources import feed
 from tidings.sources.archive import read_archive
 from tidings.sources.config import config_facts, read_config, read_prompt, split_sources
 from tidings.sources.feed import feed_errors, read_feeds
-from tidings.sources.listing import listing_errors
 
 from conftest import rows
 
