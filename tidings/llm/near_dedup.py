@@ -10,9 +10,9 @@ however many copies there are. A band's bucket is never expanded into its pairs:
 
 1. every node is compared with one leader, the least among the leaders of its buckets, and components are formed;
 2. in buckets that still hold several components, nodes outside the bucket's largest component are compared with the
-   members of other components, in blocks inside tasks; only pairs whose signatures agree in ``MIN_AGREEING`` values
-   (five standard deviations below 0.75) leave a task, first the best one per node and component, and when those are
-   merged all that are left. So no pair of one bucket goes unexamined unless its nodes are connected already.
+   members of other components, in blocks inside tasks, by longer signatures; only pairs that agree in ``MIN_AGREEING`` values
+   (four standard deviations below 0.75) leave a task: in a few rounds one per node and block (the best, then the second best), each round
+   followed by merging what it linked, and then all that are left. So no pair of one bucket goes unexamined unless its nodes are connected already.
 
 Defined results: null, empty or wordless texts have 0 shingles, are linked with nothing and are their own component;
 fewer than five words are one shingle; repeated rows come out once each with the same component; a null doc_id is never
@@ -37,28 +37,48 @@ from tidings.session import through_table
 PERCENT = 75
 FUNCTIONS = 64
 BANDS = 32
-#: Of 128 values; at a similarity of 0.75 the count has mean 96 and a standard deviation below 5.
-MIN_AGREEING = 72
+#: Nodes that share a bucket get a longer signature, 512 values of 8 bits; at a similarity of 0.75 the count of equal ones
+#: has mean 384 and a standard deviation below 10.
+LONG_FUNCTIONS = 256
+MIN_AGREEING = 343
+#: Rounds in which a node is compared with one look-alike of other components, before all that are left are.
+SINGLE_ROUNDS = 2
 #: Nodes of a bucket that one task compares with one another at a time.
 PROBES, TARGETS = 128, 512
 
 _U = np.uint64
-_A = mix(np.arange(1, FUNCTIONS + 1, dtype=_U)) | _U(1)
-_B = mix(np.arange(1001, FUNCTIONS + 1001, dtype=_U))
+_A = mix(np.arange(1, LONG_FUNCTIONS + 1, dtype=_U)) | _U(1)
+_B = mix(np.arange(1001, LONG_FUNCTIONS + 1001, dtype=_U))
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_id long, bands array<long>"
 
 
-def min_max_bands(shingles: np.ndarray) -> np.ndarray:
-    """The signature as 32 numbers of 64 bits; each holds four values of 16 bits, two least and two greatest."""
-    low, high = np.full(FUNCTIONS, ~_U(0)), np.zeros(FUNCTIONS, _U)
+def min_max(shingles: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest value of a set under each hash function."""
+    low, high = np.full(functions, ~_U(0)), np.zeros(functions, _U)
     for at in range(0, len(shingles), 4096):
-        hashed = shingles[at : at + 4096, None] * _A + _B
+        hashed = shingles[at : at + 4096, None] * _A[:functions] + _B[:functions]
         np.minimum(low, hashed.min(axis=0), out=low)
         np.maximum(high, hashed.max(axis=0), out=high)
-    values = np.concatenate([mix(low).reshape(BANDS, 2), mix(high).reshape(BANDS, 2)], axis=1)
+    return mix(low), mix(high)
+
+
+def min_max_bands(shingles: np.ndarray) -> np.ndarray:
+    """The signature as 32 numbers of 64 bits; each holds four values of 16 bits, two least and two greatest."""
+    low, high = min_max(shingles, FUNCTIONS)
+    values = np.concatenate([low.reshape(BANDS, 2), high.reshape(BANDS, 2)], axis=1)
     return np.ascontiguousarray(values.astype(np.uint16)).view(np.int64).ravel()
 
 
+def long_signature(shingles: np.ndarray) -> bytes:
+    return np.concatenate(min_max(shingles, LONG_FUNCTIONS)).astype(np.uint8).tobytes()
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signed = [long_signature(s) for s in shingle_sets(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(signed, pa.binary())], ["set_id", "signature"])
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, ids, bands = [], [], []
@@ -92,16 +112,17 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return keyed.join(leaders, ["band", "key"])
 
 
-def _near_pairs(sides: np.ndarray, ids: np.ndarray, labels: np.ndarray, bands: np.ndarray, best: bool) -> list[tuple[int, int]]:
-    """Pairs of probes and targets of one block that look similar and differ in their component."""
+def _near_pairs(sides: np.ndarray, ids: np.ndarray, labels: np.ndarray, signatures: np.ndarray, place: int | None) -> list[tuple[int, int]]:
+    """Pairs of probes and targets of one block that look similar and differ in their component: all of them, or for
+    each probe the one at this place in the order of likeness (the last if there are fewer)."""
     probes, targets = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    values, found = bands[targets], []
+    values, found = signatures[targets], []
     for i in probes:
-        agreeing = (values == bands[i]).sum(axis=1)
+        agreeing = (values == signatures[i]).sum(axis=1)
         near = np.flatnonzero((agreeing >= MIN_AGREEING) & (labels[targets] != labels[i]))
-        if best and len(near) > 1:
-            near = near[np.argsort(-agreeing[near], kind="stable")]
-            near = near[np.unique(labels[targets[near]], return_index=True)[1]]
+        if place is not None and len(near) > 1:
+            ordered = near[np.lexsort((ids[targets[near]], -agreeing[near]))]
+            near = ordered[min(place, len(ordered) - 1) :][:1]
         found += [(int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[targets[near]]]
     return found
 
@@ -109,7 +130,7 @@ def _near_pairs(sides: np.ndarray, ids: np.ndarray, labels: np.ndarray, bands: n
 BLOCK = ["band", "key", "i", "j"]
 
 
-def _compared(best: bool):
+def _compared(place: int | None):
     """Blocks come one after another (rows are sorted by block); only the last block of a batch is carried over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,14 +145,13 @@ def _compared(best: bool):
     def blocks(rows: pa.Table, final: bool):
         key = np.stack([rows.column(c).to_numpy() for c in BLOCK], axis=1)
         starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
-        whole = starts if final else starts[:-1]
         until = rows.num_rows if final else int(starts[-1])
+        bounds = [*starts, until] if final else starts
         sides, ids, labels = (rows.column(c).to_numpy() for c in ("side", "set_id", "label"))
-        flat = rows.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        bands = np.ascontiguousarray(flat).view(np.uint16).reshape(rows.num_rows, 4 * BANDS)
+        signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, 2 * LONG_FUNCTIONS)
         found = []
-        for a, b in zip(whole, [*whole[1:], until], strict=True):
-            found += _near_pairs(sides[a:b], ids[a:b], labels[a:b], bands[a:b], best)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            found += _near_pairs(sides[a:b], ids[a:b], labels[a:b], signatures[a:b], place)
         columns = list(zip(*set(found), strict=True)) or [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
         return rows.slice(until)
@@ -139,10 +159,10 @@ def _compared(best: bool):
     return run
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done: DataFrame, best: bool) -> DataFrame:
+def open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, done: DataFrame, place: int | None) -> DataFrame:
     """Pairs of different components that share a bucket and look similar by signature, without those ``done``.
 
-    With ``best`` one pair per node, block and other component. Probes are the nodes outside the largest component of
+    With a ``place`` one pair per node and block. Probes are the nodes outside the largest component of
     their bucket, in blocks of about ``PROBES``; the bucket's nodes are dealt to them in blocks of about ``TARGETS``.
     """
     bucket = ["band", "key"]
@@ -169,9 +189,9 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done: Da
         *bucket, "set_id", "label", F.lit(1).alias("side"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("probe_blocks") - 1)).alias("i"), F.pmod(dealt, "target_blocks").alias("j"),
     )
-    blocks = probes.unionByName(targets).join(nodes.select("set_id", "bands"), "set_id")
-    sorted_blocks = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK).select(*BLOCK, "side", "set_id", "label", "bands")
-    pairs = sorted_blocks.mapInArrow(_compared(best), "a long, b long").distinct()
+    blocks = probes.unionByName(targets).join(signed, "set_id")
+    sorted_blocks = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK).select(*BLOCK, "side", "set_id", "label", "signature")
+    pairs = sorted_blocks.mapInArrow(_compared(place), "a long, b long").distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
@@ -187,15 +207,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = members.select("set_id").distinct().join(nodes.select("set_id", "doc_id"), "set_id")
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
     texts = through_table(texts, "texts")
+    signed = through_table(texts.mapInArrow(_signed, "set_id long, signature binary"), "signatures")
 
     pairs = members.filter("set_id <> leader").groupBy("set_id").agg(F.min("leader").alias("a")).select("a", F.col("set_id").alias("b"))
     done = through_table(pairs, "pairs")
     links = through_table(verified_links(done, texts, PERCENT).select("a", "b"), "links")
     labels = component_labels(links)
-    for best in (True, False):
-        fresh = through_table(open_pairs(members, labels, nodes, done, best), "pairs")
+    for place in (*range(SINGLE_ROUNDS), None):
+        fresh = through_table(open_pairs(members, labels, signed, done, place), "pairs")
         if fresh.isEmpty():
-            break
+            continue
         done = done.unionByName(fresh)
         links = links.unionByName(through_table(verified_links(fresh, texts, PERCENT).select("a", "b"), "links"))
         labels = component_labels(links)
