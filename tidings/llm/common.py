@@ -93,3 +93,14 @@ def verified_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFram
     second = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(percent), LINK_SCHEMA)
+
+
+_shipped_files: set[tuple[str, str]] = set()
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Hand a local file of a model or vocabulary to all workers, once per application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _shipped_files:
+        spark.sparkContext.addFile(path)
+        _shipped_files.add(key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import decontaminate, near_dedup, quality, sharding, sqltext
+from tidings.llm import decontaminate, near_dedup, pieces, quality, sharding, sqltext, token_counts
 from tidings.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minmax_dedup", sqltext.OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
+    return counted.withColumn("section_tokens", F.array_join(F.col("section_tokens").cast("array<string>"), ","))
+
+
+@query("op10_merge_dropout")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    read = pieces.decoded(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return read.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )

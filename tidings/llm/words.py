@@ -31,7 +31,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, CHUNK_BYTES + 1), base, dtype=_U)
         steps[0] = 1
         known = np.cumprod(steps, dtype=_U)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 8 * CHUNK_BYTES:
             _POWERS[base] = known
     return known[:n]
 
@@ -57,6 +57,14 @@ def batch_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, wherever it stands."""
+    sums = np.zeros(len(data) + 1, dtype=_U)
+    np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, len(data)), out=sums[1:])
+    hashes = (sums[end] - sums[start]) * _powers(_INVERSE, len(data))[start]
+    return mix(hashes + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def _chunk(data: np.ndarray, cuts: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Start places and hashes of the words in ``data``; ``cuts`` are places no word reaches across."""
     is_word = _IS_WORD[data]
@@ -68,10 +76,7 @@ def _chunk(data: np.ndarray, cuts: np.ndarray, at: int) -> tuple[np.ndarray, np.
     last[cuts[cuts > 0] - 1] = True
     starts = np.flatnonzero(is_word & fresh)
     ends = np.flatnonzero(is_word & last) + 1
-    sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * _powers(_BASE, len(data)), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
-    return starts + at, mix(hashes + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return starts + at, span_hashes(_LOWER[data], starts, ends)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
