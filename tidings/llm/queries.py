@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import decontaminate, near_dedup, pieces, quality, sharding, sqltext, token_counts
+from tidings.llm import decontaminate, language_model, near_dedup, pieces, quality, sharding, sqltext, token_counts, toxicity, warc
 from tidings.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("pieces").alias("pieces_hash"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
+
+
+@query("op6_arc_to_warc", sqltext.OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_archives(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op4_class_bigrams")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op8_factorization_machine")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

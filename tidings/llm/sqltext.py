@@ -108,3 +108,12 @@ select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (parti
        null::int as grown_shard
 from cut
 """
+
+OP6 = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+m as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes >= 1000) end as kept from p)
+select page_id, payload_bytes, payload_digest, case when kept <> page_id then 'revisit' else 'response' end as record_type,
+       case when kept <> page_id then kept end as refers_to
+from m
+"""

@@ -65,8 +65,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(hashes + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def _chunk(data: np.ndarray, cuts: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start places and hashes of the words in ``data``; ``cuts`` are places no word reaches across."""
+def _chunk(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end places of the words in ``data``; ``cuts`` are places no word reaches across."""
     is_word = _IS_WORD[data]
     fresh = np.ones(len(data), dtype=bool)
     fresh[1:] = ~is_word[:-1]
@@ -76,14 +76,20 @@ def _chunk(data: np.ndarray, cuts: np.ndarray, at: int) -> tuple[np.ndarray, np.
     last[cuts[cuts > 0] - 1] = True
     starts = np.flatnonzero(is_word & fresh)
     ends = np.flatnonzero(is_word & last) + 1
-    return starts + at, span_hashes(_LOWER[data], starts, ends)
+    return starts, ends
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of a batch in order: their hashes, and for each text the place of its first word (one place more at
     the end). Bytes are taken in chunks that end between words, so memory doesn't grow with a text's length unless one
     single word does."""
-    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, _U)], 0
+    hashes, _, first = word_spans(data, offsets, 0)
+    return hashes, first
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, suffix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with the hashes of the words' last ``suffix`` bytes where that isn't 0."""
+    starts, hashes, suffixes, at = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, _U)], 0
     while at < len(data):
         end = min(at + CHUNK_BYTES, len(data))
         while end < len(data):
@@ -97,11 +103,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                 break
             end = min(end + CHUNK_BYTES, len(data))
         inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at
-        s, h = _chunk(data[at:end], inside.astype(np.int64), at)
-        starts.append(s)
-        hashes.append(h)
+        lowered = _LOWER[data[at:end]]
+        s, e = _chunk(lowered, inside.astype(np.int64))
+        starts.append(s + at)
+        hashes.append(span_hashes(lowered, s, e))
+        if suffix:
+            suffixes.append(span_hashes(lowered, np.maximum(s, e - suffix), e))
         at = end
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    return np.concatenate(hashes), np.concatenate(suffixes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 _WEIGHTS = mix(np.arange(1, SHINGLE + 1, dtype=_U)) | _U(1)
