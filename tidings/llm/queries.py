@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import decontaminate, language_model, near_dedup, pieces, quality, sharding, sqltext, token_counts, toxicity, warc
+from tidings.llm import decontaminate, language_model, near_dedup, pieces, pii, quality, sharding, sqltext, token_counts, toxicity, warc
 from tidings.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_factorization_machine")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_semi_markov_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))

@@ -1,13 +1,14 @@
 """Operator 8, toxicity by a factorization machine over hashed terms.
 
 A text's terms are its words (runs of ASCII letters and digits and of non-ASCII bytes, A-Z as a-z) and the words' first four and
-six bytes, each once, hashed to ``BUCKETS``. The machine scores ``w0 + sum w_i + sum over pairs <v_i, v_j>``: the pair part, found
+six bytes, each once, hashed to ``BUCKETS``. Terms whose share of toxic training rows differs from the overall share by at
+least ``MIN_Z`` standard deviations are the machine's inputs; all others say nothing and only add noise. The machine scores ``w0 + sum w_i + sum over pairs <v_i, v_j>``: the pair part, found
 in linear time as half of (square of the sum - sum of the squares), learns that two terms say more together, such as an
 insult with a group's name, than their weights add up to.
 
 It is fitted to the labels of at most about ``TRAIN_ROWS`` rows, chosen by a hash of doc_id. The rows stay on the
 executors in ``SHARDS`` parts; in each round every part makes a pass of stochastic gradient steps from the same weights, and the
-weights (their size is fixed by ``BUCKETS`` and ``FACTORS``) are averaged. Rows with ``crc32(doc_id) mod 5 = 0`` are held out.
+weights (their size is bounded by ``BUCKETS`` and ``FACTORS``) are averaged. Rows with ``crc32(doc_id) mod 5 = 0`` are held out.
 
 Defined results: null and empty texts get the score of no term at all; a label that is null is not used, of several for
 a document the larger counts; without any usable label all scores are 0.5; repeated rows stay; long texts are read whole;
@@ -27,15 +28,17 @@ from tidings.llm.common import held_by_crc, prepare
 from tidings.llm.words import batch_bytes, mix, span_hashes
 from tidings.session import through_table
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
+MIN_ROWS = 5
+MIN_Z = 4.0
 FACTORS = 4
 TRAIN_ROWS = 20_000
 SHARDS = 8
 ROUNDS = 6
 BATCH = 32
-RATE = 0.1
+RATE = 0.3
 #: Pulls weights of terms that say nothing to exactly zero, so a long text's many plain words don't add up.
-SHRINK = 2e-3
+SHRINK = 5e-4
 GROUP_BYTES = 1 << 22
 
 _U = np.uint64
@@ -74,12 +77,21 @@ def terms(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 class Machine:
-    def __init__(self, weights: np.ndarray | None = None):
+    """Weights of the chosen terms, one row each: the linear weight, then the factors. The last row's first is ``w0``."""
+
+    def __init__(self, chosen: np.ndarray, weights: np.ndarray | None = None):
         if weights is None:
-            weights = np.zeros((BUCKETS + 1, 1 + FACTORS), np.float32)
-            weights[:, 1:] = np.random.default_rng(7).normal(0, 0.01, (BUCKETS + 1, FACTORS))
-        # The last row holds w0 in its first column.
-        self.weights = weights
+            weights = np.zeros((len(chosen) + 1, 1 + FACTORS), np.float32)
+            weights[:, 1:] = np.random.default_rng(7).normal(0, 0.01, (len(chosen) + 1, FACTORS))
+        self.chosen, self.weights = chosen, weights
+
+    def inputs(self, found: np.ndarray) -> np.ndarray:
+        """The rows of a text's terms that are inputs."""
+        if not len(self.chosen):
+            return np.zeros(0, np.int64)
+        at = np.searchsorted(self.chosen, found)
+        at[at == len(self.chosen)] = 0
+        return at[self.chosen[at] == found]
 
     def margin(self, idx: np.ndarray) -> float:
         rows = self.weights[idx]
@@ -92,7 +104,7 @@ class Machine:
         for a in range(0, len(rows), BATCH):
             part, y = rows[a : a + BATCH], labels[a : a + BATCH]
             sizes = np.array([len(x) for x in part])
-            used, place = np.unique(np.concatenate(part), return_inverse=True)
+            used, place = np.unique(np.concatenate(part).astype(np.int64), return_inverse=True)
             doc = np.repeat(np.arange(len(part)), sizes)
             own = w[used].astype(np.float64)
             flat = own[place]
@@ -134,42 +146,53 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
     return through_table(found.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).cast("int")), "training")
 
 
-def _passes(weights, rounds_done: int):
+def telling_terms(training: DataFrame) -> np.ndarray:
+    """The sorted buckets that are inputs of the machine; there are fewer than ``BUCKETS``."""
+    total = training.agg(F.count("*").alias("n"), F.avg("toxic").alias("p")).first()
+    p = total["p"] or 0.0
+    if not 0 < p < 1:
+        return np.zeros(0, np.int32)
+    counted = training.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    z = (F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
+    return np.sort(counted.filter((F.col("n") >= MIN_ROWS) & (F.abs(z) >= MIN_Z)).select("term").toPandas()["term"].to_numpy(np.int32))
+
+
+def _passes(sent, rounds_done: int):
     def run(key, group):
-        rows = [r.astype(np.int32) for r in group.column("terms").combine_chunks().to_numpy(zero_copy_only=False)]
-        y = group.column("toxic").to_numpy().astype(np.float64)
+        machine = Machine(*sent.value)
+        machine.weights = machine.weights.copy()
         ids = group.column("doc_id").to_numpy().astype(np.int64).view(_U)
         # A fixed order for each round, whatever order the rows came in.
         order = np.lexsort((ids, mix(ids + _U(rounds_done))))
-        machine = Machine(weights.value.copy())
-        squares = np.zeros((BUCKETS + 1, 1 + FACTORS), np.float32)
-        rows, y = [rows[i] for i in order if len(rows[i])], np.array([y[i] for i in order if len(rows[i])])
-        machine.fit(rows, y, squares)
-        return pa.table({"n": pa.array([len(rows)], pa.int64()), "weights": pa.array([machine.weights.tobytes()], pa.binary())})
+        found = group.column("terms").combine_chunks().to_numpy(zero_copy_only=False)
+        toxic = group.column("toxic").to_numpy().astype(np.float64)
+        machine.fit([machine.inputs(found[i].astype(np.int32)) for i in order], toxic[order], np.zeros(machine.weights.shape, np.float32))
+        return pa.table({"n": pa.array([len(order)], pa.int64()), "weights": pa.array([machine.weights.tobytes()], pa.binary())})
 
     return run
 
 
-def fit(training: DataFrame) -> np.ndarray:
-    """Weights after ``ROUNDS`` rounds. A shard holds a bounded number of rows, so each is one group of one task."""
+def fit(training: DataFrame) -> Machine:
+    """The machine after ``ROUNDS`` rounds. A shard holds a bounded number of rows, so each is one group of one task."""
     context = training.sparkSession.sparkContext
-    machine = Machine()
+    machine = Machine(telling_terms(training))
     for done in range(ROUNDS):
-        sent = context.broadcast(machine.weights)
-        parts = training.groupBy("shard").applyInArrow(_passes(sent, done), "n long, weights binary").collect()
+        sent = context.broadcast((machine.chosen, machine.weights))
+        parts = sorted(training.groupBy("shard").applyInArrow(_passes(sent, done), "n long, weights binary").collect())
         sent.destroy()
-        if not sum(p["n"] for p in parts):
-            return np.zeros((BUCKETS + 1, 1 + FACTORS), np.float32)
-        total = sum(p["n"] * np.frombuffer(p["weights"], np.float32).astype(np.float64) for p in sorted(parts, key=lambda p: p["n"]))
-        machine.weights = (total / sum(p["n"] for p in parts)).astype(np.float32).reshape(BUCKETS + 1, 1 + FACTORS)
-    return machine.weights
+        if not parts:
+            machine.weights[:] = 0
+            break
+        total = sum(p["n"] * np.frombuffer(p["weights"], np.float32).astype(np.float64) for p in parts)
+        machine.weights = (total / sum(p["n"] for p in parts)).astype(np.float32).reshape(machine.weights.shape)
+    return machine
 
 
-def _scored(weights):
+def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(weights.value)
+        machine = Machine(*sent.value)
         for batch in batches:
-            margins = np.array([machine.margin(t) for t in terms(batch.column("text"))])
+            margins = np.array([machine.margin(machine.inputs(t)) for t in terms(batch.column("text"))])
             score = 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
@@ -179,6 +202,7 @@ def _scored(weights):
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row of ``docs(doc_id, text)``."""
     prepare(docs.sparkSession)
-    weights = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels)))
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scored(weights), "doc_id long, score double")
+    machine = fit(training_rows(docs, labels))
+    sent = docs.sparkSession.sparkContext.broadcast((machine.chosen, machine.weights))
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scored(sent), "doc_id long, score double")
     return scored.select("doc_id", held_by_crc("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
