@@ -95,3 +95,10 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
         .filter(F.col("n_shared") * 100 >= F.col("n_item_shingles") * PERCENT)
         .select("doc_id", "text_key", "item_id", "size_class", "n_item_shingles", "n_shared")
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    found = through_table(contaminations(docs, items).select(F.col("doc_id").alias("_id"), "text_key").distinct(), "found")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_key"))
+    return docs.join(found, same, "left_anti")
