@@ -1,9 +1,9 @@
 """Operator 9, near duplicates by min-max hashing.
 
-A document's set is its distinct 5-word shingles (``words.shingle_sets``). Each of 64 hash functions gives two values,
-the least and the greatest hash of the set, so 64 evaluations give a signature of 128 values, each of which two sets
-share with the probability of their Jaccard similarity. Four values make a band: two documents of similarity 0.75 share
-none of the 32 bands with a probability of 5 in a million.
+A document's set is its distinct 5-word shingles (``words.shingle_sets``). Each of 96 hash functions gives two values,
+the least and the greatest hash of the set, so 96 evaluations give a signature of 192 values, each of which two sets
+share with the probability of their Jaccard similarity. Five values make a band: two documents of similarity 0.75 share
+none of the 38 bands with a probability of 3 in 100,000.
 
 Nothing is linked by signature alone: every link is confirmed on the full sets. Documents with equal sets are one node
 however many copies there are. A band's bucket is never expanded into its pairs:
@@ -35,8 +35,9 @@ from tidings.llm.words import mix, shingle_sets
 from tidings.session import through_table
 
 PERCENT = 75
-FUNCTIONS = 64
-BANDS = 32
+FUNCTIONS = 96
+BANDS = 38
+ROWS_PER_BAND = 5
 #: Nodes that share a bucket get a longer signature, 512 values of 8 bits; at a similarity of 0.75 the count of equal ones
 #: has mean 384 and a standard deviation below 10.
 LONG_FUNCTIONS = 256
@@ -49,6 +50,7 @@ PROBES, TARGETS = 128, 512
 _U = np.uint64
 _A = mix(np.arange(1, LONG_FUNCTIONS + 1, dtype=_U)) | _U(1)
 _B = mix(np.arange(1001, LONG_FUNCTIONS + 1001, dtype=_U))
+_WEIGHTS = mix(np.arange(5001, ROWS_PER_BAND + 5001, dtype=_U)) | _U(1)
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_id long, bands array<long>"
 
 
@@ -63,10 +65,9 @@ def min_max(shingles: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarra
 
 
 def min_max_bands(shingles: np.ndarray) -> np.ndarray:
-    """The signature as 32 numbers of 64 bits; each holds four values of 16 bits, two least and two greatest."""
-    low, high = min_max(shingles, FUNCTIONS)
-    values = np.concatenate([low.reshape(BANDS, 2), high.reshape(BANDS, 2)], axis=1)
-    return np.ascontiguousarray(values.astype(np.uint16)).view(np.int64).ravel()
+    """One key per band, made from five of the signature's values; each band takes both least and greatest ones."""
+    values = np.stack(min_max(shingles, FUNCTIONS), axis=1).ravel()[: BANDS * ROWS_PER_BAND]
+    return mix((values.reshape(BANDS, ROWS_PER_BAND) * _WEIGHTS).sum(axis=1, dtype=_U)).view(np.int64)
 
 
 def long_signature(shingles: np.ndarray) -> bytes:
@@ -159,16 +160,14 @@ def _compared(place: int | None):
     return run
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, done: DataFrame, place: int | None) -> DataFrame:
-    """Pairs of different components that share a bucket and look similar by signature, without those ``done``.
-
-    With a ``place`` one pair per node and block. Probes are the nodes outside the largest component of
-    their bucket, in blocks of about ``PROBES``; the bucket's nodes are dealt to them in blocks of about ``TARGETS``.
-    """
+def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components, each with its component, its bucket's largest one and
+    the numbers of blocks. Components only grow, so what is resolved stays so."""
     bucket = ["band", "key"]
-    labelled = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+    labelled = members.select(*bucket, "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "label", F.coalesce("label", "set_id")
     )
+    labelled = through_table(labelled, "labelled")
     sizes = labelled.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
     split = (
         sizes.groupBy(*bucket)
@@ -179,7 +178,16 @@ def open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, done: D
             F.ceil(F.col("n") / TARGETS).alias("target_blocks"),
         )
     )
-    inside = labelled.join(split, bucket)
+    return through_table(labelled.join(split, bucket), "unresolved")
+
+
+def open_pairs(inside: DataFrame, signed: DataFrame, done: DataFrame, place: int | None) -> DataFrame:
+    """Pairs of different components that share a bucket and look similar by signature, without those ``done``.
+
+    With a ``place`` one pair per node and block. Probes are the nodes outside the largest component of
+    their bucket, in blocks of about ``PROBES``; the bucket's nodes are dealt to them in blocks of about ``TARGETS``.
+    """
+    bucket = ["band", "key"]
     dealt = F.xxhash64("set_id")
     probes = inside.filter("label <> largest").select(
         *bucket, "set_id", "label", F.lit(0).alias("side"), F.pmod(dealt, "probe_blocks").alias("i"),
@@ -214,7 +222,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = through_table(verified_links(done, texts, PERCENT).select("a", "b"), "links")
     labels = component_labels(links)
     for place in (*range(SINGLE_ROUNDS), None):
-        fresh = through_table(open_pairs(members, labels, signed, done, place), "pairs")
+        members = unresolved(members, labels)
+        fresh = through_table(open_pairs(members, signed, done, place), "pairs")
         if fresh.isEmpty():
             continue
         done = done.unionByName(fresh)

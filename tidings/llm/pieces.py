@@ -275,7 +275,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 #: Documents encoded together; equal words among them are encoded once.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
