@@ -1,7 +1,7 @@
 """Operator 7, personal data by rules and a semi-Markov conditional random field.
 
 The rules find four kinds in every whole text (``base_spans``): email, ip, card, phone. The random field adds what they
-miss. A text's tokens with a digit or an ``@``, and their neighbours, form regions; every run of up to ``MAX_TOKENS`` tokens of a
+miss. A text's tokens with a digit or an ``@``, and their neighbours (``NEIGHBOURS`` in front), form regions; every run of up to ``MAX_TOKENS`` tokens of a
 region is a candidate segment, and features of the whole run (its digits and their groups, its characters' kinds, checksum, key in
 front, length, number of tokens, the word before) score it for each kind or for none. A dynamic program over the region
 chooses boundaries and kinds together, so a number is never both part of a phone number and a card. Spans of the field that touch
@@ -35,8 +35,8 @@ MAX_TOKENS = 4
 REGION_TOKENS = 24
 TRAIN_TEXTS = 20_000
 TRAIN_REGIONS = 1_500
-EPOCHS = 4
-LEFT_OUT = 0.2
+EPOCHS = 6
+LEFT_OUT = 0.1
 MARGIN = 2.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -45,6 +45,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]*[0-9](?<=[\x20().0-9-][0-9])")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+GAPS = " \t\n\x0b\x0c\r"
+#: Tokens before a region's first mark that belong to it.
+NEIGHBOURS = 2
 _MARKED = re.compile(r"[0-9@]")
 
 Span = tuple[str, int, int]
@@ -93,27 +96,29 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of each region: marked tokens and one neighbour on either side, in runs of at most ``REGION_TOKENS``.
+    """Token spans of each region: marked tokens and those before the first, in runs of at most ``REGION_TOKENS``.
     Only the surroundings of marks are looked at."""
     run: list[tuple[int, int]] = []
     at = 0
     while found := _MARKED.search(text, at):
         start = found.start()
-        while start > at and not text[start - 1] in " \t\n\x0b\x0c\r":
+        while start > at and not text[start - 1] in GAPS:
             start -= 1
         token = _TOKEN.match(text, start)
-        if run and (text[run[-1][1] : start].strip(" \t\n\x0b\x0c\r") or len(run) >= REGION_TOKENS - 1):
+        if run and (text[run[-1][1] : start].strip(GAPS) or len(run) >= REGION_TOKENS - 1):
             yield run
             run = []
         if not run:
             before = start
-            while before > 0 and text[before - 1] in " \t\n\x0b\x0c\r":
-                before -= 1
-            first = before
-            while first > max(0, before - 32) and text[first - 1] not in " \t\n\x0b\x0c\r":
-                first -= 1
-            if first < before:
-                run.append((first, before))
+            for _ in range(NEIGHBOURS):
+                while before > at and text[before - 1] in GAPS:
+                    before -= 1
+                first = before
+                while first > max(at, before - 32) and text[first - 1] not in GAPS:
+                    first -= 1
+                if first < before:
+                    run.insert(0, (first, before))
+                before = first
         run.append((start, token.end()))
         # A short word between two marked tokens keeps them in one region.
         after = _TOKEN.search(text, token.end())
@@ -147,8 +152,8 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         out.append("numeric")
     if 13 <= n <= 19 and not letters:
         out.append(f"luhn={luhn(digits)}")
-    if "@" in span:
-        out.append(f"at_dot={'.' in span.split('@')[-1]}")
+    out.append(f"at={span.count('@')}" if "@" not in span else f"at={'.' in span.split('@')[-1]}")
+    out.append(f"mixed={bool(n and letters)}, at={'@' in span}")
     parts = span.split(".")
     if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts):
         out.append(f"quad={max(map(int, parts)) <= 255}")
