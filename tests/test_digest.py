@@ -305,3 +305,20 @@ def test_digest_text(spark):
     ]
     again = render.digest_bodies(render.digest_lines(df.repartition(7))).first()["body"].split("\n")
     assert again == body
+
+
+def test_transcripts_are_asked_for_once(spark, tmp_path):
+    from tidings.operators.model import transcribe
+
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def complete(prompt):
+        import uuid
+
+        (log / uuid.uuid4().hex).touch()
+        return "said"
+
+    told = transcribe(spark.createDataFrame([(f"u{i}",) for i in range(5)], "url string"), complete)
+    assert told.count() == 5 and len(told.collect()) == 5
+    assert len(list(log.iterdir())) == 5

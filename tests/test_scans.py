@@ -285,3 +285,27 @@ def test_empty_run_leaves_nothing(spark, run, tmp_path):
     done = publish_run(run.items.limit(0), str(tmp_path), F.lit("P"), lambda p: "x", as_of())
     assert read_archive(spark, done.archive).count() == 0
     assert spark.read.schema("run_date date").parquet(done.digests).count() == 0
+
+
+def test_caps_cut_before_each_shuffle_at_any_size(spark):
+    from pyspark.sql import functions as F
+
+    from tidings.operators.ordered import top_per_group
+
+    df = spark.range(20000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    for cap in (50, 1000, 1001, 5000):
+        top = top_per_group(df, ["g"], [F.col("v")], cap, cap, ["v"])
+        assert top._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+        assert top.count() == sum(min(cap, n) for n in (6667, 6667, 6666))
+
+
+def test_a_limit_above_the_bound_is_refused(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from tidings.operators.ordered import top_per_group
+
+    df = spark.range(50).select(F.lit(1).alias("g"), F.col("id").alias("v"), F.lit(20).alias("own"))
+    with pytest.raises(PySparkException, match="above 10"):
+        top_per_group(df, ["g"], [F.col("v")], F.col("own"), 10, ["v"]).collect()

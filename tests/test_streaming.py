@@ -41,11 +41,11 @@ def test_runs_take_only_what_is_new(spark, tmp_path):
 def test_refetched_items_are_dropped_within_the_delay(spark, tmp_path, spread):
     folder = tmp_path / "in"
     land(folder, "1.json", ("a", "s", "rss", "2025-05-22 10:00:00"), ("a", "t", "rss", "2025-05-22 10:00:00"))
-    stream = drop_refetched(landed_stream(spark, str(folder), SCHEMA, files_per_trigger=1), "2 days", spread=spread)
+    stream = drop_refetched(landed_stream(spark, str(folder), SCHEMA, files_per_trigger=1), "2 days", time="publish_date", spread=spread)
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     run_available(stream, "t", out, progress)
     land(folder, "2.json", ("a", "s", "rss", "2025-05-22 10:30:00"), ("b", "s", "rss", "2025-05-23 10:00:00"))
-    stream = drop_refetched(landed_stream(spark, str(folder), SCHEMA, files_per_trigger=1), "2 days", spread=spread)
+    stream = drop_refetched(landed_stream(spark, str(folder), SCHEMA, files_per_trigger=1), "2 days", time="publish_date", spread=spread)
     run_available(stream, "t", out, progress)
     assert rows(read_run(spark, out, stream), "source_name", "id") == [("s", "a"), ("s", "b"), ("t", "a")]
 

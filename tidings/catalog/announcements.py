@@ -173,7 +173,8 @@ lines AS (
   SELECT run_date, '## Unified Content Digest' AS line FROM days UNION ALL SELECT run_date, '' FROM days
   UNION ALL SELECT DISTINCT run_date, '**Global Overview:**' FROM overview
   UNION ALL SELECT run_date, regexp_replace(sentence, '([^.!?])$', '\\1.') FROM overview
-  UNION ALL SELECT DISTINCT run_date, '**Key Information:**' FROM secs UNION ALL SELECT DISTINCT run_date, '' FROM secs
+  UNION ALL SELECT DISTINCT run_date, '**Key Information:**' FROM secs WHERE section IN ('product', 'research')
+  UNION ALL SELECT DISTINCT run_date, '' FROM secs WHERE section IN ('product', 'research')
   UNION ALL SELECT run_date, CASE section WHEN 'product' THEN '### Product Announcements & Releases' WHEN 'research'
     THEN '### Research Breakthroughs & Significant Findings' ELSE '**Promotional Offers:**' END FROM secs
   UNION ALL SELECT run_date, '' FROM secs

@@ -65,12 +65,27 @@ def t2_refetch_dedup(spark, sf_dir):
     items = _as_items(_landed_events(spark, sf_dir))
     times = F.when(F.col("source_name") == "view-0", 12).otherwise(2)
     fetched = items.withColumn("fetch", F.explode(F.sequence(F.lit(1), times)))
-    kept = drop_refetched(fetched, "2 days", spread=["fetch"]).drop("fetch")
+    fetched = fetched.withColumn("fetched_at", A.as_of() + F.make_interval(mins=F.col("fetch")))
+    kept = drop_refetched(fetched, "2 days", spread=["fetch"]).drop("fetch", "fetched_at")
     _, path = run_available(kept, "deduplicated")
     done = read_run(spark, path, kept)
     return done.select("source_name", "id", A.ts_text(F.col("publish_date")).alias("published"))
 
 
+@query("t2_late_new_items", f"WITH {EVENTS} SELECT source_name, id, {ts('ts')} AS published FROM ev")
+def t2_late_new_items(spark, sf_dir):
+    """Three daily fetches, each with items of all ages that were never seen and with all that the fetch before it had."""
+    items = _as_items(A.events(spark, sf_dir)).withColumn("third", F.pmod(F.col("id").cast("long"), F.lit(3)))
+    landing, output, progress = (new_table_path(spark, f"late{name}") for name in ("", "-kept", "-progress"))
+    schema = "id string, source_name string, source_type string, publish_date timestamp, third long, fetched_at timestamp"
+    for day in range(3):
+        fetched = items.filter(F.col("third").isin(day, day - 1)).withColumn("fetched_at", A.as_of() + F.make_interval(days=F.lit(day)))
+        fetched.write.mode("append").parquet(landing)
+        kept = drop_refetched(landed_stream(spark, landing, schema, "parquet"), "2 days")
+        run_available(kept, "late", output, progress)
+    return read_run(spark, output, kept).select("source_name", "id", A.ts_text(F.col("publish_date")).alias("published"))
+
+
 @query("t3_daily_counts", f"""
 WITH {EVENTS}
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, source_type, count(*) AS items FROM ev

@@ -62,8 +62,8 @@ def call_model_once(requests: DataFrame, prompt: str, complete, reply: str = "re
 
 
 def transcribe(videos: DataFrame, complete: Callable[[str], str | None], partitions: int | None = None) -> DataFrame:
-    """M4: ``url, transcript, status`` for each distinct url; the table J3 joins. A failed call's transcript is the text
+    """M4: ``url, transcript, status`` for each distinct url, written once; the table J3 joins. A failed call's transcript is the text
     that says so; keep only status ``ok`` to leave such items as they are."""
     asked = videos.select("url").distinct().withColumn("prompt", F.concat(F.lit(TRANSCRIBE_PROMPT), F.col("url")))
-    replies = call_model(asked, "prompt", complete, "transcript", partitions)
+    replies = call_model_once(asked, "prompt", complete, "transcript", partitions)
     return replies.select("url", "transcript", "status")

@@ -23,14 +23,24 @@ def top_per_group(
     spread: list[str],
     rank: str | None = None,
 ) -> DataFrame:
-    """The first ``limit`` rows of each group (``limit`` may differ by row, never above ``max_limit``).
+    """The first ``limit`` rows of each group. ``limit`` may differ by row; one above ``max_limit`` stops the job.
 
     ``order`` must be total. Groups are cut twice: first inside slots hashed from ``spread``, then whole. Both cuts
     are by a constant, so Spark also cuts before each shuffle; the second sees at most ``SLOTS * max_limit`` rows of a
     group, however large the group is.
     """
+    # Spark cuts groups before a shuffle only up to this bound.
+    threshold = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(df.sparkSession.conf.get(threshold)) < max_limit:
+        df.sparkSession.conf.set(threshold, str(max_limit))
     bound = F.lit(max_limit)
-    wanted = F.lit(limit) if isinstance(limit, int) else limit
+    if isinstance(limit, int):
+        if limit > max_limit:
+            raise ValueError(f"a limit is above {max_limit}")
+        wanted = F.lit(limit)
+    else:
+        refused = F.raise_error(F.lit(f"a limit is above {max_limit}")).cast("int")
+        wanted = F.when(limit > bound, refused).otherwise(limit)
     name = rank or "_rank"
     slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*spread), F.lit(SLOTS)))
     in_slot = W.partitionBy(*group, "_slot").orderBy(*order)
@@ -38,7 +48,7 @@ def top_per_group(
     kept = (
         slotted.withColumn("_n", F.row_number().over(in_slot)).filter(F.col("_n") <= bound).drop("_n", "_slot")
         .withColumn(name, F.row_number().over(in_group))
-        .filter((F.col(name) <= bound) & (F.col(name) <= wanted))
+        .filter(F.col(name) <= bound).filter(F.col(name) <= wanted)
     )
     return kept if rank else kept.drop(name)
 

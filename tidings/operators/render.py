@@ -68,7 +68,8 @@ def callout_lines(items: DataFrame, rules=RULES, threshold: float = 1.0) -> Data
     bullets = chosen.select("run_date", _section_no(F.col("section")).alias("part_no"), *keep)
     sections = found.select("run_date", "section").distinct()
     heading = F.coalesce(*[F.when(F.col("section") == s, F.lit(h)) for s, (_, h) in HEADINGS.items()])
-    days = sections.select("run_date").distinct()
+    # Offers stand under a heading of their own; a day of offers alone has no key information.
+    days = sections.filter("section <> 'promo'").select("run_date").distinct()
     return _all(
         bullets,
         _lines(days, 2, ""),

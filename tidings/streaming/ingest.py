@@ -26,9 +26,10 @@ def landed_stream(
 
 
 def drop_refetched(
-    items: DataFrame, delay: str, time: str = "publish_date", spread: list[str] | None = None,
+    items: DataFrame, delay: str, time: str = "fetched_at", spread: list[str] | None = None,
 ) -> DataFrame:
-    """Each ``(source_name, id)`` once, as long as its copies come within ``delay`` of each other.
+    """Each ``(source_name, id)`` once, as long as its copies are fetched within ``delay`` of each other. Lateness is that of
+    the fetch and not of the item: an old article that was never seen is new.
 
     ``spread`` names columns in which copies differ (when or where they were fetched). Copies are then first dropped
     inside slots of these, so that an item fetched without end is not one task's work; the price is a second state.
