@@ -113,10 +113,11 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return keyed.join(leaders, ["band", "key"])
 
 
-def _near_pairs(sides: np.ndarray, ids: np.ndarray, labels: np.ndarray, signatures: np.ndarray, place: int | None) -> list[tuple[int, int]]:
-    """Pairs of probes and targets of one block that look similar and differ in their component: all of them, or for
-    each probe the one at this place in the order of likeness (the last if there are fewer)."""
-    probes, targets = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+def _near_pairs(band: int, sides: np.ndarray, ids: np.ndarray, labels: np.ndarray, signatures: np.ndarray, bands: np.ndarray, place: int | None) -> list[tuple[int, int]]:
+    """Pairs of probes and targets of one block that look similar and differ in their component: for each probe the one
+    at this place in the order of likeness (the last if there are fewer), or all, each in the first band that the two share
+    and from one side only."""
+    probes, targets = np.flatnonzero(sides == PROBE), np.flatnonzero(sides != PROBE)
     values, found = signatures[targets], []
     for i in probes:
         agreeing = (values == signatures[i]).sum(axis=1)
@@ -124,10 +125,16 @@ def _near_pairs(sides: np.ndarray, ids: np.ndarray, labels: np.ndarray, signatur
         if place is not None and len(near) > 1:
             ordered = near[np.lexsort((ids[targets[near]], -agreeing[near]))]
             near = ordered[min(place, len(ordered) - 1) :][:1]
+        elif place is None and len(near):
+            other = targets[near]
+            first = (bands[other] == bands[i]).argmax(axis=1) == band
+            near = near[first & ((sides[other] == SETTLED) | (ids[other] > ids[i]))]
         found += [(int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[targets[near]]]
     return found
 
 
+#: A block's rows: a node to be compared, a node of the bucket's largest component, any other node of the bucket.
+PROBE, SETTLED, LOOSE = 0, 1, 2
 BLOCK = ["band", "key", "i", "j"]
 
 
@@ -150,9 +157,11 @@ def _compared(place: int | None):
         bounds = [*starts, until] if final else starts
         sides, ids, labels = (rows.column(c).to_numpy() for c in ("side", "set_id", "label"))
         signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, 2 * LONG_FUNCTIONS)
-        found = []
+        flat = rows.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        bands, found = flat.reshape(rows.num_rows, BANDS), []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            found += _near_pairs(sides[a:b], ids[a:b], labels[a:b], signatures[a:b], place)
+            band = int(key[a, 0]) if a < b else 0
+            found += _near_pairs(band, sides[a:b], ids[a:b], labels[a:b], signatures[a:b], bands[a:b], place)
         columns = list(zip(*set(found), strict=True)) or [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
         return rows.slice(until)
@@ -190,15 +199,15 @@ def open_pairs(inside: DataFrame, signed: DataFrame, done: DataFrame, place: int
     bucket = ["band", "key"]
     dealt = F.xxhash64("set_id")
     probes = inside.filter("label <> largest").select(
-        *bucket, "set_id", "label", F.lit(0).alias("side"), F.pmod(dealt, "probe_blocks").alias("i"),
+        *bucket, "set_id", "label", F.lit(PROBE).alias("side"), F.pmod(dealt, "probe_blocks").alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("target_blocks") - 1)).alias("j"),
     )
     targets = inside.select(
-        *bucket, "set_id", "label", F.lit(1).alias("side"),
+        *bucket, "set_id", "label", F.when(F.col("label") == F.col("largest"), SETTLED).otherwise(LOOSE).alias("side"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("probe_blocks") - 1)).alias("i"), F.pmod(dealt, "target_blocks").alias("j"),
     )
     blocks = probes.unionByName(targets).join(signed, "set_id")
-    sorted_blocks = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK).select(*BLOCK, "side", "set_id", "label", "signature")
+    sorted_blocks = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK).select(*BLOCK, "side", "set_id", "label", "signature", "bands")
     pairs = sorted_blocks.mapInArrow(_compared(place), "a long, b long").distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
@@ -215,7 +224,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = members.select("set_id").distinct().join(nodes.select("set_id", "doc_id"), "set_id")
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
     texts = through_table(texts, "texts")
-    signed = through_table(texts.mapInArrow(_signed, "set_id long, signature binary"), "signatures")
+    signed = texts.mapInArrow(_signed, "set_id long, signature binary").join(nodes.select("set_id", "bands"), "set_id")
+    signed = through_table(signed, "signatures")
 
     pairs = members.filter("set_id <> leader").groupBy("set_id").agg(F.min("leader").alias("a")).select("a", F.col("set_id").alias("b"))
     done = through_table(pairs, "pairs")
