@@ -45,7 +45,7 @@ MIN_AGREEING = 343
 #: Rounds in which a node is compared with one look-alike of other components, before all that are left are.
 SINGLE_ROUNDS = 2
 #: Nodes of a bucket that one task compares with one another at a time.
-PROBES, TARGETS = 128, 512
+PROBES, TARGETS = 512, 1024
 
 _U = np.uint64
 _A = mix(np.arange(1, LONG_FUNCTIONS + 1, dtype=_U)) | _U(1)
