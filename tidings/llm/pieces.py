@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ VARIANTS = 4
 LONG_WORD = 96
 SPACE_MARK = "▁"
 NO_MERGE = np.int64(1 << 62)
+FREE = np.int64(-1)
 _U = np.uint64
 
 
@@ -59,11 +61,10 @@ class Model:
         self.bytes = [m.id_to_piece(i).replace(SPACE_MARK, " ").encode() for i in range(n)]
         for b in range(256):
             self.bytes[self.byte0 + b] = bytes([b])
+        self.bytes_array = pa.array(self.bytes, pa.binary())
         merges = {(ids[p[:k]], ids[p[k:]]): i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
         self.size, self.merges = n, merges
-        keys = np.array([a * n + b for a, b in merges], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_pieces = keys[order], np.array(list(merges.values()), np.int64)[order]
+        self._index(np.array([a * n + b for a, b in merges], np.int64), np.array(list(merges.values()), np.int64))
         self.of_char = np.full(0x110000, -1, np.int32)
         for piece, i in ids.items():
             if len(piece) == 1:
@@ -71,12 +72,34 @@ class Model:
         self.of_char[ord(" ")] = self.of_char[ord(SPACE_MARK)]
         self.of_char[ord(SPACE_MARK)] = -1
 
+    def _index(self, keys: np.ndarray, pieces: np.ndarray) -> None:
+        """Pairs by hashed slot, a taken slot's pair in the next free one; at most a quarter of the slots is used."""
+        self.slots = 1 << (4 * len(keys)).bit_length()
+        self.slot_keys, self.slot_pieces = np.full(self.slots, FREE), np.full(self.slots, -1, np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.slot_keys[at] == FREE
+            self.slot_keys[at[free]] = keys[free]
+            placed = self.slot_keys[at] == keys
+            self.slot_pieces[at[placed]] = pieces[placed]
+            keys, pieces, at = keys[~placed], pieces[~placed], (at[~placed] + 1) % self.slots
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(_U)) % _U(self.slots)).astype(np.int64)
+
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
-        key = left * self.size + right
-        at = np.searchsorted(self.pair_keys, key)
-        at[at == len(self.pair_keys)] = 0
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_pieces[at], -1)
+        known = np.flatnonzero((left >= 0) & (right >= 0))
+        key = left[known] * self.size + right[known]
+        at = self._slot(key)
+        out = np.full(len(left), -1, np.int64)
+        while len(known):
+            seen = self.slot_keys[at]
+            same = seen == key
+            out[known[same]] = self.slot_pieces[at[same]]
+            on = ~same & (seen != FREE)
+            known, key, at = known[on], key[on], (at[on] + 1) % self.slots
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -302,12 +325,28 @@ def _encoded(name: str, rate: float, seed: int):
     return run
 
 
+def decode_batch(model: Model, pieces: pa.ListArray) -> pa.Array:
+    """The texts of a column of pieces, null where there are none."""
+    data = model.bytes_array.take(pieces.flatten())
+    ends = np.frombuffer(data.buffers()[1], np.int32)[: len(data) + 1]
+    counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+    bounds = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
+    # The space that stands before every text goes.
+    full = np.diff(bounds) > 0
+    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+    raw = np.delete(raw, bounds[:-1][full])
+    bounds = bounds - np.concatenate([[0], np.cumsum(full)])
+    joined = pa.Array.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)])
+    texts = joined.cast(pa.string())
+    return pc.if_else(pieces.is_null(), pa.scalar(None, pa.string()), texts)
+
+
 def _decoded(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(SparkFiles.get(name))
         for batch in batches:
-            texts = [None if p is None else decode(model, p) for p in batch.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            texts = decode_batch(model, batch.column("pieces"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return run
 
