@@ -57,6 +57,25 @@ def test_feed_faults_are_rows(spark):
                    ("rss", "entry without title or link: l4"), ("torn", "unreadable feed")]
 
 
+RDF = """<?xml version="1.0"?><rdf:RDF xmlns:rdf="r" xmlns:dc="d" xmlns="http://purl.org/rss/1.0/">
+<channel rdf:about="c"><title>T1</title><description>about</description></channel>
+<item rdf:about="u1"><title>a</title><link>l1</link><description>d</description><dc:date>2025-05-22T05:44:39Z</dc:date>
+  <dc:creator>Cy</dc:creator><dc:subject>ai</dc:subject></item>
+<item rdf:about="u2"><title>b</title><link>l2</link></item></rdf:RDF>"""
+
+
+def test_items_beside_their_channel(spark):
+    odd = "<other><channel><title>T</title><item><title>a</title><link>l</link></item></channel></other>"
+    df = feeds(spark).limit(0).unionByName(
+        spark.createDataFrame([("rdf", 0, RDF), ("odd", 1, odd)], "source_name string, source_ord int, body string").withColumns(
+            {"as_of": as_of(), "run_date": F.to_date(as_of()), "page_no": F.lit(0)}))
+    items = normalize.feed_items(read_feeds(df).filter(feed.complete()))
+    assert rows(items, "source_name", "id", "title", "url", "author", F.col("publish_date").cast("string"), metadata_text(F.col("metadata"))) == [
+        ("rdf", "u1", "a", "l1", "Cy", "2025-05-22 05:44:39", "{feedTitle=T1, feedDescription=about, categories=ai}"),
+        ("rdf", "u2", "b", "l2", "", None, "{feedTitle=T1, feedDescription=about, categories=}")]
+    assert rows(feed_errors(df), "source_name", "reason") == [("odd", "unreadable feed")]
+
+
 def post(i, created, **more):
     base = {"id": f"p{i}", "title": f"t{i}", "author": "u", "url": f"u{i}", "created": created, "score": i,
             "num_comments": 2, "over_18": False, "extra": [1]}
@@ -245,6 +264,83 @@ def test_backfill_equals_its_days(spark, sources):
     assert both.select("run_date").distinct().count() == 2
 
 
+def test_a_run_reads_its_own_fetch(spark, sources):
+    """The last fetch up to the run's time replaces earlier ones; older and later ones belong to other runs."""
+    own = landed(spark)
+    stale = own.filter("source_name in ('Feed', 'Forum', 'Site')")
+    history = [stale.withColumn("fetched_at", F.col("fetched_at") + F.expr(f"interval {h} hours")) for h in (-48, -2, 3)]
+    mixed = own
+    for fetch in history:
+        mixed = mixed.unionByName(fetch)
+    alone, among = (collect_items(p, sources, as_of()).items for p in (own, mixed))
+    columns = ("source_ord", "page_no", "item_pos", "id", "title")
+    assert rows(among.filter("author <> 'system' or author is null"), *columns) == rows(
+        alone.filter("author <> 'system' or author is null"), *columns)
+    assert rows(collect_items(mixed, sources).items.groupBy("run_date", "source_name", "id").count().filter("count > 1")) == []
+
+
+def test_history_is_cut_at_the_scan(spark, tmp_path):
+    landed(spark).write.parquet(str(tmp_path / "history"))
+    plan = resolve.of_run(spark.read.parquet(str(tmp_path / "history")), as_of())._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters:")[1]
+    assert "LessThanOrEqual(fetched_at" in pushed and "GreaterThan(fetched_at" in pushed
+
+
+def test_sources_of_one_name(spark, sources):
+    feed_source = sources.filter("source_name = 'Feed'")
+    second = feed_source.withColumn("source_ord", F.lit(90))
+    twins = feed_source.unionByName(second)
+    payload = landed(spark).filter("source_name = 'Feed'")
+    by_name = collect_items(payload, twins, as_of())
+    assert rows(by_name.items, "title") == [("f1",), ("f3",)]
+    assert rows(by_name.errors, "source_name", "stage", "reason") == [("Feed", "config", "another source has this name")]
+    told = collect_items(payload.withColumn("source_ord", F.lit(90)), twins, as_of())
+    assert rows(told.items, "source_ord", "title") == [(90, "f1"), (90, "f3")]
+    assert rows(told.errors, "source_name", "stage") == [("Feed", "landing")]
+
+
+def test_faults_of_scraped_pages_stay_with_their_source(spark, sources):
+    site = sources.filter("source_name = 'Site'")
+    bad = site.withColumns({"source_name": F.lit("Bad"), "source_ord": F.lit(80),
+                            "selectors": F.col("selectors").withField("articles", F.lit("article:first-child"))})
+    void = site.withColumns({"source_name": F.lit("Void"), "source_ord": F.lit(81)})
+    page_of = landed(spark).filter("source_name = 'Site'")
+    payloads = page_of.unionByName(page_of.withColumn("source_name", F.lit("Bad"))).unionByName(
+        page_of.withColumns({"source_name": F.lit("Void"), "body": F.lit(None).cast("string")}))
+    run = collect_items(payloads, site.unionByName(bad).unionByName(void), as_of())
+    assert rows(run.items, "source_name", "title") == [("Site", "Head")]
+    assert rows(run.errors, "source_name", "stage", "reason") == [
+        ("Bad", "config", "unsupported selector"), ("Void", "page", "unreadable page")]
+
+
+@pytest.mark.parametrize("selector", [
+    "a", "*", ".x.y", "div#i > p.q, li", "[rel=author]", "[data-x='1'] a", "a:first-child", "a[x^=y]", "a + b", "a ~ b", "[a=x y]", "", "h1,", "ü"])
+def test_selector_check_agrees_with_the_matcher(spark, selector):
+    from tidings.functions import html
+    from tidings.sources.config import unreadable_selectors
+
+    try:
+        html.select(html.parse("<a></a>"), selector)
+        refused = False
+    except ValueError:
+        refused = True
+    df = spark.range(1).select(F.struct(F.lit(selector).alias("articles"), *[F.lit(None).cast("string").alias(n) for n in ("title", "content", "date")]).alias("selectors"))
+    assert df.select(unreadable_selectors()).first()[0] == refused
+
+
+@pytest.mark.parametrize("path", ["client", "direct"])
+def test_a_torn_page_that_no_run_reads(spark, sources, path):
+    """``Forum`` (at most 3 posts): the run stops after two pages, so a torn third does not matter, a torn second does."""
+    now = landed(spark).selectExpr("unix_seconds(max(fetched_at))").first()[0]
+    good = [page([post(1, now), post(2, now)], "x"), page([post(3, now), post(4, now)], "y")]
+    for bodies, titles in (([*good, "{torn"], ["t1", "t2", "t3"]), ([good[0], "{torn", good[1]], ["placeholder"])):
+        data = [("Forum", "reddit", path, n, body) for n, body in enumerate(bodies)]
+        df = spark.createDataFrame(data, "source_name string, source_type string, path string, page_no int, body string")
+        items = collect_items(df.withColumn("fetched_at", as_of()), sources.filter("source_name = 'Forum'"), as_of()).items
+        got = [t if t.startswith("t") and len(t) == 2 else "placeholder" for (t,) in rows(items, "title")]
+        assert got == titles
+
+
 def test_each_branch_reads_only_its_payloads(spark, sources, tmp_path):
     """Payloads landed by type: a branch prunes the others, and bodies are not shuffled to meet their sources."""
     landed(spark).write.partitionBy("source_type").parquet(str(tmp_path / "landed"))

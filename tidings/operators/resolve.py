@@ -2,24 +2,65 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions.dates import run_day
 from tidings.functions.text import is_blank
-from tidings.session import broadcast_if
+from tidings.session import broadcast_counted, broadcast_if, through_table
 
 HANDLE_CANDIDATES = 5
 
 
+FETCH_HOURS = 24
+
+
+def of_run(payloads: DataFrame, as_of: Column | None, hours: int = FETCH_HOURS) -> DataFrame:
+    """What a run at ``as_of`` may read: payloads fetched in the ``hours`` up to it. Without ``as_of`` all are read.
+    The bounds are constants, so the scan skips the rest of the history."""
+    if as_of is None:
+        return payloads
+    fetched = F.col("fetched_at")
+    return payloads.filter((fetched <= as_of) & (fetched > as_of - F.make_dt_interval(hours=F.lit(hours))))
+
+
+def identity(payloads: DataFrame) -> list[str]:
+    """What names the source of a payload: its place in the source list where payloads carry it, else name and type."""
+    return ["source_name", "source_type", *(["source_ord"] if "source_ord" in payloads.columns else [])]
+
+
+def split_namesakes(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where payloads name their source only: the first source of each name and type, and an error row for the others."""
+    name = ["source_name", "source_type"]
+    first = sources.groupBy(*name).agg(F.min("source_ord").alias("source_ord"))
+    others = sources.join(first, [*name, "source_ord"], "left_anti").select(
+        "source_name", F.lit("config").alias("stage"), F.lit("another source has this name").alias("reason"),
+        F.lit(None).cast("string").alias("body_sha"),
+    )
+    return sources.join(first, [*name, "source_ord"], "left_semi"), others
+
+
 def bind(
     payloads: DataFrame, sources: DataFrame, as_of: Column | None = None, source_bound: int | None = None,
     zone: str = "UTC",
 ) -> DataFrame:
-    """Each payload with its source's settings; the run's time is ``as_of``, or when the payload was fetched."""
+    """Each payload of a run's own fetch with its source's settings.
+
+    The run's time is ``as_of``, or when the payload was fetched. All pages of one fetch carry the same ``fetched_at``;
+    of several fetches of one source, path and run day the last replaces the others. Which one that is, is found in
+    narrow columns and written down first, one row per fetch, so that the bodies are not shuffled for it.
+    """
+    keys = [*identity(payloads), "path", "run_date"]
     stamped = payloads.withColumn("as_of", F.col("fetched_at") if as_of is None else as_of)
-    return stamped.drop("fetched_at").withColumn("run_date", run_day(F.col("as_of"), zone)).join(
-        broadcast_if(sources.withColumnRenamed("url", "source_url"), source_bound), ["source_name", "source_type"]
+    stamped = stamped.withColumn("run_date", run_day(F.col("as_of"), zone))
+    last = through_table(stamped.groupBy(*keys).agg(F.max("fetched_at").alias("fetched_at")), "fetches")
+    last = last.select(*[F.col(c).alias(f"_{c}") for c in last.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "fetched_at"]])
+    own = stamped.join(broadcast_counted(last), same, "left_semi").drop("fetched_at")
+    return own.join(
+        broadcast_if(sources.withColumnRenamed("url", "source_url"), source_bound), identity(payloads)
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,19 +15,19 @@ from tidings.operators.enrich import add_transcripts
 from tidings.operators.limits import cap_per_source, recent_videos
 from tidings.operators.model import call_model_once
 from tidings.operators.normalize import article_items, feed_items, placeholder_items, post_items, video_items
-from tidings.operators.paging import pages_until_end
+from tidings.operators.paging import pages_until_end, pages_until_enough
 from tidings.operators.prompt import MAX_PROMPT_CHARS, batch_prompts
 from tidings.operators.publish import digests, index_entries, index_text, read_digests, write_archive, write_digests
 from tidings.operators.recency import is_recent, since_cutoff
 from tidings.operators.render import digest_bodies, digest_lines
-from tidings.operators.resolve import bind, listing_paths, resolve_channels
+from tidings.operators.resolve import FETCH_HOURS, bind, identity, listing_paths, of_run, resolve_channels, split_namesakes
 from tidings.operators.union import union_errors, union_items
 from tidings.session import broadcast_counted, broadcast_if, through_table
 from tidings.sources import feed, listing, video
 from tidings.sources.config import config_facts, split_sources
 from tidings.sources.feed import feed_errors, read_feeds
 from tidings.sources.listing import explode_posts, listing_errors, read_pages
-from tidings.sources.page import read_articles
+from tidings.sources.page import page_errors, read_articles
 from tidings.sources.video import read_videos, video_errors
 
 
@@ -48,6 +49,7 @@ class Options:
     keep_last_page: bool = True
     lenient_dates: bool = False
     resolve: str = "append"
+    fetch_hours: int = FETCH_HOURS
 
 
 def collect_items(
@@ -58,9 +60,16 @@ def collect_items(
     transcripts: DataFrame | None = None,
     options: Options = Options(),
 ) -> Run:
-    """All items of a run (or of many: without ``as_of`` each payload belongs to the day it was fetched)."""
+    """All items of a run (or of many: without ``as_of`` each payload belongs to the day it was fetched).
+
+    A run reads the last fetch of each source and path, of those of the ``fetch_hours`` up to ``as_of``.
+    """
     facts = config_facts(sources)
     valid, config_errors = split_sources(sources)
+    namesakes = None
+    if "source_ord" not in payloads.columns:
+        valid, namesakes = split_namesakes(valid)
+    payloads = of_run(payloads, as_of, options.fetch_hours)
     bound = bind(payloads, valid, as_of, facts.sources, options.zone)
     by_type = {kind: bound.filter(F.col("source_type") == kind) for kind in ("rss", "reddit", "youtube", "scrape")}
 
@@ -84,8 +93,8 @@ def collect_items(
     def faults() -> DataFrame:
         found = [] if as_of is None else [_not_landed(valid, payloads)]
         found += [config_errors, feed_errors(by_type["rss"]), listing_errors(by_type["reddit"]),
-                 video_errors(by_type["youtube"])]
-        return union_errors(*found, *([] if channel_errors is None else [channel_errors]))
+                 video_errors(by_type["youtube"]), page_errors(by_type["scrape"])]
+        return union_errors(*found, *[e for e in (namesakes, channel_errors) if e is not None])
 
     return Run(items, faults)
 
@@ -154,8 +163,8 @@ def _expected(sources: DataFrame, as_of: Column | None, options: Options) -> Dat
 
 def _not_landed(sources: DataFrame, payloads: DataFrame) -> DataFrame:
     """An error row for each source that must be fetched and of which nothing has landed."""
-    landed = payloads.select("source_name", "source_type").distinct()
-    missing = sources.filter(F.col("source_type") != "youtube").join(landed, ["source_name", "source_type"], "left_anti")
+    landed = payloads.select(*identity(payloads)).distinct()
+    missing = sources.filter(F.col("source_type") != "youtube").join(landed, identity(payloads), "left_anti")
     return missing.select(
         "source_name", F.lit("landing").alias("stage"), F.lit("no payload landed").alias("reason"),
         F.lit(None).cast("string").alias("body_sha"),
@@ -165,12 +174,29 @@ def _not_landed(sources: DataFrame, payloads: DataFrame) -> DataFrame:
 def _posts(bound: DataFrame, max_cap: int, options: Options, expected: DataFrame | None) -> DataFrame:
     """J5 picks the path; on the direct one L4b picks the pages; then cutoff and cap; then what nobody could read.
 
-    Every page is decoded once, into a table; the choices read its narrow columns only.
+    Every page is decoded once, into a table; the choices read its narrow columns only. A path is judged by the pages
+    that a run would have read: up to the first that cannot be read, and none after the one that fills it up.
     """
+    def fresh(child: Column) -> Column:
+        created = F.timestamp_seconds(child["data"]["created"].cast("long"))
+        whole = reduce(Column.__and__, [child["data"][c].isNotNull() for c in listing.REQUIRED])
+        return whole & since_cutoff(created, F.col("as_of"), F.col("time_range_days"))
+
     pages = through_table(
-        read_pages(bound).withColumns({"readable": F.col("children").isNotNull(), "size": F.size("children")}), "pages"
+        read_pages(bound).withColumns({
+            "readable": F.col("children").isNotNull(),
+            "size": F.coalesce(F.size("children"), F.lit(0)),
+            "valid": F.coalesce(F.size(F.filter("children", fresh)), F.lit(0)),
+        }),
+        "pages",
+    )
+    narrow = pages.select(
+        "run_date", "source_ord", "path", "page_no", "max_results", "after", "size", "valid", "readable"
     )
-    chosen = through_table(listing_paths(pages, F.col("readable")), "paths")
+    tried_client = pages_until_enough(narrow.filter("path = 'client'"))
+    tried_direct = pages_until_end(narrow.filter("path = 'direct'"), max_cap)
+    judged = tried_client.select(*narrow.columns).unionByName(tried_direct.select(*narrow.columns))
+    chosen = through_table(listing_paths(judged, F.col("readable")), "paths")
     keys = ["run_date", "source_ord", "path"]
     on_path = pages.join(broadcast_counted(chosen.filter("path is not null")), keys, "left_semi")
 

@@ -17,12 +17,15 @@ CONFIG = (
 
 PAYLOAD = "source_name string, source_type string, path string, page_no int, fetched_at timestamp, body string"
 
-RSS = (
-    "channel struct<title:string,description:string,item:array<struct<title:string,link:string,"
-    "guid:struct<_VALUE:string,_isPermaLink:string>,pubDate:string,date:string,creator:string,author:string,"
-    "category:array<string>,description:string,encoded:string>>>"
+RSS_ITEM = (
+    "struct<_about:string,title:string,link:string,guid:struct<_VALUE:string,_isPermaLink:string>,pubDate:string,"
+    "date:string,creator:string,author:string,category:array<string>,subject:array<string>,description:string,"
+    "encoded:string>"
 )
 
+# Items stand in the channel, in RSS 1.0 beside it.
+RSS = f"channel struct<title:string,description:string,item:array<{RSS_ITEM}>>, item array<{RSS_ITEM}>"
+
 ATOM = (
     "title string, subtitle string, entry array<struct<id:string,title:string,"
     "link:array<struct<_href:string,_rel:string>>,published:string,author:array<struct<name:string>>,"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,16 @@ def sort_key(sort_by: Column) -> Column:
     return F.when(lowered.isin(*SORTS), lowered).otherwise(F.lit("new"))
 
 
+# Runs of simple selectors, set apart by blanks, commas and ``>``: what ``functions.html`` can match.
+_SELECTOR = r"""(?U)^(?:[\s,>]|\.[\w-]+|#[\w-]+|\[[\w-]+(?:=["']?[^"'\]\s,>]*["']?)?\]|[\w-]+|\*)*$"""
+
+
+def unreadable_selectors() -> Column:
+    """Whether one of a source's selectors is beyond the supported ones."""
+    given = [F.col("selectors")[name] for name in ("articles", "title", "content", "date")]
+    return ~reduce(Column.__and__, [F.coalesce(s.rlike(_SELECTOR), F.lit(True)) for s in given])
+
+
 def source_fault() -> Column:
     """why a source cannot be read, or null. A blank required field counts as missing."""
     kind = F.col("source_type")
@@ -93,6 +104,7 @@ def source_fault() -> Column:
         .when((kind == "reddit") & is_blank(F.col("subreddit")), "Subreddit must be provided for Reddit source")
         .when((kind == "scrape") & is_blank(F.col("url")), "URL must be provided for web scraping source")
         .when((kind == "scrape") & F.col("selectors").isNull(), "Selectors must be provided for web scraping source")
+        .when((kind == "scrape") & unreadable_selectors(), "unsupported selector")
     )
 
 

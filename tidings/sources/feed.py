@@ -1,4 +1,4 @@
-"""RSS and Atom payloads to entries."""
+"""RSS (1.0 and 2.0) and Atom payloads to entries."""
 
 from __future__ import annotations
 
@@ -12,29 +12,37 @@ from tidings.schemas import ATOM, RSS
 XML = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 
 # The root element tells the dialect; it may stand behind a declaration, comments and a document type.
-ATOM_ROOT = r"(?s)^[\s\x{feff}]*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[\w.-]+:)?feed[\s>/]"
+BEFORE_ROOT = r"(?s)^[\s\x{feff}]*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[\w.-]+:)?"
+ATOM_ROOT = BEFORE_ROOT + r"feed[\s>/]"
+RSS_ROOT = BEFORE_ROOT + r"(?:rss|RDF)[\s>/]"
 
 
 def is_atom(body: str = "body") -> Column:
     return F.coalesce(F.col(body).rlike(ATOM_ROOT), F.lit(False))
 
 
+def is_rss(body: str = "body") -> Column:
+    return F.coalesce(F.col(body).rlike(RSS_ROOT), F.lit(False))
+
+
 def read_feeds(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """One row per entry, in feed order (``item_pos``). Reads both dialects in one pass."""
+    """One row per entry, in feed order (``item_pos``). Reads all dialects in one pass; other roots have no entries."""
     kept = [c for c in payloads.columns if c != body]
     atom = is_atom(body)
     feeds = payloads.select(
         *kept,
-        F.when(~atom, F.from_xml(F.col(body), RSS, XML)["channel"]).alias("rss"),
+        F.when(is_rss(body), F.from_xml(F.col(body), RSS, XML)).alias("rss"),
         F.when(atom, F.from_xml(F.col(body), ATOM, XML)).alias("atom"),
     )
     rows = feeds.select(
         *kept,
-        F.coalesce(F.col("rss.title"), F.col("atom.title")).alias("feed_title"),
-        F.coalesce(F.col("rss.description"), F.col("atom.subtitle")).alias("feed_description"),
-        F.posexplode(F.coalesce(F.transform("rss.item", _rss_entry), F.transform("atom.entry", _atom_entry))).alias(
-            "item_pos", "e"
-        ),
+        F.coalesce(F.col("rss.channel.title"), F.col("atom.title")).alias("feed_title"),
+        F.coalesce(F.col("rss.channel.description"), F.col("atom.subtitle")).alias("feed_description"),
+        F.posexplode(
+            F.coalesce(
+                F.transform(F.coalesce("rss.channel.item", "rss.item"), _rss_entry), F.transform("atom.entry", _atom_entry)
+            )
+        ).alias("item_pos", "e"),
     )
     return rows.select(*kept, "item_pos", "feed_title", "feed_description", "e.*")
 
@@ -47,7 +55,7 @@ def _rss_entry(e: Column) -> Column:
     guid = e["guid"]["_VALUE"]
     is_link = F.coalesce(F.lower(e["guid"]["_isPermaLink"]), F.lit("true")) == "true"
     return _entry(
-        uri=guid,
+        uri=F.coalesce(guid, e["_about"]),
         link=F.coalesce(e["link"], F.when(is_link, guid)),
         title=e["title"],
         description=e["description"],
@@ -55,7 +63,7 @@ def _rss_entry(e: Column) -> Column:
         # Parsed as part of the entry, so that a filter on the date does not parse it again.
         publish_date=feed_date(F.coalesce(e["pubDate"], e["date"])),
         author=F.coalesce(e["creator"], e["author"], F.lit("")),
-        categories=F.coalesce(e["category"], F.array().cast("array<string>")),
+        categories=F.coalesce(e["category"], e["subject"], F.array().cast("array<string>")),
     )
 
 
@@ -85,7 +93,7 @@ def feed_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
     sha = F.sha2(F.col(body), 256).alias("body_sha")
     rss_title = F.from_xml(F.col(body), "channel struct<title:string>", XML)["channel"]["title"]
     atom_title = F.from_xml(F.col(body), "title string", XML)["title"]
-    title = F.when(is_atom(body), atom_title).otherwise(rss_title)
+    title = F.when(is_atom(body), atom_title).when(is_rss(body), rss_title)
     feeds = payloads.filter(F.col(body).isNull() | title.isNull()).select(
         "source_name", F.lit("feed").alias("stage"), F.lit("unreadable feed").alias("reason"), sha
     )

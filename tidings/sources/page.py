@@ -65,6 +65,14 @@ def _articles(page: dict) -> Iterator[tuple]:
         )
 
 
+def page_errors(pages: DataFrame, body: str = "body") -> DataFrame:
+    """An error row for each page without a body. Selectors are checked with the source list."""
+    return pages.filter(F.col(body).isNull()).select(
+        "source_name", F.lit("page").alias("stage"), F.lit("unreadable page").alias("reason"),
+        F.lit(None).cast("string").alias("body_sha"),
+    )
+
+
 def first_author() -> Column:
     """The first place with a non-blank name."""
     places = [F.col(f"author_{i}") for i in range(len(AUTHOR_SELECTORS))]
