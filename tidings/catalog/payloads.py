@@ -381,3 +381,30 @@ def daily_run_items(spark, sf_dir):
     """The whole run over landed payloads: bind, scan, window, page rules, caps, records, union."""
     run = collect_items(*daily_inputs(spark, sf_dir), options=Options())
     return run.items.select("source_type", "source_name", F.replace("title", F.lit(" & "), F.lit(" ")).alias("title"))
+
+
+@query("j1_bind_fetches", f"""
+WITH {EVENTS}, found AS (
+  SELECT source_ord, title, cap, row_number() OVER (PARTITION BY source_ord ORDER BY event_id) AS rn FROM ev
+  WHERE source_type = 'rss' AND event_id % 3 <> 0
+    AND ts >= TIMESTAMP '2024-01-15 00:00:00' - days * INTERVAL 1 DAY AND ts < TIMESTAMP '2024-01-15 00:00:00')
+SELECT CAST(source_ord AS INT) AS source_ord, title FROM found WHERE rn <= cap
+""")
+def j1_bind_fetches(spark, sf_dir):
+    """Feeds fetched the day before, early on the run's day, in time, and after it, from sources that share two names:
+    a run reads each source's last fetch up to its time and no other."""
+    _, sources = daily_inputs(spark, sf_dir)
+    rows = A.events(spark, sf_dir).filter(kind() == "rss")
+    shared = F.concat(F.lit("feed "), (F.col("source_ord") % 2).cast("string"))
+
+    def fetch(part, hours):
+        fetched = F.make_interval(hours=F.lit(hours))
+        return A.feed_payloads(rows.filter(part)).withColumns({
+            "source_name": shared, "path": F.lit("http"), "fetched_at": A.as_of() + fetched})
+
+    third = F.col("event_id") % 3
+    payloads = fetch(third >= 0, -26).unionByName(fetch(third == 0, -3)).unionByName(fetch(third != 0, 0)).unionByName(
+        fetch(third >= 0, 1))
+    feeds = sources.filter(kind() == "rss").withColumn("source_name", shared)
+    run = collect_items(payloads, feeds, A.as_of())
+    return run.items.select("source_ord", F.replace("title", F.lit(" & "), F.lit(" ")).alias("title"))
