@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,6 +352,38 @@ def test_exchange_raises_likelihood():
     assert language_model.likelihood(two.T @ counts @ two) >= language_model.likelihood(pairs) - 1e-6
 
 
+def test_words_moved_in_tasks_go_where_the_sweep_moves_them():
+    r = np.random.default_rng(2)
+    size, free = 60, language_model.CLASSES
+    counts = r.poisson(0.3, (size, size)) * (1 + 9 * ((np.arange(size)[:, None] + np.arange(size)) % 4 == 0))
+    classes = np.append(np.arange(size - 1) % free, free)
+    one = np.eye(free + 1)[classes]
+    before, after, own, pairs = counts.T @ one, counts @ one, np.diag(counts).astype(float), one.T @ counts @ one
+    got = language_model.best_classes(classes[:-1], before[:-1], after[:-1], own[:-1], pairs)
+    want = [language_model.exchange_sweep(classes, before, after, own, pairs, np.array([u]))[u] for u in range(size - 1)]
+    assert got.tolist() == want and (got != classes[:-1]).any()
+
+
+def test_words_of_one_suffix_get_classes_of_their_own(spark, monkeypatch):
+    """Rare words of the same last three bytes, one kind after one frequent word and the other after another."""
+    r = random.Random(3)
+    nouns, verbs = ([f"{kind}{i}end" for i in range(400)] for kind in ("n", "v"))
+    rows = [(i, " ".join(f"the {r.choice(nouns)} to {r.choice(verbs)}" for _ in range(60))) for i in range(60)]
+    training = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {}
+    whole = language_model.cluster_words
+    monkeypatch.setattr(language_model, "cluster_words", lambda *x: kept.setdefault("got", whole(*x)))
+    # Words of a share below this are no units of their own.
+    monkeypatch.setattr(language_model, "UNIT_SHARE", 64)
+    language_model.scores(training).collect()
+    hashes = lambda w: language_model.tokens(pa.array([" ".join(w)]))[0][:-1].view(np.int64).tolist()
+    of = {x["word"]: x["class"] for x in kept["got"][0].collect()}
+    kinds = Counter((of[h], kind) for kind, w in enumerate((nouns, verbs)) for h in hashes(w) if h in of)
+    apart = sum(max(kinds[c, 0], kinds[c, 1]) for c in range(language_model.CLASSES))
+    # One class for the bucket would give 0.5.
+    assert sum(kinds.values()) > 700 and apart / sum(kinds.values()) > 0.7
+
+
 def test_toxicity_learns_pairs(spark, docs, none):
     r = random.Random(8)
     rows = []

@@ -4,16 +4,18 @@
 class of its own and stands before the first word.
 
 - **Counts** of all training words are made by key, over the whole corpus.
-- **Classes** come from exchange clustering. Its units are the words that make up at least 1/``UNIT_SHARE`` of the tokens (so
-  there are at most ``UNIT_SHARE`` of them, whatever the corpus) and, for all others, buckets of their last three bytes.
-  Spark counts unit bigrams over all training tokens; in each sweep it sums them to counts of unit and neighbour
-  class, and every unit, in order of frequency, moves to the class that gains most likelihood, the class counts following at once. The
-  assignment of the best likelihood is kept.
+- **Classes** come from exchange clustering of all training words. It starts from coarse units: the words that make up at least
+  1/``UNIT_SHARE`` of the tokens, each by itself, and buckets of the last three bytes for all others. From there every training word
+  has a class of its own. In each sweep Spark sums the word bigrams to counts of word and neighbour class, and each word goes to
+  the class that gains most likelihood: the frequent words one after another on the driver, the class counts following at once, all
+  others in tasks against the broadcast class pair counts, half of them (by hash) in each sweep, so that words alike don't swap
+  places, and of equally good classes each takes one by hash, so that they don't all crowd into one. The assignment is a table; that of the best likelihood is kept. Suffix buckets decide for words never seen in training only:
+  such a word gets the class that most training words of its bucket have.
 - **Smoothing**: transitions add ``TRANSITION_PRIOR`` to each class pair; in a class of T tokens and V words a word seen c times
   has (c + 1) / (T + V + 1), which leaves 1 / (T + V + 1) for words never seen.
 
-Scores need a count for every word. Words of at least 1/``KNOWN_SHARE`` of the tokens (at most ``KNOWN_SHARE`` words) go to
-the workers as a table of bounded size; all others are joined by hash, once per document and word, so no join key is
+Scores need a count and a class for every word. Words of at least 1/``KNOWN_SHARE`` of the tokens (at most ``KNOWN_SHARE`` words) go
+to the workers as a table of bounded size; all others are joined by hash, once per document and word, so no join key is
 frequent. Words are told apart by 64-bit hashes.
 
 Defined results: null counts as empty; an empty text is one token, its end; repeated rows stay and all count; a null doc_id
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.common import held_by_crc, prepare
-from tidings.llm.words import batch_bytes, word_spans
+from tidings.llm.words import batch_bytes, mix, word_spans
 from tidings.session import through_table
 
 UNIT_SHARE = 1024
@@ -42,6 +44,9 @@ SWEEPS = 6
 TRANSITION_PRIOR = 0.5
 #: Tokens counted together in a task before they are handed on.
 PENDING = 4_000_000
+WORD_PENDING = 1_000_000
+#: Words whose moves a task weighs together.
+CHUNK = 2048
 
 _U = np.uint64
 END_HASH = np.uint64(0xE0D)
@@ -211,12 +216,162 @@ def cluster(bigrams: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
     return best[1], best[2]
 
 
+def _word_paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+        _, at, n = np.unique(mix(first) * _U(3) + second, return_index=True, return_counts=True)
+        columns = [pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["first", "second", "n"])
+
+    firsts, seconds, pending = [], [], 0
+    for batch in batches:
+        hashes, _, _ = tokens(batch.column("text"))
+        firsts.append(_before(hashes, END_HASH).astype(_U))
+        seconds.append(hashes)
+        pending += len(hashes)
+        if pending > WORD_PENDING:
+            yield counted(np.concatenate(firsts), np.concatenate(seconds))
+            firsts, seconds, pending = [], [], 0
+    if pending:
+        yield counted(np.concatenate(firsts), np.concatenate(seconds))
+
+
+def word_bigrams(training: DataFrame) -> DataFrame:
+    """``(first, second, n)`` over all training words."""
+    pairs = training.select("text").mapInArrow(_word_paired, "first long, second long, n long")
+    return pairs.groupBy("first", "second").agg(F.sum("n").alias("n"))
+
+
+#: Places in a word's profile: classes before it, classes after it, and itself after itself.
+AFTER, OWN = CLASSES + 1, 2 * (CLASSES + 1)
+
+
+def word_profiles(bigrams: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(word, at, n)`` of the frequent words, and ``(word, known, class, profile)`` of all others.
+
+    ``classes(word, known, frequent, class)`` has one row per word. Known words are few and joined by broadcast, so that no
+    shuffle has a frequent key; counts of frequent words are summed before theirs.
+    """
+    known = F.broadcast(classes.filter("known").select(F.col("word").alias("other"), F.col("class").alias("at")))
+    rare = classes.filter("not known").select(F.col("word").alias("other"), F.col("class").alias("at"))
+    frequent = F.broadcast(classes.filter("frequent").select("word", F.lit(True).alias("frequent")))
+    sides = []
+    for word, other, other_known, place in (("second", "first", "first_known", 0), ("first", "second", "second_known", AFTER)):
+        side = bigrams.select(F.col(word).alias("word"), F.col(other).alias("other"), F.col(other_known).alias("other_known"), "n")
+        for part, named in ((side.filter("other_known"), known), (side.filter("not other_known"), rare)):
+            sides.append(part.join(named, "other").select("word", (F.col("at") + place).alias("at"), "n"))
+    sides.append(bigrams.filter("first = second").select(F.col("first").alias("word"), F.lit(OWN).alias("at"), "n"))
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side)
+    rows = rows.join(frequent, "word", "left")
+    driven = rows.filter("frequent").groupBy("word", "at").agg(F.sum("n").alias("n"))
+    # Dealt out by word once; both groupings keep to that.
+    others = rows.filter("frequent is null").select("word", "at", "n").repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n"))
+    others = others.groupBy("word").agg(F.collect_list(F.struct("at", "n")).alias("profile"))
+    return driven, others.join(classes.filter("not frequent").select("word", "known", "class"), "word")
+
+
+def best_classes(classes: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, n: np.ndarray, draw: np.ndarray | None = None) -> np.ndarray:
+    """For each word the class that ``exchange_sweep`` would move it to if it were the only one to move. ``left`` and
+    ``right`` count the classes before and after each word; most of their counts are 0, and only the others are looked at.
+    Of equally good classes (empty ones, say) the first counts, or the one that is drawn highest for the word."""
+    free, each = len(n) - 1, np.arange(len(classes))
+    left, right, n = left.astype(np.float64), right.astype(np.float64), n.astype(np.float64)
+    left[each, classes] -= own
+    right[each, classes] -= own
+    is_own = classes[:, None] == np.arange(free)
+    gain = np.zeros((len(classes), free))
+    for mine, across, cells in ((right, left, n), (left, right, n.T)):
+        w, c = np.nonzero(mine)
+        add = mine[w, c][:, None]
+        # What is left of a class pair's count without the word itself.
+        rest = cells[:free, c].T - is_own[w] * add - (classes[w] == c)[:, None] * (across[w, :free] + is_own[w] * own[w][:, None])
+        rest = np.maximum(rest, 0)
+        part = _xlogx(rest + add) - _xlogx(rest)
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        if len(w):
+            gain[w[starts]] += np.add.reduceat(part, starts, axis=0)
+    l, r, s = left[:, :free], right[:, :free], own[:, None]
+    from_left, from_right = left.sum(axis=1)[:, None], right.sum(axis=1)[:, None]
+    d = np.maximum(np.diag(n)[:free] - is_own * (r + l + s), 0)
+    gain += _xlogx(d + l + r + s) + _xlogx(d) - _xlogx(d + r) - _xlogx(d + l)
+    row = np.maximum(n.sum(axis=1)[:free] - l - is_own * (from_right + s), 0)
+    column = np.maximum(n.sum(axis=0)[:free] - r - is_own * (from_left + s), 0)
+    gain -= _xlogx(row + from_right + s) - _xlogx(row) + _xlogx(column + from_left + s) - _xlogx(column)
+    best = gain.argmax(axis=1)
+    if draw is not None:
+        best = np.where(gain >= gain[each, best][:, None] - 1e-9, draw, -1.0).argmax(axis=1)
+    return np.where(gain[each, best] > gain[each, classes] + 1e-9, best, classes)
+
+
+def _moved(sent, half: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sent.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(start, CHUNK)
+                words, classes = batch.column("word").to_numpy(), batch.column("class").to_numpy().astype(np.int64)
+                profile = batch.column("profile")
+                of = np.repeat(np.arange(len(words)), profile.value_lengths().to_numpy())
+                at, count = (profile.flatten().field(k).to_numpy() for k in (0, 1))
+                dense = np.zeros((len(words), OWN + 1))
+                dense[of, at] = count
+                draw = mix(words.view(_U)[:, None] + np.arange(CLASSES, dtype=_U) * _U(0x9E3779B97F4A7C15)) / 2.0**64
+                moved = best_classes(classes, dense[:, :AFTER], dense[:, AFTER:OWN], dense[:, OWN], n, draw)
+                moved = np.where((words & 1) == half, moved, classes)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("known"), pa.array(moved, pa.int32())], ["word", "known", "class"])
+
+    return run
+
+
+CLASS_COLUMNS = ["word", "known", "frequent", "class"]
+
+
+def cluster_words(training: DataFrame, start: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``(word, known, frequent, class)`` of all training words and the class pair counts, by exchange from ``start``."""
+    spark = training.sparkSession
+    known = F.broadcast(start.filter("known").select("word", F.lit(True).alias("flag")))
+    bigrams = word_bigrams(training)
+    for c in ("first", "second"):
+        flag = known.select(F.col("word").alias(c), F.col("flag").alias(f"{c}_known"))
+        bigrams = bigrams.join(flag, c, "left").withColumn(f"{c}_known", F.coalesce(f"{c}_known", F.lit(False)))
+    bigrams = through_table(bigrams, "word_bigrams")
+    classes, best = start, None
+    driven_words = {r["word"]: r["class"] for r in start.filter("frequent").collect()}
+    names = np.array(sorted(driven_words), np.int64)
+    driven_classes = np.array([driven_words[int(w)] for w in names], np.int64)
+    for sweep in range(SWEEPS + 1):
+        driven, others = word_profiles(bigrams, classes)
+        others = through_table(others, "profiles")
+        # At most UNIT_SHARE words and twice the classes.
+        rows = driven.toPandas()
+        dense = np.zeros((len(names), OWN + 1))
+        dense[np.searchsorted(names, rows["word"].to_numpy(np.int64)), rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+        pairs = np.zeros((CLASSES + 1, CLASSES + 1))
+        np.add.at(pairs, driven_classes, dense[:, AFTER:OWN])
+        summed = others.select("class", F.explode("profile").alias("x")).filter(F.col("x.at").between(AFTER, OWN - 1))
+        for r in summed.groupBy("class", (F.col("x.at") - AFTER).alias("at")).agg(F.sum("x.n").alias("n")).collect():
+            pairs[r["class"], r["at"]] += r["n"]
+        reached = likelihood(pairs)
+        if best is None or reached > best[0]:
+            best = (reached, classes, pairs)
+        if sweep == SWEEPS:
+            break
+        order = np.argsort(-dense[:, :AFTER].sum(axis=1), kind="stable")
+        order = order[driven_classes[order] < CLASSES]
+        driven_classes = exchange_sweep(driven_classes, dense[:, :AFTER], dense[:, AFTER:OWN], dense[:, OWN], pairs, order)
+        moved = others.mapInArrow(_moved(spark.sparkContext.broadcast(pairs), sweep % 2), "word long, known boolean, class int")
+        fixed = spark.createDataFrame([(int(w), True, True, int(c)) for w, c in zip(names, driven_classes, strict=True)], "word long, known boolean, frequent boolean, class int")
+        classes = through_table(moved.withColumn("frequent", F.lit(False)).select(*CLASS_COLUMNS).unionByName(fixed), "classes")
+    return best[1], best[2]
+
+
 class Scorer:
-    """What a worker needs: frequent words' counts, units' classes, transitions and class sizes, all of bounded size."""
+    """What a worker needs: known words' counts and classes, suffix buckets' classes, transitions and class sizes, all of bounded size."""
 
-    def __init__(self, known: np.ndarray, known_n: np.ndarray, units: Units, classes: np.ndarray, pairs: np.ndarray, words: np.ndarray):
+    def __init__(self, known: np.ndarray, known_n: np.ndarray, known_class: np.ndarray, by_suffix: np.ndarray, pairs: np.ndarray, words: np.ndarray):
         order = np.argsort(known)
-        self.known, self.known_n, self.units, self.classes = known[order], known_n[order], units, classes
+        self.known, self.known_n, self.known_class, self.by_suffix = known[order], known_n[order], known_class[order], by_suffix
         smooth = pairs + TRANSITION_PRIOR
         self.steps = np.log10(smooth / smooth.sum(axis=1, keepdims=True))
         self.sizes = np.log10(pairs.sum(axis=0) + words + 1)
@@ -225,33 +380,40 @@ class Scorer:
 
 
 def _partly_scored(sent):
-    names = ["n_tokens", "known_tokens", "log_counts", "log_model", "rest", "rest_n"]
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    """A token's code is its class, or the place of its word among the document's other words, behind all classes."""
+    names = ["n_tokens", "known_tokens", "log_counts", "codes", "by_suffix", "rest", "rest_n"]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Scorer = sent.value
         for batch in batches:
             hashes, buckets, text = tokens(batch.column("text"))
             n = batch.num_rows
-            unit = m.units.of(hashes, buckets)
-            cls = m.classes[unit]
-            model = m.steps[_before(cls, CLASSES), cls] - m.sizes[cls]
             at = np.searchsorted(m.known, hashes)
             at[at == len(m.known)] = 0
             is_known = m.known[at] == hashes if len(m.known) else np.zeros(len(hashes), bool)
-            # Where the end was never seen its class is empty; its one word is then as unlikely as its transition.
             logs = np.where(is_known, np.log10(m.known_n[at] + 1.0), 0.0) if len(m.known) else np.zeros(len(hashes))
+            codes = np.where(is_known, m.known_class[at], 0) if len(m.known) else np.zeros(len(hashes), np.int64)
             rest = np.flatnonzero(~is_known)
-            order = np.lexsort((hashes[rest], text[rest]))
-            words, owners = hashes[rest][order], text[rest][order]
+            order = rest[np.lexsort((hashes[rest], text[rest]))]
+            words, owners = hashes[order], text[order]
             fresh = np.ones(len(words), bool)
             fresh[1:] = (words[1:] != words[:-1]) | (owners[1:] != owners[:-1])
             begins = np.flatnonzero(fresh)
             times = np.diff(np.append(begins, len(words)))
-            ends = pa.array(np.searchsorted(owners[begins], np.arange(n + 1)), pa.int32())
+            bounds = np.searchsorted(owners[begins], np.arange(n + 1))
+            codes[order] = CLASSES + 1 + np.cumsum(fresh) - 1 - bounds[owners]
+            suffix = m.by_suffix[buckets[order[begins]]].astype(np.uint8)
+            first = np.searchsorted(text, np.arange(n + 1))
+            coded = []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                narrow = not b - a or codes[a:b].max() < 1 << 16
+                coded.append(codes[a:b].astype("<u2" if narrow else "<u4").tobytes())
+            ends = pa.array(bounds, pa.int32())
             columns = [
                 pa.array(np.bincount(text, minlength=n), pa.int64()), pa.array(np.bincount(text, is_known, minlength=n).astype(np.int64)),
-                pa.array(np.bincount(text, logs, minlength=n)), pa.array(np.bincount(text, model, minlength=n)),
+                pa.array(np.bincount(text, logs, minlength=n)), pa.array(coded, pa.binary()),
+                pa.array([suffix[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                 pa.ListArray.from_arrays(ends, pa.array(words[begins].view(np.int64), pa.int64())),
                 pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
             ]
@@ -261,7 +423,34 @@ def _partly_scored(sent):
     return run
 
 
-PARTS = "row long, doc_id long, n_tokens long, known_tokens long, log_counts double, log_model double, rest array<long>, rest_n array<int>"
+PARTS = "row long, doc_id long, n_tokens long, known_tokens long, log_counts double, codes binary, by_suffix binary, rest array<long>, rest_n array<int>"
+
+
+def _modelled(sent):
+    """The classes' part of the scores: the joined words' classes in their places, suffix buckets' where no word was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Scorer = sent.value
+        for batch in batches:
+            out = []
+            found = batch.column("found")
+            bounds = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())])
+            place, own = (found.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            rows = zip(batch.column("codes").to_pylist(), batch.column("by_suffix").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)
+            for i, (codes, suffix, n) in enumerate(rows):
+                others = np.frombuffer(suffix, np.uint8).astype(np.int64)
+                a, b = bounds[i], bounds[i + 1]
+                others[place[a:b]] = own[a:b]
+                named = np.concatenate([np.arange(CLASSES + 1), others])
+                cls = named[np.frombuffer(codes, "<u2" if len(codes) == 2 * n else "<u4")]
+                out.append(float((m.steps[_before(cls, CLASSES), cls] - m.sizes[cls]).sum()))
+            kept = [batch.column(c) for c in ("row", "doc_id", "n_tokens", "n_known", "logs")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64())], ["row", "doc_id", "n_tokens", "n_known", "logs", "log_model"])
+
+    return run
+
+
+MODELLED = "row long, doc_id long, n_tokens long, n_known long, logs double, log_model double"
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -273,36 +462,54 @@ def scores(docs: DataFrame) -> DataFrame:
     summed = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = summed["n"], summed["v"]
     # At most KNOWN_SHARE words can have so large a share.
-    known = counts.filter(F.col("n") * KNOWN_SHARE >= total).select("word", "n").toPandas()
-    hashes, n = known["word"].to_numpy(np.int64).view(_U), known["n"].to_numpy(np.int64)
-    units = Units(hashes[(n * UNIT_SHARE >= total) & (hashes != END_HASH)])
-    bigrams = through_table(unit_bigrams(training, units), "bigrams")
-    classes, pairs = cluster(bigrams, units)
-
-    frequent = {int(h): int(classes[u]) for u, h in enumerate(units.frequent.view(np.int64))}
-    named = F.broadcast(spark.createDataFrame([*frequent.items()], "word long, own int"))
-    by_suffix = F.broadcast(spark.createDataFrame([(b, int(classes[len(frequent) + b])) for b in range(SUFFIXES + 1)], "bucket long, class int"))
-    sized = counts.join(by_suffix, "bucket").join(named, "word", "left").groupBy(F.coalesce("own", "class").alias("class")).count()
-    words = np.zeros(CLASSES + 1)
-    for r in sized.collect():
-        words[r["class"]] = r["count"]
-    sent = spark.sparkContext.broadcast(Scorer(hashes, n, units, classes, pairs, words))
+    is_end = F.col("word") == int(END_HASH)
+    is_known = (F.col("n") * KNOWN_SHARE >= total) | is_end
+    top = counts.filter((F.col("n") * UNIT_SHARE >= total) & ~is_end).select("word").toPandas()
+    units = Units(top["word"].to_numpy(np.int64).view(_U))
+    coarse = through_table(unit_bigrams(training, units), "bigrams")
+    coarse_classes, _ = cluster(coarse, units)
+
+    of_unit = {int(h): int(coarse_classes[u]) for u, h in enumerate(units.frequent.view(np.int64))}
+    named = F.broadcast(spark.createDataFrame([*of_unit.items(), (int(END_HASH), CLASSES)], "word long, own int"))
+    of_bucket = F.broadcast(spark.createDataFrame([(b, int(coarse_classes[len(units.frequent) + b])) for b in range(SUFFIXES + 1)], "bucket long, class int"))
+    start = counts.join(of_bucket, "bucket").join(named, "word", "left").select(
+        "word", is_known.alias("known"), F.col("own").isNotNull().alias("frequent"), F.coalesce("own", "class").alias("class")
+    )
+    classes, pairs = cluster_words(training, through_table(start, "classes"))
+
+    lexicon = through_table(counts.join(classes, "word"), "lexicon")
+    # A class may have many words of a bucket; of equal ones the least class counts.
+    sized = lexicon.groupBy("bucket", "class").count().collect()
+    words, shares = np.zeros(CLASSES + 1), np.zeros((SUFFIXES + 1, CLASSES + 1))
+    for r in sized:
+        words[r["class"]] += r["count"]
+        shares[r["bucket"], r["class"]] += r["count"]
+    by_suffix = np.where(shares.any(axis=1), shares.argmax(axis=1), words[:CLASSES].argmax())
+    by_suffix[END_BUCKET] = CLASSES
+    known = lexicon.filter("known").select("word", "n", "class").toPandas()
+    hashes, n, known_class = known["word"].to_numpy(np.int64).view(_U), known["n"].to_numpy(np.int64), known["class"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(Scorer(hashes, n, known_class, by_suffix, pairs, words))
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     parts = through_table(numbered.mapInArrow(_partly_scored(sent), PARTS), "parts")
-    rest = parts.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.rest_n").alias("times"))
-    seldom = counts.filter(F.col("n") * KNOWN_SHARE < total).select("word", "n")
+    rest = parts.select("row", F.posexplode(F.arrays_zip("rest", "rest_n")).alias("place", "x")).select(
+        "row", "place", F.col("x.rest").alias("word"), F.col("x.rest_n").alias("times")
+    )
+    seldom = lexicon.filter("not known").select("word", "n", "class")
     found = rest.join(seldom, "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rest_logs"), F.sum("times").alias("rest_known")
+        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rest_logs"), F.sum("times").alias("rest_known"),
+        F.collect_list(F.struct("place", "class")).alias("found"),
     )
     zero = F.lit(0.0)
-    logs = F.col("log_counts") + F.coalesce("rest_logs", zero)
+    joined = parts.drop("rest", "rest_n").join(found, "row", "left").select(
+        "row", "doc_id", "n_tokens", (F.col("known_tokens") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
+        (F.col("log_counts") + F.coalesce("rest_logs", zero)).alias("logs"), "codes", "by_suffix", "found",
+    )
     return (
-        parts.drop("rest", "rest_n").join(found, "row", "left")
+        joined.mapInArrow(_modelled(sent), MODELLED)
         .select(
-            "doc_id", held_by_crc("doc_id", 7, 2).alias("held_out"), "n_tokens",
-            (F.col("known_tokens") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-            (logs - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (logs + F.col("log_model")).alias("score"),
+            "doc_id", held_by_crc("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+            (F.col("logs") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (F.col("logs") + F.col("log_model")).alias("score"),
         )
         .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     )
