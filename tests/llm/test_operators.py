@@ -224,6 +224,21 @@ def test_both_ways_of_merging_agree(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(fast, slow, strict=True))
 
 
+def test_each_occurrence_has_its_own_draw():
+    model, n = pieces.load(MODEL), 2000
+    flat, first = pieces.encode_batch(model, ["international " * n], np.array([7]), 0.1, 1)
+    assert len(first) == 2 and pieces.decode(model, flat.tolist()) == "international " * n
+    texts = ["international"] * n
+    flat, first = pieces.encode_batch(model, texts, np.arange(n), 0.1, 1)
+    whole, _ = pieces.encode_batch(model, texts[:1], np.arange(1), 0.0, 1)
+    got = [tuple(flat[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert len(set(got)) > 20 and tuple(whole.tolist()) in got
+    # Occurrence by occurrence the same as the agenda with the occurrence's key.
+    symbols = [int(model.of_char[ord(c)]) for c in " international"]
+    keys = mix(mix(np.arange(n, dtype=np.int64).view(np.uint64) + np.uint64(1)))
+    assert got == [tuple(pieces.merge_one(model, symbols, int(k), 0.1)) for k in keys]
+
+
 def test_shards(docs, none):
     got = sorted(sharding.byte_shards(docs).collect(), key=lambda r: (r["shard"], r["slot"]))
     want = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows_of(docs))

@@ -2,12 +2,13 @@
 
 A text is cut before each run of spaces (no piece of such a model has a space after another character). Inside a cut the
 agenda holds the adjacent symbols whose union is a piece; the best-scored merge goes first, the leftmost of equal ones.
-A candidate merge is skipped for good if a hash keyed by the seed, the word, the word's variant, the candidate's place and
-its piece falls below the dropout rate. Each occurrence of a word draws one of ``VARIANTS`` variants by a hash keyed by
-the seed, the document and the occurrence, so equal words are segmented in different ways, and a rerun gives the same
-pieces. At rate 0 the result is that of the model's own library.
+A candidate merge is skipped for good if a hash keyed by the seed, the document, the word's occurrence in it, the candidate's
+place and its piece falls below the dropout rate. So every occurrence of a word has a draw of its own, and a rerun gives the
+same pieces. At rate 0 the result is that of the model's own library.
 
-Words of a batch are encoded together: one array step makes the next merge of every distinct word. Words above
+Words of a batch are encoded together: one array step makes the next merge of every word. Distinct words are merged without
+dropout first, and the candidates they offer on the way are noted; an occurrence that skips none of these gets that result, all
+others are merged one by one. Words above
 ``LONG_WORD`` characters go through a heap, with the same result. Characters outside the vocabulary, and the model's
 own space mark where it stands in a text, are written as bytes, so decoding gives back every text exactly.
 
@@ -34,7 +35,6 @@ from tidings.llm.words import mix, span_hashes
 
 DROPOUT = 0.1
 SEED = 20240229
-VARIANTS = 4
 LONG_WORD = 96
 SPACE_MARK = "▁"
 NO_MERGE = np.int64(1 << 62)
@@ -143,9 +143,12 @@ def merge_one(model: Model, symbols: list[int], key: int, rate: float) -> list[i
     return [s for s in sym if s != -2]
 
 
-def merge_all(model: Model, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+def merge_all(
+    model: Model, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """All words at once: ``symbols`` end to end, word ``w`` from ``first[w]`` to ``first[w + 1]``. Each step makes the next
-    merge of every word that still has one. Gives the symbols that are left and their places."""
+    merge of every word that still has one. Gives the symbols that are left and their places. ``offered`` takes the words,
+    places and pieces of all candidates."""
     n = len(symbols)
     sym = symbols.astype(np.int64)
     word = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -163,6 +166,8 @@ def merge_all(model: Model, symbols: np.ndarray, first: np.ndarray, keys: np.nda
         piece[has] = model.joined(sym[at[has]], sym[right[has]])
         able = piece >= 0
         w = word[at]
+        if offered is not None:
+            offered.append((w[able], (at - first[w])[able], piece[able]))
         able[able] = ~_skipped(keys[w[able]], (at - first[w])[able], piece[able], rate)
         # Rank first, then place: the least value is the next merge.
         best[at] = np.where(able, (model.rank[piece] << 40) + at, NO_MERGE)
@@ -209,50 +214,49 @@ def _with_bytes(model: Model, sym: np.ndarray, chars: np.ndarray) -> tuple[np.nd
     return out, width
 
 
-def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word the number of its distinct (word, variant), for each of those one occurrence, and all words' hashes.
+def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the number of its distinct word, and for each of those one occurrence.
     Words are told apart by a 64-bit hash of their bytes, and that all words equal their chosen one is then checked."""
-    hashes = span_hashes(data, start, end)
-    _, chosen, which = np.unique(mix(hashes + mix(variant.astype(_U))), return_index=True, return_inverse=True)
+    _, chosen, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
     lengths = end - start
     same = np.array_equal(lengths[chosen][which], lengths)
     if same:
         source = np.repeat(start[chosen][which] - start, lengths) + np.arange(len(data))
         same = np.array_equal(data[source], data)
     if not same:
-        known: dict[tuple[bytes, int], int] = {}
+        known: dict[bytes, int] = {}
         raw = data.tobytes()
-        spans = zip(start.tolist(), end.tolist(), variant.tolist(), strict=True)
-        which = np.array([known.setdefault((raw[a:b], v), len(known)) for a, b, v in spans])
+        which = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         chosen = np.unique(which, return_index=True)[1]
-    return which, chosen, hashes
-
-
-def encode_batch(model: Model, texts: list[str], doc_ids: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of all texts end to end, and where each text's begin (one place more at the end)."""
-    encoded = [b" " + t.encode() if t else b"" for t in texts]
-    data = np.frombuffer(b"".join(encoded), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in encoded], dtype=np.int64)])
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    space = data == 0x20
-    begins = space.copy()
-    begins[1:] &= ~space[:-1]
-    begins[bounds[:-1][np.diff(bounds) > 0]] = True
-    start = np.flatnonzero(begins)
-    end = np.append(start[1:], len(data))
-    per_doc = np.searchsorted(start, bounds)
-    doc = np.repeat(np.arange(len(texts)), np.diff(per_doc))
-    drawn = mix(mix(doc_ids.astype(np.int64).view(_U) + _U(seed))[doc] + (np.arange(len(start)) - per_doc[doc]).astype(_U))
-    variant = (drawn % _U(VARIANTS)).astype(np.int64) if rate > 0 else np.zeros(len(start), np.int64)
-    which, chosen, hashes = _distinct(data, start, end, variant)
-    keys = mix(hashes[chosen] + mix(variant[chosen].astype(_U) + _U(seed)))
-    raw = data.tobytes()
-    words = [raw[a:b] for a, b in zip(start[chosen].tolist(), end[chosen].tolist(), strict=True)]
-    joined = b"".join(words).decode()
-    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-    leads = (np.frombuffer(b"".join(words), np.uint8) & 0xC0) != 0x80
-    byte_first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    return which, chosen
+
+
+def _dropping(offered: list[tuple[np.ndarray, ...]], n_words: int, which: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+    """Whether each occurrence skips any of the candidates that its word offers without dropout."""
+    of, places, pieces = (np.concatenate(x) for x in zip(*offered, strict=True)) if offered else [np.zeros(0, np.int64)] * 3
+    order = np.argsort(of, kind="stable")
+    places, pieces = places[order], pieces[order]
+    counts = np.bincount(of, minlength=n_words)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros(len(which), bool)
+    # As many occurrences at a time as bound the memory.
+    for a in range(0, len(which), 1 << 16):
+        words = which[a : a + (1 << 16)]
+        n = counts[words]
+        at = np.repeat(begin[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        owner = np.repeat(np.arange(len(words)), n)
+        out[a + owner[_skipped(keys[a + owner], places[at], pieces[at], rate)]] = True
+    return out
+
+
+def _merged(
+    model: Model, words: list[bytes], keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of all words end to end, and how many each word has."""
+    joined = b"".join(words)
+    chars = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    leads = (np.frombuffer(joined, np.uint8) & 0xC0) != 0x80
+    byte_first = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
     first = np.concatenate([[0], np.cumsum(leads)])[byte_first]
     symbols = model.of_char[chars].astype(np.int64)
     long = np.flatnonzero(np.diff(first) > LONG_WORD)
@@ -260,7 +264,7 @@ def encode_batch(model: Model, texts: list[str], doc_ids: np.ndarray, rate: floa
     for w in long:
         # Taken out here and merged one by one; unknown symbols never merge.
         short_symbols[first[w] : first[w + 1]] = -1
-    sym, places = merge_all(model, short_symbols, first, keys, rate)
+    sym, places = merge_all(model, short_symbols, first, keys, rate, offered)
     owner = np.searchsorted(first, places, side="right") - 1
     pieces, width = _with_bytes(model, sym, chars[places])
     of_word = np.bincount(owner, weights=width, minlength=len(words)).astype(np.int64)
@@ -277,7 +281,43 @@ def encode_batch(model: Model, texts: list[str], doc_ids: np.ndarray, rate: floa
         parts = [special.get(w, pieces[at[w] : at[w + 1]]) for w in range(len(words))]
         pieces = np.concatenate(parts)
         of_word = np.array([len(x) for x in parts])
-        at = np.concatenate([[0], np.cumsum(of_word)])
+    return pieces, of_word
+
+
+def encode_batch(model: Model, texts: list[str], doc_ids: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of all texts end to end, and where each text's begin (one place more at the end)."""
+    encoded = [b" " + t.encode() if t else b"" for t in texts]
+    data = np.frombuffer(b"".join(encoded), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in encoded], dtype=np.int64)])
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    space = data == 0x20
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], len(data))
+    per_doc = np.searchsorted(start, bounds)
+    doc = np.repeat(np.arange(len(texts)), np.diff(per_doc))
+    keys = mix(mix(doc_ids.astype(np.int64).view(_U) + _U(seed))[doc] + (np.arange(len(start)) - per_doc[doc]).astype(_U))
+    which, chosen = _distinct(data, start, end)
+    raw = data.tobytes()
+
+    def spans(at: np.ndarray) -> list[bytes]:
+        return [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+
+    offered: list[tuple[np.ndarray, ...]] = []
+    pieces, of_word = _merged(model, spans(chosen), keys[chosen], 0.0, offered if rate > 0 else None)
+    if rate > 0:
+        # The heap notes no candidates: occurrences of a long word are all merged.
+        begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        dropping = _dropping(offered, len(chosen), which, keys, rate) | (begun[end] - begun[start] > LONG_WORD)
+        own = np.flatnonzero(dropping)
+        if len(own):
+            more, of_more = _merged(model, spans(own), keys[own], rate)
+            which[own] = len(chosen) + np.arange(len(own))
+            pieces, of_word = np.concatenate([pieces, more]), np.concatenate([of_word, of_more])
+    at = np.concatenate([[0], np.cumsum(of_word)])
     lengths = of_word[which]
     ends = np.cumsum(lengths)
     out = pieces[np.repeat(at[which] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
@@ -297,7 +337,7 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-#: Documents encoded together; equal words among them are encoded once.
+#: Documents encoded together; equal words among them that skip nothing are encoded once.
 GROUP_CHARS = 1_000_000
 
 
