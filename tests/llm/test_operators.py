@@ -127,6 +127,21 @@ def test_near_duplicates_in_chains_and_families(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: root(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """A family without ids, one whose id also stands on other texts, and near copies of one id."""
+    a, b, c = prose(100, 31), prose(100, 32), prose(100, 33)
+    rows = [(None, a), (None, edited(a, 1, 1)), (None, edited(a, 1, 2)), (1, b), (1, c), (2, edited(c, 1, 3)), (3, edited(b, 1, 4)), (1, edited(b, 1, 5))]
+    rows += [(1, prose(100, 40 + k)) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = {(r["doc_id"], r["text_key"]): r["label"] for r in near_dedup.components(docs).collect()}
+    key = {r["text"]: r["k"] for r in docs.select("text", near_dedup.text_key().alias("k")).collect()}
+    label = [labels[i, key[t]] for i, t in rows]
+    assert len(set(label[:3])) == 1 and label[3] == label[6] == label[7] and label[4] == label[5] and len(set(label)) == 13
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.kept_documents(docs).collect()]
+    of_kept = [labels[i, key[t]] for i, t in kept]
+    assert len(of_kept) == len(set(of_kept)) == 13 and {i for i, _ in kept} == {None, 1}
+
+
 def test_signatures_estimate_similarity():
     a = mix(np.arange(2000, dtype=np.uint64))
     b = np.concatenate([a[:1500], mix(np.arange(9000, 9500, dtype=np.uint64))])

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.common import component_labels, prepare, verified_links
@@ -51,7 +51,7 @@ _U = np.uint64
 _A = mix(np.arange(1, LONG_FUNCTIONS + 1, dtype=_U)) | _U(1)
 _B = mix(np.arange(1001, LONG_FUNCTIONS + 1001, dtype=_U))
 _WEIGHTS = mix(np.arange(5001, ROWS_PER_BAND + 5001, dtype=_U)) | _U(1)
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_id long, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, set_id long, bands array<long>"
 
 
 def min_max(shingles: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,15 +92,20 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(None)
                 bands.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_id", "bands"],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "n_shingles", "set_id", "bands"],
         )
 
 
+def text_key() -> Column:
+    """With the doc_id, what tells documents apart: ids may be null or repeated."""
+    return F.xxhash64("text")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document: its set's size, an id of the set (equal sets, equal ids) and its signature."""
+    """One row per document: a hash of its text, its set's size, an id of the set (equal sets, equal ids) and its signature."""
     prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_sketched, SKETCH_SCHEMA)
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(_sketched, SKETCH_SCHEMA)
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
@@ -212,17 +217,23 @@ def open_pairs(inside: DataFrame, signed: DataFrame, done: DataFrame, place: int
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs(doc_id, text)``."""
+def components(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, set_id, label, component_id)`` per row of ``docs(doc_id, text)``; ``label`` is a
+    component's own, null without words."""
     sketched = through_table(sketches(docs), "sketches")
     nodes = sketched.filter("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
+        F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"),
     )
     nodes = through_table(nodes, "nodes")
     members = through_table(bucket_members(nodes), "members")
     # The text of one document per set that shares a bucket, kept once for all comparisons.
-    wanted = members.select("set_id").distinct().join(nodes.select("set_id", "doc_id"), "set_id")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
+    wanted = members.select("set_id").distinct().join(
+        nodes.select("set_id", F.col("at.doc_id").alias("at_id"), F.col("at.text_key").alias("text_key")), "set_id"
+    )
+    given = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("_key") == F.col("text_key"))
+    texts = given.join(wanted, same).dropDuplicates(["set_id"]).select("set_id", "text")
     texts = through_table(texts, "texts")
     signed = texts.mapInArrow(_signed, "set_id long, signature binary").join(nodes.select("set_id", "bands"), "set_id")
     signed = through_table(signed, "signatures")
@@ -244,16 +255,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "label", F.coalesce("label", "set_id")
     )
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = named.join(least, "label").select("set_id", "component_id")
-    return (
-        sketched.drop("bands").join(classes, "set_id", "left")
-        .withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    classes = named.join(least, "label").select("set_id", "label", "component_id")
+    return sketched.drop("bands").join(classes, "set_id", "left").withColumn(
+        "component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs(doc_id, text)``."""
+    return components(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, each document once: of rows of the same doc_id and text any one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return joined.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """The rows of ``docs`` that are kept, each document once: of rows of the same doc_id and text any one, and of
+    several texts of a component that bear its id (or, all ids being null, none) one."""
+    named = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    worded = named.filter("set_id is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*")
+    kept = worded.unionByName(named.filter("set_id is null").select("doc_id", "text_key")).distinct().withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    keyed = docs.withColumn("_text", text_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
