@@ -348,6 +348,21 @@ def test_the_field_learns_whole_spans(spark):
     assert math.isclose(total + sum(table[t, t + 1][1][0] for t in range(at, n)), best(0), rel_tol=1e-9)
 
 
+def test_long_runs_are_one_region():
+    text = " ".join(f"a{k}" for k in range(100))
+    assert [len(r) for r in pii.regions(text)] == [100]
+    field = pii.Field({"tokens=2": np.eye(len(pii.LABELS))[1] * 9})
+    tokens = next(pii.regions(text))
+    assert [(i, j) for i, j, *_ in field.best(text, tokens)] == [(k, k + 2) for k in range(0, 100, 2)]
+    far = "token=" + "x" * 300 + "1"
+    assert "mixed=True, at=False" in pii.features(far, [(0, len(far))], 0, 1)
+
+
+def test_superscripts_are_no_quads():
+    text = "10.0.0.1²"
+    assert not any(f.startswith("quad") for f in pii.features(text, [(0, len(text))], 0, 1))
+
+
 def test_language_model_base_scores(docs, none):
     given = [(i, [*words(t), None]) for i, t in rows_of(docs)]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2

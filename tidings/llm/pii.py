@@ -96,7 +96,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of each region: marked tokens and those before the first, in runs of at most ``REGION_TOKENS``.
+    """Token spans of each region: marked tokens and those before the first, as long as the run goes on.
     Only the surroundings of marks are looked at."""
     run: list[tuple[int, int]] = []
     at = 0
@@ -105,7 +105,7 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         while start > at and not text[start - 1] in GAPS:
             start -= 1
         token = _TOKEN.match(text, start)
-        if run and (text[run[-1][1] : start].strip(GAPS) or len(run) >= REGION_TOKENS - 1):
+        if run and text[run[-1][1] : start].strip(GAPS):
             yield run
             run = []
         if not run:
@@ -125,7 +125,7 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         at = token.end()
         if after and after.end() - after.start() <= 3 and not _MARKED.search(after.group()):
             follow = _TOKEN.search(text, after.end())
-            if follow and _MARKED.search(text, follow.start(), min(follow.end(), follow.start() + 64)):
+            if follow and _MARKED.search(text, follow.start(), follow.end()):
                 run.append(after.span())
                 at = after.end()
     if run:
@@ -144,7 +144,7 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
     """Features of the tokens ``i`` to ``j - 1`` as one span."""
     start, end = trimmed(text, tokens[i][0], tokens[j - 1][1])
-    span = text[start : min(end, start + 256)]
+    span = text[start:end]
     digits = re.sub("[^0-9]", "", span)
     n, letters = len(digits), sum(c.isalpha() for c in span)
     out = ["bias", f"tokens={j - i}", f"digits={n if n < 20 else 20}", f"digit_class={0 if n == 0 else 1 if n < 8 else 2 if n < 13 else 3 if n < 20 else 4}"]
@@ -155,7 +155,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     out.append(f"at={span.count('@')}" if "@" not in span else f"at={'.' in span.split('@')[-1]}")
     out.append(f"mixed={bool(n and letters)}, at={'@' in span}")
     parts = span.split(".")
-    if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts):
+    if len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) for p in parts):
         out.append(f"quad={max(map(int, parts)) <= 255}")
     if re.fullmatch(r"\+?[0-9() .-]+", span) and 8 <= n <= 15:
         out.append(f"dialled={'(' in span or '-' in span}")
@@ -170,8 +170,8 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         out.append(f"letters={min(letters // 4, 5)}")
     if i:
         before = text[tokens[i - 1][0] : tokens[i - 1][1]]
-        out.append(f"before_marked={bool(_MARKED.search(before[:64]))}")
-    out.append(f"edge={j < len(tokens) and bool(_MARKED.search(text[tokens[j][0] : min(tokens[j][1], tokens[j][0] + 64)]))}")
+        out.append(f"before_marked={bool(_MARKED.search(before))}")
+    out.append(f"edge={j < len(tokens) and bool(_MARKED.search(text[tokens[j][0] : tokens[j][1]]))}")
     return out
 
 
@@ -221,18 +221,22 @@ class Field:
 
     def best(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
         """The best segmentation: ``(first, end, label, score over none)`` of the segments that aren't ``none``."""
-        table, n = self.table(text, tokens), len(tokens)
-        value, choice = [0.0] + [-1e18] * n, [None] * (n + 1)
-        for (i, j), (_, s) in sorted(table.items(), key=lambda x: x[0][1]):
-            label = int(np.argmax(s))
-            if value[i] + s[label] > value[j]:
-                value[j], choice[j] = value[i] + s[label], (i, label)
+        # Scores are made as the program reaches them, so a long run costs memory for its choices only.
+        n = len(tokens)
+        value, choice, none = [0.0] + [-1e18] * n, [None] * (n + 1), [0.0] * n
+        for j in range(1, n + 1):
+            for i in range(max(0, j - MAX_TOKENS), j):
+                s = self.scores(features(text, tokens, i, j), j - i)
+                if i == j - 1:
+                    none[i] = s[0]
+                label = int(np.argmax(s))
+                if value[i] + s[label] > value[j]:
+                    value[j], choice[j] = value[i] + s[label], (i, label, s[label])
         out, j = [], n
         while j:
-            i, label = choice[j]
+            i, label, score = choice[j]
             if label:
-                nothing = sum(table[t, t + 1][1][0] for t in range(i, j))
-                out.append((i, j, label, table[i, j][1][label] - nothing))
+                out.append((i, j, label, score - sum(none[i:j])))
             j = i
         return out[::-1]
 
@@ -265,10 +269,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
-            for tokens in regions(text or ""):
-                start, end = tokens[0][0], tokens[-1][1]
-                if end - start <= 1000:
-                    out.append(text[start:end])
+            for run in regions(text or ""):
+                # The sample is of short parts of runs; whole runs are searched.
+                for tokens in (run[k : k + REGION_TOKENS] for k in range(0, len(run), REGION_TOKENS)):
+                    start, end = tokens[0][0], tokens[-1][1]
+                    if end - start <= 1000:
+                        out.append(text[start:end])
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["region"])
 
 
