@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import decontaminate, language_model, near_dedup, pieces, pii, quality, sharding, sqltext, token_counts, toxicity, warc
+from tidings.llm import decontaminate, hard_negatives, language_model, near_dedup, pieces, pii, quality, sharding, sqltext, token_counts, toxicity, warc
 from tidings.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_semi_markov_pii")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", sqltext.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
+    )

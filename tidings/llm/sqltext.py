@@ -117,3 +117,22 @@ select page_id, payload_bytes, payload_digest, case when kept <> page_id then 'r
        case when kept <> page_id then kept end as refers_to
 from m
 """
+
+OP11 = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+pair as (
+  select a.vec_id as anchor_id, a.label = o.label as same, o.vec_id as other, list_inner_product(a.q, o.q)::bigint as score
+  from v a join v o on a.vec_id <> o.vec_id where a.vec_id % 100 = 0),
+positive as (
+  select anchor_id, other as positive_id, score as positive_score from pair where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, row_number() over w as rank, other as negative_id, positive_score, score as negative_score
+from positive join pair using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, other)
+qualify row_number() over w <= 10
+"""
