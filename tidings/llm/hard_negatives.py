@@ -249,7 +249,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
         packed_anchors = anchor_rows.select(*columns).repartition(parts).mapInArrow(_blocks(2 * ANCHOR_VALUES, ROW_COUNT, positives), BLOCK_SCHEMA)
         packed_anchors = through_table(packed_anchors, "anchor_blocks")
         named = packed_anchors.select("part", F.col("dim").alias("anchor_dim"), *(F.col(c).alias(f"anchor_{c}") for c in ("wide", "n", "ids", "labels", "vectors", "rows", "windows")))
-        pairs = all_blocks(blocks, named, parts, "anchor_vectors").filter("dim = anchor_dim")
+        pairs = all_blocks(blocks, named, parts, F.octet_length("anchor_vectors")).filter("dim = anchor_dim")
         return pairs.mapInArrow(_wanted(kind, positives, negatives, least, most), "key binary")
 
     best_keys = secondary_sort(wanted(anchors.withColumn("windows", none), POSITIVE))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import decontaminate, hard_negatives, language_model, near_dedup, pieces, pii, quality, sharding, sqltext, token_counts, toxicity, warc
+from tidings.llm import decontaminate, hard_negatives, language_model, lexical_search, near_dedup, pieces, pii, quality, sharding, sqltext, token_counts, toxicity, warc
 from tidings.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
     )
+
+
+@query("op12_lexical_search", sqltext.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")

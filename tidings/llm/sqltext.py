@@ -136,3 +136,19 @@ from positive join pair using (anchor_id) where not same and 30 * positive_score
 window w as (partition by anchor_id, positive_id order by score desc, other)
 qualify row_number() over w <= 10
 """
+
+_TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+with d as (select doc_id, {_TERMS.format(_LOWERED)} as w from documents),
+f as (select sum((len(w) > 0)::int)::bigint as docs, sum(len(w))::bigint as total from d),
+q as (select item_id, term, count(*) as repeats from (select item_id, unnest({_TERMS.format(_LOWERED)}) as term from benchmark) group by 1, 2),
+t as (select doc_id, n, term, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as term from d) group by 1, 2, 3),
+df as (select term, count(*) as df from t group by term),
+scored as (
+  select item_id, doc_id, sum(repeats * floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint
+         * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::bigint as score
+  from q join t using (term) join df using (term), f group by item_id, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""

@@ -22,6 +22,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: The bytes of terms: ASCII letters and digits, and every character beyond ASCII.
+TERM = np.arange(256) >= 0x80
+TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -65,9 +68,9 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(hashes + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def _chunk(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chunk(data: np.ndarray, cuts: np.ndarray, of_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end places of the words in ``data``; ``cuts`` are places no word reaches across."""
-    is_word = _IS_WORD[data]
+    is_word = of_words[data]
     fresh = np.ones(len(data), dtype=bool)
     fresh[1:] = ~is_word[:-1]
     fresh[cuts] = True
@@ -87,13 +90,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, first
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, suffix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes_of(texts: pa.Array, of_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for the maximal runs of other bytes than those of words: ``of_words`` marks them."""
+    hashes, _, first = word_spans(*batch_bytes(texts), 0, of_words)
+    return hashes, first
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, suffix: int, of_words: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As ``word_hashes``, with the hashes of the words' last ``suffix`` bytes where that isn't 0."""
     starts, hashes, suffixes, at = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, _U)], 0
     while at < len(data):
         end = min(at + CHUNK_BYTES, len(data))
         while end < len(data):
-            gaps = np.flatnonzero(~_IS_WORD[data[max(at, end - 4096) : end]])
+            gaps = np.flatnonzero(~of_words[data[max(at, end - 4096) : end]])
             if len(gaps):
                 end = max(at, end - 4096) + int(gaps[-1]) + 1
                 break
@@ -104,7 +113,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, suffix: int) -> tuple[np.n
             end = min(end + CHUNK_BYTES, len(data))
         inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at
         lowered = _LOWER[data[at:end]]
-        s, e = _chunk(lowered, inside.astype(np.int64))
+        s, e = _chunk(lowered, inside.astype(np.int64), of_words)
         starts.append(s + at)
         hashes.append(span_hashes(lowered, s, e))
         if suffix:
