@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm import decontaminate, hard_negatives, language_model, lexical_search, near_dedup, pieces, pii, quality, sharding, sqltext, token_counts, toxicity, warc
+from tidings.llm import (
+    decontaminate, hard_negatives, language_model, lexical_search, near_dedup, pieces, pii, quality, repeats, sharding, sqltext, token_counts, toxicity, warc,
+)
 from tidings.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +114,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("item_id", "rank", "doc_id", "score")
+
+
+@query("op13_suffix_dedup", sqltext.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -152,3 +152,21 @@ scored as (
 select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
 from scored where score > 0 qualify rank <= 10
 """
+
+OP13 = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+part as (select doc_id, c, substr(h, 2 * c + 1, 698) as h from (select doc_id, h, unnest(range(0, length(h) // 2 - 49, 300)) as c from t)),
+w as (select doc_id, c + p as p, substr(h, 2 * p + 1, 100) as s from (select doc_id, c, h, unnest(range(0, length(h) // 2 - 49)) as p from part)),
+m as (select s, min(doc_id) as least_id from w group by s),
+r as (select doc_id, p from w join m using (s) where least_id < doc_id),
+b as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as f from r),
+g as (select doc_id, p, sum(f) over (partition by doc_id order by p) as k from b),
+span as (select doc_id, min(p) as a, max(p) + 50 as e from g group by doc_id, k),
+gap as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) as after from span),
+kept as (
+  select doc_id, count(*) as n_spans, sum(e - a)::bigint as n_removed, max(e) as last_end, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' order by a) as head
+  from gap join t using (doc_id) group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last_end + 1), h))) as kept_sha256
+from t left join kept using (doc_id)
+"""
