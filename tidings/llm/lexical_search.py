@@ -46,9 +46,9 @@ LEVELS = 4
 #: Bits per set key and rows per term: about one bit in three is set, and a term that is absent shows in few documents.
 BITS, ROWS = 8, 4
 #: Documents in a block, and its size in bits, at most (but one byte's worth of documents always).
-BLOCK_DOCS, BLOCK_BITS = 4096, 1 << 24
+BLOCK_DOCS, BLOCK_BITS = 2048, 1 << 23
 #: Distinct terms of the items in one part, about.
-PART_TERMS = 16384
+PART_TERMS = 4096
 
 _U = np.uint64
 _LEVEL = mix(np.arange(9001, 9001 + LEVELS, dtype=_U))
