@@ -70,7 +70,7 @@ def brute_groups(keys, max_distance):
         return k
 
     for a, b in itertools.combinations(keys, 2):
-        if 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) <= max_distance:
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 1 - max_distance:
             parent[find(a)] = find(b)
     groups = {}
     for k in keys:
@@ -104,37 +104,63 @@ def test_similar_titles_equal_all_pairs(spark):
     assert sum(1 for g in by_group if g.startswith("#")) == 2
 
 
-def test_similarity_links_through_a_shared_leader_only(spark):
-    """No pair of a bucket is compared but those with its leader: links grow with the members, not their square."""
+def labels_of(spark, keys, blocks=None, monkeypatch=None):
+    if blocks:
+        monkeypatch.setattr(grouping, "PROBES", blocks)
+        monkeypatch.setattr(grouping, "TARGETS", blocks)
+    df = spark.createDataFrame([(f"n{i:04d}", k) for i, k in enumerate(keys)], "node string, key string")
+    labels = {f"n{i:04d}": f"n{i:04d}" for i in range(len(keys))}
+    labels.update({r["node"]: r["label"] for r in grouping.similar_labels(df).collect()})
+    groups = {}
+    for i, k in enumerate(keys):
+        groups.setdefault(labels[f"n{i:04d}"], []).append(k)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("blocks", [None, 7])
+def test_no_link_is_lost(spark, monkeypatch, blocks):
+    """Chains of one-word edits that lead away from their start, templates just below and above the limit, and a hot family
+    around one leader: the groups are those of all pairs."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 9)))
+    keys = []
+    for _ in range(4):
+        chain = [word() for _ in range(9)]
+        for step in range(30):
+            chain[step % 9] = word()[: 2 + step % 4]
+            keys.append(" ".join(chain))
+    keys += [f"daily discussion thread {rnd.randrange(10**9):09d}" for _ in range(60)]
+    keys += [f"a somewhat longer daily discussion thread of the day {rnd.randrange(10**4):04d}" for _ in range(60)]
     base = " ".join(f"word{i:02d}" for i in range(20))
-    keys = [base] + [f"{base} tail{i}" for i in range(60)]
-    df = spark.createDataFrame([(f"n{i:02d}", k) for i, k in enumerate(keys)], "node string, key string")
-    links = grouping.similar_links(df)
-    assert links.count() <= grouping.BANDS * len(keys)
-    labels = grouping.components(df.select("node"), links)
-    assert {r["label"] for r in labels.collect()} == {"n00"}
+    keys += [base] + [f"{base} tail{i}" for i in range(50)]
+    keys = sorted(set(keys))
+    assert labels_of(spark, keys, blocks, monkeypatch) == brute_groups(keys, 0.3)
+
 
+def test_short_and_unlike_titles_stay_alone(spark):
+    keys = ["a", "ab", "abcd", "abcde", "abcdf", "the quick brown fox", "jumped over a lazy dog", "\u65e5\u672c"]
+    assert labels_of(spark, keys) == sorted([k] for k in keys)
+    assert labels_of(spark, ["only one"]) == [["only one"]]
 
-def test_template_titles_do_not_take_a_round_each(spark, monkeypatch):
-    """Titles that share buckets but are not similar: rounds grow with the logarithm of their number."""
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    """Similar titles without a common leader, of which a round takes one link each: it merges at least every other component."""
     rounds = []
-    original = grouping.through_table
-    monkeypatch.setattr(grouping, "through_table", lambda df, name: rounds.append(name) or original(df, name))
-    rnd = random.Random(11)
-    keys = {f"daily discussion thread {rnd.randrange(10**9):09d}" for _ in range(250)}
-    df = spark.createDataFrame([(f"n{i:04d}", k) for i, k in enumerate(sorted(keys))], "node string, key string")
-    keys = dict(df.collect())
-    for link in grouping.similar_links(df).collect():
-        a, b = ({k[i:i + 5] for i in range(len(k) - 4)} for k in (keys[link["node"]], keys[link["leader"]]))
-        assert len(a & b) / len(a | b) >= 0.7
-    assert rounds.count("buckets") <= 30
+    original = grouping.open_links
+    monkeypatch.setattr(grouping, "open_links", lambda *a: rounds.append(1) or original(*a))
+    monkeypatch.setattr(grouping, "PARTNERS", 1)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(150)]
+    keys = [" ".join(words[i : i + 12]) for i in range(130)]
+    assert len(labels_of(spark, keys)) == 1
+    assert len(rounds) <= 9
 
 
 def test_components_of_a_long_chain(spark):
-    links = spark.createDataFrame([(f"n{i + 1:03d}", f"n{i:03d}") for i in range(40)], "node string, leader string")
-    nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(43)], "node string")
-    got = rows(grouping.components(nodes, links), "node", "label")
-    assert got == [(f"n{i:03d}", "n000" if i <= 40 else f"n{i:03d}") for i in range(43)]
+    links = spark.createDataFrame([(f"n{i + 1:03d}", f"n{i:03d}") for i in range(40)], "node string, other string")
+    got = rows(grouping.components(links), "node", "label")
+    assert got == [(f"n{i:03d}", "n000") for i in range(41)]
+    assert grouping.components(links.limit(0)).collect() == []
 
 
 def test_themes_by_hand(spark):

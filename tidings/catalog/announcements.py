@@ -78,9 +78,27 @@ def r5_group_links(spark, sf_dir):
     return grouping.group_links(items, ["group_key"]).withColumn("group_key", F.md5("group_key"))
 
 
-@query("r5_similar_groups")
+NEAR = f"""{DOCS}, keyed AS (SELECT *, {GROUP_KEY}, {KEY} AS key FROM docs),
+node AS (SELECT DISTINCT key, md5(key) AS node FROM keyed WHERE key <> ''),
+sh AS MATERIALIZED (SELECT node, unnest(CASE WHEN length(key) < 5 THEN [key]
+  ELSE list_distinct(list_transform(range(1, length(key) - 3), lambda i: substring(key, i, 5))) END) AS s FROM node),
+n AS (SELECT node, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.node AS a, b.node AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.node <> b.node GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE c / (x.n + y.n - c) >= 0.7),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+label AS (SELECT node, least(node, coalesce(min(b), node)) AS label FROM node LEFT JOIN reach ON a = node GROUP BY node),
+grouped AS (SELECT keyed.* EXCLUDE (group_key), coalesce(l.key, keyed.group_key) AS group_key
+  FROM keyed LEFT JOIN label ON label.node = md5(keyed.key) LEFT JOIN node l ON l.node = label.label)"""
+
+
+@query("r5_similar_groups", f"""
+WITH RECURSIVE {NEAR},
+ranked AS (SELECT *, count(*) OVER (PARTITION BY group_key) AS items,
+  row_number() OVER (PARTITION BY group_key ORDER BY score DESC, publish_date, id) AS rn FROM grouped)
+SELECT md5(group_key) AS group_key, items, id, url FROM ranked WHERE rn = 1
+""")
 def r5_similar_groups(spark, sf_dir):
-    """Items of similar titles. Iterative, so it has no SQL; tests compare it with all pairs on a small table."""
+    """Items of similar titles, and the primary source of each group."""
     groups = grouping.similar_groups(A.document_items(spark, sf_dir))
     return grouping.primaries(groups, ["group_key"], ["id", "url"]).withColumn("group_key", F.md5("group_key"))
 

@@ -1,24 +1,35 @@
 """Items about the same announcement, by equal or by similar titles, and the primary source of each group.
 
-No group is ever gathered: groups are keys on rows, primaries are plain aggregates, and similar titles are compared
-with one leader per bucket, never pair by pair.
+No group is ever gathered: groups are keys on rows and primaries are plain aggregates. Similar titles are found without
+loss: titles that are similar enough share one of their rarest shingles, so every pair meets in a bucket, and buckets are
+compared until each is one component or holds no similar pair of two components.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.text import title_key
-from tidings.session import spread, through_table
+from tidings.session import ship_package, spread, through_table
 
 SHINGLE = 5
-BANDS = 16
-ROWS_PER_BAND = 4
 MAX_DISTANCE = 0.3
-LEVELS = 8
+# Nodes of a bucket that meet in one block.
+PROBES, TARGETS = 256, 512
+# Similar nodes that a node takes along from one round.
+PARTNERS = 8
+# Words of 64 bits in a node's outline.
+OUTLINE = 4
+# Shingles that are put last in the order of all, at most.
+COMMON = 65536
+# Beyond the one shingle that must be shared, one more is asked for per so many of a set.
+SLACK = 10
 
 
 def exact_key() -> Column:
@@ -50,99 +61,188 @@ def group_links(items: DataFrame, by: list[str]) -> DataFrame:
     return items.select(*by, "url").distinct()
 
 
-def shingles(key: Column) -> Column:
-    """The distinct hashes of all runs of five characters; a shorter key is one run."""
-    runs = F.regexp_extract_all(key, F.lit("(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))
-    whole = F.when(F.length(key) < SHINGLE, F.array(key)).otherwise(runs)
-    return F.array_distinct(F.transform(whole, lambda s: F.xxhash64(s)))
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers (the public splitmix64 finalizer)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def min_hash(seed: int) -> Column:
-    """The minimum hash of ``sh`` under one of any number of hash functions."""
-    return F.array_min(F.transform("sh", lambda s: F.xxhash64(s, F.lit(seed))))
+def shingles(key: str) -> np.ndarray:
+    """The distinct hashes of all runs of five characters, ascending; a shorter key is one run."""
+    points = np.frombuffer(key.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    runs = max(1, len(points) - SHINGLE + 1)
+    hashes = np.zeros(runs, np.uint64)
+    for k in range(min(SHINGLE, len(points))):
+        hashes = _mix(hashes + points[k : k + runs])
+    return np.unique(hashes.view(np.int64))
 
 
-def bands() -> Column:
-    """Per band the hash of its minimum hashes."""
-    return F.array(*[
-        F.xxhash64(*[min_hash(band * ROWS_PER_BAND + row) for row in range(ROWS_PER_BAND)]) for band in range(BANDS)
-    ])
+def outline(sh: np.ndarray) -> np.ndarray:
+    """Each shingle sets one of the bits of a few words. Where two outlines differ, one of the sets has a shingle that
+    the other lacks, so many differing bits prove two sets unlike without looking at them."""
+    bits = np.zeros(OUTLINE, np.int64)
+    np.bitwise_or.at(bits, sh % OUTLINE, np.int64(1) << ((sh >> 8) & 63))
+    return bits
 
 
-def similarity() -> Column:
-    common = F.size(F.array_intersect("sh", "lead_sh"))
-    return common / (F.size("sh") + F.size("lead_sh") - common)
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def split_path(seed: int) -> Column:
-    """The buckets a node of bucket ``hash`` goes on to: each takes one more hash function into its key."""
-    path, last = [], F.col("hash")
-    for level in range(LEVELS):
-        last = F.xxhash64(last, min_hash(seed + level))
-        path.append(last)
-    return F.array(*path)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(key) for key in batch.column("key").to_pylist()]
+        sizes, bits = pa.array([len(sh) for sh in found], pa.int64()), _lists([outline(sh) for sh in found])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(found), sizes, bits], ["node", "sh", "n", "bits"])
 
 
-def similar_links(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """Links ``(node, leader)`` between keys of Jaccard distance up to ``max_distance`` that share a bucket.
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles that stand out in a batch; which ones do matters for speed only."""
+    for batch in batches:
+        hashes, counts = np.unique(batch.column("sh").flatten().to_numpy(), return_counts=True)
+        often = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[often]), pa.array(counts[often])], ["s", "c"])
 
-    The smallest node of a bucket leads it and all others are compared with it alone. Those that are not similar go on
-    among themselves, in buckets split by further hash functions, several splits in one round. Nodes that agree in
-    less than the wanted share stay together with a probability below that share, so a bucket of many unlike nodes
-    (titles made from one template, say) melts away geometrically and the comparisons grow with the nodes, not with
-    their pairs. As with every such hashing, a pair right at the limit may be missed; equal and nearly equal titles
-    are not.
+
+def overlap(similarity: float, n: int) -> int:
+    """The least number of shingles that a set of ``n`` shares with one as similar as this."""
+    return math.ceil(n * similarity - 1e-9)
+
+
+def _prefixes(common: np.ndarray, similarity: float):
+    """Each set's first shingles in one order for all sets: those that stand out come last, the most common at the end."""
+    by_hash = np.argsort(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = []
+            for sh in batch.column("sh"):
+                sh = sh.values.to_numpy()
+                at = np.minimum(np.searchsorted(common, sh, sorter=by_hash), max(len(common) - 1, 0))
+                place = np.where(common[by_hash[at]] == sh, by_hash[at] + 1, 0) if len(common) else np.zeros(len(sh))
+                firsts.append(sh[np.argsort(place, kind="stable")[: len(sh) - overlap(similarity, len(sh)) + 1 + len(sh) // SLACK]])
+            nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]))], ["node", "bucket"])
+
+    return run
+
+
+def title_sets(keys: DataFrame) -> DataFrame:
+    """``(node, sh, n, bits)``: each key's shingles, how many they are, and their outline."""
+    ship_package(keys.sparkSession)
+    return through_table(spread(keys).mapInArrow(_sets, "node string, sh array<long>, n long, bits array<long>"), "sets")
+
+
+def title_buckets(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, bucket)``: the rarest shingles of each set.
+
+    Two sets that are similar enough share ``k`` shingles among their first ``n - overlap + k`` in any common order, as what
+    lies behind is too little to make up the overlap. Rare shingles first keeps buckets small: the order ends with at most
+    ``COMMON`` common ones, all others come before them by their hash. ``k`` is 1 and a tenth of the set, so that long
+    titles must meet in many buckets before they are compared.
     """
-    sets = through_table(keys.withColumn("sh", shingles(F.col("key"))).select("node", "sh"), "shingles")
-    lead_sets = sets.select(F.col("node").alias("leader"), F.col("sh").alias("lead_sh"))
-    # Hashing is the costly part and its input a small file, so every core gets a share.
-    pending = spread(sets).select("node", F.posexplode(bands()).alias("band", "hash")).withColumn("path", F.array("hash"))
-    depth, seed = 1, BANDS * ROWS_PER_BAND
-    linked: list[DataFrame] = []
-    while True:
-        buckets = through_table(pending.select("node", "band", F.posexplode("path").alias("level", "hash")), "buckets")
-        bucket = ["band", "level", "hash"]
-        leaders = buckets.groupBy(*bucket).agg(F.min("node").alias("leader"), F.count("*").alias("n"))
-        members = buckets.join(leaders.filter("n > 1").drop("n"), bucket).filter("node <> leader")
-        members = through_table(members, "members")
-        if members.isEmpty():
-            break
-        links = (
-            members.select("node", "leader").distinct().join(sets, "node").join(lead_sets, "leader")
-            .filter(similarity() >= 1 - max_distance).select("node", "leader")
+    often = sets.select("sh").mapInArrow(_common, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    often = np.array([r["s"] for r in often.orderBy(F.desc("c"), "s").limit(COMMON).collect()][::-1], np.int64)
+    return spread(sets.select("node", "sh")).mapInArrow(_prefixes(often, similarity), "node string, bucket long")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(node, other)`` whose whole sets are similar enough."""
+    a, b = sets.select("node", "sh", "n"), sets.select(F.col("node").alias("other"), F.col("sh").alias("sh2"), F.col("n").alias("n2"))
+    common = F.size(F.array_intersect("sh", "sh2"))
+    return pairs.join(a, "node").join(b, "other").filter(common / (F.col("n") + F.col("n2") - common) >= similarity).select("node", "other")
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """What sizes and outlines allow: sets this similar differ in at most this share of both sizes together."""
+    differing = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(OUTLINE)), F.lit(0))
+    sizes = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
+    return sizes & (differing <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-9)
+
+
+def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, other, place)``: for each node the first similar nodes of other components that share a bucket with it, one
+    more than ``PARTNERS`` at most.
+
+    Only buckets of several components are looked at, and in them the nodes outside the largest one beside all others.
+    They are dealt to blocks, which are joined by equality, so no task holds a bucket. Pairs that meet in enough buckets
+    are compared as whole sets. If nothing comes out, every pair of every bucket is connected or unlike.
+    """
+    named = through_table(
+        members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "label"), "labelled"
+    )
+    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    split = (
+        sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("largest"))
+        .filter("most < all").select(
+            "bucket", "largest", F.ceil((F.col("all") - F.col("most")) / PROBES).alias("probe_blocks"), F.ceil(F.col("all") / TARGETS).alias("target_blocks")
         )
-        links = through_table(links, "links")
-        linked.append(links)
-        settled = members.join(links, ["node", "leader"], "left_semi").select("node", "band").distinct()
-        unlinked = members.filter(F.col("level") == depth - 1).join(settled, ["node", "band"], "left_anti")
-        pending = unlinked.join(sets, "node").select("node", "band", split_path(seed).alias("path"))
-        depth, seed = LEVELS, seed + LEVELS
-    return reduce(DataFrame.unionByName, linked, members.select("node", "leader").limit(0))
-
-
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, label)``: the smallest node each node is connected with. Labels travel along links and are then
-    replaced by their own label, so the rounds grow with the logarithm of the longest path; each round is a table."""
-    both = links.select("node", F.col("leader").alias("other")).unionByName(
-        links.select(F.col("leader").alias("node"), F.col("node").alias("other"))
     )
+    inside = named.join(split, "bucket").join(sets.select("node", "n", "bits"), "node").withColumn("probe", F.col("label") != F.col("largest"))
+    inside = through_table(inside, "unresolved")
+    dealt = F.xxhash64("node")
+    probes = inside.filter("probe").select(
+        "bucket", "node", "label", "n", "bits", F.pmod(dealt, "probe_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("target_blocks") - 1)).alias("j")
+    )
+    targets = inside.select(
+        "bucket", F.col("node").alias("other"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("probe").alias("probe2"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("probe_blocks") - 1)).alias("i"), F.pmod(dealt, "target_blocks").alias("j"),
+    )
+    # Two probes meet twice in a bucket and are counted once.
+    once = ~F.col("probe2") | (F.col("node") < F.col("other"))
+    met = probes.join(targets, ["bucket", "i", "j"]).filter((F.col("label") != F.col("label2")) & once & _may_be_similar(similarity))
+    near = met.groupBy(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"), F.least("n", "n2").alias("n")).agg(F.count("*").alias("met"))
+    found = similar_pairs(near.filter(f"met >= 1 + n div {SLACK}").select("node", "other"), sets, similarity)
+    both = found.unionByName(found.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("other"))
+    return both.withColumn("place", place).filter(F.col("place") <= PARTNERS + 1)
+
+
+def similar_labels(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
+    """``(node, label)`` for the keys that are linked to others: keys of Jaccard distance up to ``max_distance`` are linked,
+    and a label is the smallest node that a node is connected with.
+
+    First every node is compared with one node, the one that is smallest in most of its buckets, which settles hot families.
+    Then nodes look for partners in other components. If none has more of them than are taken along, all links are known;
+    else the next round looks again, with at most half of the components that had a partner.
+    """
+    similarity = 1 - max_distance
+    sets = title_sets(keys)
+    each = title_buckets(sets, similarity)
+    leaders = each.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1")
+    members = through_table(each.join(leaders.drop("c"), "bucket"), "members")
+    led = members.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    first = led.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("other"))
+    labels = components(through_table(similar_pairs(first, sets, similarity), "links"))
+    members = members.drop("leader")
+    while True:
+        more = through_table(open_links(members, labels, sets, similarity), "links")
+        most = more.agg(F.max("place")).first()[0]
+        if most is None:
+            return labels
+        known = labels.filter("node <> label").select("node", F.col("label").alias("other"))
+        labels = components(known.unionByName(more.filter(F.col("place") <= PARTNERS).drop("place")))
+        if most <= PARTNERS:
+            return labels
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``(node, label)``: the smallest node each node of ``links(node, other)`` is connected with. Labels travel along links
+    and are then replaced by their own label, so the rounds grow with the logarithm of the longest path; each round is a
+    table."""
+    both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
     both = through_table(both.distinct(), "edges")
-    linked = both.select("node").distinct()
-    labels = through_table(linked.withColumn("label", F.col("node")), "labels")
+    labels = through_table(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
         heard = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
-        nearest = labels.unionByName(heard).groupBy("node").agg(F.min("label").alias("label"))
-        nearest = through_table(nearest, "labels")
+        nearest = through_table(labels.unionByName(heard).groupBy("node").agg(F.min("label").alias("label")), "labels")
         jump = nearest.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = through_table(
-            nearest.join(jump, "label").select("node", F.col("next").alias("label")), "labels"
-        )
-        changed = step.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old")
-        if changed.isEmpty():
-            break
+        step = through_table(nearest.join(jump, "label").select("node", F.col("next").alias("label")), "labels")
+        if step.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty():
+            return step
         labels = step
-    alone = nodes.join(linked, "node", "left_anti").withColumn("label", F.col("node"))
-    return step.unionByName(alone)
 
 
 def similar_groups(items: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
@@ -153,7 +253,7 @@ def similar_groups(items: DataFrame, max_distance: float = MAX_DISTANCE) -> Data
     keys = through_table(
         keyed.filter(title_key(F.col("title")) != "").select("node", F.col("_key").alias("key")).distinct(), "keys"
     )
-    labels = components(keys.select("node"), similar_links(keys, max_distance))
+    labels = similar_labels(keys, max_distance)
     named = labels.join(keys.select(F.col("node").alias("label"), F.col("key").alias("group_key")), "label")
     return (
         keyed.join(named.select("node", "group_key"), "node", "left")
