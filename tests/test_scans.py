@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
@@ -112,7 +113,7 @@ def test_channel_resolution(spark):
          ("nope", 2, "z2", "my nope"), ("nope", 6, "z6", "nope")], "handle string, rank int, channel_id string, title string")
     found, errors = resolve.resolve_channels(sources, candidates)
     assert rows(found, "source_name", "channel_id") == [("exact", "c2"), ("first", "z1"), ("given", "id1")]
-    assert rows(errors, "source_name", "reason") == [("lost", "Could not find channel ID for handle: @zip")]
+    assert rows(errors, "source_name", "reason") == [("lost", "no channel for handle @zip")]
 
 
 def test_transcripts(spark):
@@ -154,7 +155,7 @@ def test_config(spark, sources):
     assert got[2:4] == [(2, "Forum", "top", 3, 1, "http"), (3, "Direct", "new", 10, 1, "http")]
     valid, errors = split_sources(sources)
     assert rows(errors, "source_name", "reason") == [
-        ("Bare", "Selectors must be provided for web scraping source"), ("Broken", "URL must be provided for RSS source")]
+        ("Bare", "page without selectors"), ("Broken", "feed without a url")]
     assert valid.count() == 7
 
 
@@ -233,12 +234,12 @@ def test_whole_run(run):
 
 def test_errors_of_a_run(run):
     assert rows(run.errors, "source_name", "stage", "reason") == sorted([
-        ("Bare", "config", "Selectors must be provided for web scraping source"),
-        ("Broken", "config", "URL must be provided for RSS source"),
+        ("Bare", "config", "page without selectors"),
+        ("Broken", "config", "feed without a url"),
         ("Direct", "listing", "unreadable page"), ("Gone", "listing", "unreadable page"), ("Gone", "listing", "unreadable page"),
         ("Forum", "listing", "post with missing fields: p5"),
         ("Videos", "video", "video with missing fields: nothumb"),
-        ("Unknown", "channel", "Could not find channel ID for handle: @Who"),
+        ("Unknown", "channel", "no channel for handle @Who"),
     ], key=repr)
 
 
@@ -279,6 +280,44 @@ def test_a_run_reads_its_own_fetch(spark, sources):
     assert rows(collect_items(mixed, sources).items.groupBy("run_date", "source_name", "id").count().filter("count > 1")) == []
 
 
+def fetched(spark, *pages):
+    """Pages as ``(page_no, seconds, body)`` of one listing."""
+    at = dt.datetime(2025, 5, 23, 6, 0)
+    data = [("Forum", "reddit", "client", n, at + dt.timedelta(seconds=s), b) for n, s, b in pages]
+    return spark.createDataFrame(data, "source_name string, source_type string, path string, page_no int, fetched_at timestamp, body string")
+
+
+@pytest.mark.parametrize("pages, wanted, torn", [
+    ([(0, 0, "a"), (1, 4, "b"), (2, 9, "c")], ["a", "b", "c"], 0),
+    # An older fetch is replaced whole, also where the new one has fewer pages.
+    ([(1, -3600, "x"), (2, -3590, "y"), (3, -3580, "z"), (1, 0, "a"), (2, 2, "b")], ["a", "b"], 0),
+    # A second try without its first page, or with a gap, doesn't replace a whole fetch; a first page by itself does.
+    ([(1, 0, "a"), (2, 2, "b"), (2, 1800, "x"), (3, 1802, "y")], ["a", "b"], 0),
+    ([(0, 0, "a"), (1, 2, "b"), (0, 1800, "x"), (2, 1802, "y")], ["a", "b"], 0),
+    ([(0, 0, "a"), (0, 1800, "x")], ["x"], 0),
+    # Nothing whole: the last one, with an error row. A page read twice within a fetch comes once, as it was read last.
+    ([(0, 0, "a"), (2, 2, "b"), (3, 1800, "x")], ["x"], 1),
+    ([(0, 0, "old"), (0, 1, "a"), (1, 2, "b")], ["a", "b"], 0),
+    # Pauses below the gap in a row make one long fetch; its pages lie in several slots.
+    ([(n, n * 500, str(n)) for n in range(6)], list("012345"), 0),
+])
+def test_pages_of_a_fetch(spark, sources, pages, wanted, torn):
+    payloads = fetched(spark, *pages)
+    fetches = resolve.choose_fetches(payloads, as_of())
+    bound = resolve.bind(payloads, split_sources(sources)[0], as_of(), fetches=fetches)
+    assert [r["body"] for r in bound.orderBy("page_no").select("body").collect()] == wanted
+    assert fetches.missing_pages().count() == torn
+
+
+def test_fetches_that_are_named(spark, sources):
+    pages = [(0, 0, "a", 1, 2), (1, 2, "b", 1, 2), (0, 3, "x", 2, 2)]
+    payloads = fetched(spark, *[p[:3] for p in pages]).join(
+        spark.createDataFrame([p[2:] for p in pages], "body string, fetch_id long, page_count long"), "body")
+    bound = resolve.bind(payloads, split_sources(sources)[0], as_of())
+    assert sorted(r["body"] for r in bound.select("body").collect()) == ["a", "b"]
+    assert "fetch_id" not in bound.columns
+
+
 def test_history_is_cut_at_the_scan(spark, tmp_path):
     landed(spark).write.parquet(str(tmp_path / "history"))
     plan = resolve.of_run(spark.read.parquet(str(tmp_path / "history")), as_of())._jdf.queryExecution().executedPlan().toString()

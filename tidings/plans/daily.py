@@ -20,7 +20,7 @@ from tidings.operators.prompt import MAX_PROMPT_CHARS, batch_prompts
 from tidings.operators.publish import digests, index_entries, index_text, read_digests, write_archive, write_digests
 from tidings.operators.recency import is_recent, since_cutoff
 from tidings.operators.render import digest_bodies, digest_lines
-from tidings.operators.resolve import FETCH_HOURS, bind, identity, listing_paths, of_run, resolve_channels, split_namesakes
+from tidings.operators.resolve import FETCH_HOURS, SESSION_GAP_MINUTES, bind, choose_fetches, identity, listing_paths, of_run, resolve_channels, split_namesakes
 from tidings.operators.union import union_errors, union_items
 from tidings.session import broadcast_counted, broadcast_if, through_table
 from tidings.sources import feed, listing, video
@@ -50,6 +50,7 @@ class Options:
     lenient_dates: bool = False
     resolve: str = "append"
     fetch_hours: int = FETCH_HOURS
+    session_gap_minutes: int = SESSION_GAP_MINUTES
 
 
 def collect_items(
@@ -62,7 +63,7 @@ def collect_items(
 ) -> Run:
     """All items of a run (or of many: without ``as_of`` each payload belongs to the day it was fetched).
 
-    A run reads the last fetch of each source and path, of those of the ``fetch_hours`` up to ``as_of``.
+    A run reads the last whole fetch of each source and path, of those of the ``fetch_hours`` up to ``as_of``.
     """
     facts = config_facts(sources)
     valid, config_errors = split_sources(sources)
@@ -70,7 +71,8 @@ def collect_items(
     if "source_ord" not in payloads.columns:
         valid, namesakes = split_namesakes(valid)
     payloads = of_run(payloads, as_of, options.fetch_hours)
-    bound = bind(payloads, valid, as_of, facts.sources, options.zone)
+    fetches = choose_fetches(payloads, as_of, options.zone, options.session_gap_minutes)
+    bound = bind(payloads, valid, as_of, facts.sources, options.zone, options.session_gap_minutes, fetches)
     by_type = {kind: bound.filter(F.col("source_type") == kind) for kind in ("rss", "reddit", "youtube", "scrape")}
 
     channel_errors = None
@@ -92,7 +94,7 @@ def collect_items(
 
     def faults() -> DataFrame:
         found = [] if as_of is None else [_not_landed(valid, payloads)]
-        found += [config_errors, feed_errors(by_type["rss"]), listing_errors(by_type["reddit"]),
+        found += [fetches.missing_pages(), config_errors, feed_errors(by_type["rss"]), listing_errors(by_type["reddit"]),
                  video_errors(by_type["youtube"]), page_errors(by_type["scrape"])]
         return union_errors(*found, *[e for e in (namesakes, channel_errors) if e is not None])
 

@@ -100,10 +100,10 @@ def source_fault() -> Column:
     """why a source cannot be read, or null. A blank required field counts as missing."""
     kind = F.col("source_type")
     return (
-        F.when((kind == "rss") & is_blank(F.col("url")), "URL must be provided for RSS source")
-        .when((kind == "reddit") & is_blank(F.col("subreddit")), "Subreddit must be provided for Reddit source")
-        .when((kind == "scrape") & is_blank(F.col("url")), "URL must be provided for web scraping source")
-        .when((kind == "scrape") & F.col("selectors").isNull(), "Selectors must be provided for web scraping source")
+        F.when((kind == "rss") & is_blank(F.col("url")), "feed without a url")
+        .when((kind == "reddit") & is_blank(F.col("subreddit")), "listing without a subreddit")
+        .when((kind == "scrape") & is_blank(F.col("url")), "page without a url")
+        .when((kind == "scrape") & F.col("selectors").isNull(), "page without selectors")
         .when((kind == "scrape") & unreadable_selectors(), "unsupported selector")
     )
 
