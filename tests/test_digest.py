@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators import callouts, counts, grouping, model, prompt, publish, published, render, themes
 from tidings.operators.union import union_items
+from tidings.plans.daily import day_digests
 from tidings.schemas import ITEM_COLUMNS
 from tidings.sources.archive import list_digests, read_archive, read_digest_files
 
@@ -218,6 +221,87 @@ def test_model_is_called_once_per_row(spark, tmp_path):
     assert sorted(open(calls).read().split()) == sorted(f"p{i}" for i in range(20))
 
 
+def test_batches_of_a_client(spark, tmp_path):
+    """A client that can't be pickled is made once per task; batches keep to both limits; a bad text fails alone, and what
+    failed once is asked for again by itself."""
+    import threading
+    import uuid
+
+    for name in ("made", "batches", "tries"):
+        (tmp_path / name).mkdir()
+    folder = str(tmp_path)
+
+    def connect():
+        open(f"{folder}/made/{uuid.uuid4().hex}", "w").close()
+        lock = threading.Lock()
+
+        def ask(texts):
+            with lock, open(f"{folder}/batches/{uuid.uuid4().hex}", "w") as log:
+                log.write(f"{len(texts)} {sum(map(len, texts))}")
+            if "flaky" in texts:
+                open(f"{folder}/tries/{uuid.uuid4().hex}", "w").close()
+                if len(os.listdir(f"{folder}/tries")) < 2:
+                    raise TimeoutError("busy")
+            if "bad" in texts:
+                raise ValueError("refused")
+            return [None if t == "none" else t.upper() for t in texts]
+
+        return ask
+
+    texts = [f"text {i}" for i in range(40)] + ["bad", "flaky", "none", "long" * 100]
+    df = spark.createDataFrame([(t,) for t in texts], "prompt string").withColumn("key", F.col("prompt"))
+    settings = {"partitions": 3, "batch_requests": 8, "batch_chars": 60, "attempts": 2}
+    replies = model.call_client_once(df, "prompt", connect, **settings)
+    got = {r["key"]: (r["reply"], r["status"], r["error"]) for r in replies.collect()}
+    assert len(os.listdir(tmp_path / "made")) == 3
+    assert got["bad"][0].startswith("Error generating summary: refused\n") and got["bad"][1:] == ("failed", "refused")
+    assert got["none"] == ("Failed to generate summary.", "failed", None)
+    assert all(got[t] == (t.upper(), "ok", None) for t in texts if t not in ("bad", "none"))
+    batches = [tuple(map(int, (tmp_path / "batches" / b).read_text().split())) for b in os.listdir(tmp_path / "batches")]
+    assert all(n <= 8 and (chars <= 60 or n == 1) for n, chars in batches) and max(n for n, _ in batches) > 3
+
+
+def test_packing():
+    assert [list(r) for r in model.packed([5, 5, 5, 90, 1], 2, 50)] == [[0, 1], [2], [3], [4]]
+    assert list(model.packed([], 2, 50)) == []
+
+
+def test_one_digest_per_day_in_rounds(spark, tmp_path):
+    """Five parts become three, two, one; a day of one part is asked about once; a day with a failed part stops there."""
+    other, third = dt.date(2025, 5, 24), dt.date(2025, 5, 25)
+    df = items(
+        spark, *[(f"t{i}", "x" * 40, {"source_ord": i}) for i in range(5)], ("alone", "y", {"run_date": other}),
+        ("bad", "z" * 40, {"run_date": third}), ("good", "z" * 40, {"run_date": third, "source_ord": 5}))
+    folder = str(tmp_path)
+
+    def connect():
+        def ask(texts):
+            import uuid
+
+            for text in texts:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as log:
+                    log.write(text)
+                if "Title: bad" in text:
+                    raise ValueError("boom")
+            return ["<" + ",".join(a or b for a, b in re.findall(r"Title: (\w+)|<(.*?)>", t)) + ">" + "." * 60 for t in texts]
+
+        return ask
+
+    rows_ = day_digests(df, F.lit("P"), connect, max_chars=60, batch_requests=1, attempts=1)
+    got = {r["run_date"]: (r["body"], r["status"]) for r in rows_.collect()}
+    assert got[DAY] == ("<t0,t1,t2,t3,t4>" + "." * 60, "ok") and got[other] == ("<alone>" + "." * 60, "ok")
+    assert got[third][0].startswith("Error generating summary: boom") and got[third][1] == "failed"
+    assert len(rows_.collect()) == 3
+    assert len(os.listdir(folder)) == (5 + 3 + 2 + 1) + 1 + 2
+
+
+def test_merging_prompts_halve_at_least(spark):
+    replies = spark.createDataFrame([(DAY, p, "r" * 50 + str(p)) for p in (0, 1, 4, 7, 9)] + [(dt.date(2025, 5, 24), 0, "single")], "run_date date, part long, reply string")
+    merged = rows(prompt.merging_prompts(replies, F.lit("P"), 10), "run_date", "part", F.length("prompt"))
+    assert merged == [(DAY, 0, 3 + 51 + 2 + 51), (DAY, 1, 3 + 51 + 2 + 51), (DAY, 2, 3 + 51)]
+    assert rows(prompt.merging_prompts(replies, F.lit("P"), 1000), "part") == [(0,)]
+
+
 def test_transcripts_are_asked_once_per_url(spark):
     videos = spark.createDataFrame([("u1",), ("u1",), ("u2",)], "url string")
     got = rows(model.transcribe(videos, lambda text: text), "url", "transcript", "status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidings.catalog import query
@@ -65,24 +67,30 @@ def k2_digest_table(spark, sf_dir):
     return back.select(F.date_format("run_date", DAY).alias("run_date"), "body", "status")
 
 
+def stub_digest(text: str) -> str:
+    """Stands in for a model: counts items, and adds up what it has said about parts of a day."""
+    return f"{text.count('Title: ') or sum(map(int, re.findall('([0-9]+) items', text)))} items"
+
+
 @query("m5_publish_run", f"""
 WITH {EVENTS}, {BATCHES}
-SELECT strftime(run_date, '%Y-%m-%d') AS run_date, part, CASE WHEN part = 0 THEN '# News Summary - '
-  || strftime(run_date, '%Y-%m-%d') || ' 00:00:00' || chr(10) || chr(10) ELSE '' END || CAST(items AS VARCHAR) || ' items' AS body,
+SELECT strftime(run_date, '%Y-%m-%d') AS run_date, 0 AS part, '# News Summary - ' || strftime(run_date, '%Y-%m-%d') || ' 00:00:00'
+  || chr(10) || chr(10) || CAST(sum(items) AS VARCHAR) || ' items' AS body,
   (SELECT count(DISTINCT CAST(ts AS DATE)) FROM ev) AS indexed
-FROM batches
+FROM batches GROUP BY run_date
 """)
 def m5_publish_run(spark, sf_dir):
-    """Every day archived, summarized by a stand-in for a model, published and indexed."""
+    """Every day archived, summarized by a stand-in for a model, published and indexed: one digest a day, whatever its size."""
     items = A.daily_items(A.event_items(spark, sf_dir))
     done = publish_run(
-        items, new_table_path(spark, "published"), F.lit(PROMPT), lambda text: f"{text.count('Title: ')} items",
-        F.col("run_date").cast("timestamp"), 20000,
+        items, new_table_path(spark, "published"), F.lit(PROMPT), generated_at=F.col("run_date").cast("timestamp"), max_chars=20000,
+        connect=lambda: lambda texts: [stub_digest(text) for text in texts],
     )
     entries = spark.read.text(done.index).agg(F.count_if(F.col("value").startswith("- [")).alias("indexed"))
     rows = publish.read_digests(spark, done.digests)
     return rows.select(
-        F.date_format("run_date", DAY).alias("run_date"), "part", "body", F.lit(entries.first()["indexed"]).cast("long").alias("indexed")
+        F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), F.col("part").cast("int").alias("part"), "body",
+        F.lit(entries.first()["indexed"]).cast("long").alias("indexed")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.text import metadata_text, preview
@@ -35,6 +35,21 @@ def batch_prompts(items: DataFrame, prompt: Column, max_chars: int = MAX_PROMPT_
     return parts.select("run_date", "part", "items", F.concat(prompt, F.lit("\n\n"), F.col("_text")).alias("prompt"))
 
 
+def merging_prompts(replies: DataFrame, prompt: Column, max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
+    """M1, the next round: for run days of several replies ``(run_date, part, reply)`` the prompt and a blank line before the replies of
+    neighbouring parts, joined like items. A prompt holds two replies at least, so every round leaves at most half as many.
+    """
+    in_order = Window.partitionBy("run_date").orderBy("part")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = replies.select(
+        "run_date", "part", "reply", (F.row_number().over(in_order) - 1).alias("_no"),
+        F.coalesce(F.sum(F.length("reply") + 2).over(before), F.lit(0)).alias("_start"), F.count("*").over(Window.partitionBy("run_date")).alias("_parts"),
+    ).filter("_parts > 1")
+    numbered = placed.withColumn("_next", F.least(F.expr(f"_start div {max_chars}"), F.expr("_no div 2")))
+    listed = F.expr("listagg(reply, '\\n\\n') within group (order by part)")
+    return numbered.groupBy("run_date", F.col("_next").cast("long").alias("part")).agg(F.concat(prompt, F.lit("\n\n"), listed).alias("prompt"))
+
+
 def single_prompts(items: DataFrame, prompt: Column) -> DataFrame:
     """M2: a prompt for each item by itself."""
     return items.withColumn("prompt", F.concat(prompt, F.lit("\n\n"), item_block(with_url=False)))

@@ -13,10 +13,10 @@ from tidings.functions.dates import run_day
 from tidings.operators.callouts import RULES
 from tidings.operators.enrich import add_transcripts
 from tidings.operators.limits import cap_per_source, recent_videos
-from tidings.operators.model import call_model_once
+from tidings.operators.model import Client, call_client_once, one_by_one
 from tidings.operators.normalize import article_items, feed_items, placeholder_items, post_items, video_items
 from tidings.operators.paging import pages_until_end, pages_until_enough
-from tidings.operators.prompt import MAX_PROMPT_CHARS, batch_prompts
+from tidings.operators.prompt import MAX_PROMPT_CHARS, batch_prompts, merging_prompts
 from tidings.operators.publish import digests, index_entries, index_text, read_digests, write_archive, write_digests
 from tidings.operators.recency import is_recent, since_cutoff
 from tidings.operators.render import digest_bodies, digest_lines
@@ -110,26 +110,55 @@ class Published:
     index: str | None
 
 
+def day_digests(
+    items: DataFrame, prompt: Column, connect: Callable[[], Client], max_chars: int = MAX_PROMPT_CHARS, **settings,
+) -> DataFrame:
+    """M1, M3: ``(run_date, body, status)``, one row per run day however many items it has.
+
+    The items of a day that outgrows one prompt are asked about in parts; the replies to these become the input of further
+    prompts, round by round, until one is left. Each round is a table. A day with a failed part stops there: its body is the first failure.
+    """
+    asked = batch_prompts(items, prompt, max_chars).select("run_date", "part", "prompt")
+    done = []
+    while True:
+        replies = call_client_once(asked, "prompt", connect, **settings)
+        days = replies.groupBy("run_date").agg(
+            F.count("*").alias("parts"), F.min_by("status", F.struct(F.col("status") != "failed", "part")).alias("day_status"),
+            F.min_by("reply", F.struct(F.col("status") != "failed", "part")).alias("body"),
+        )
+        days = through_table(days, "day-replies")
+        ended = F.expr("parts = 1 or day_status = 'failed'")
+        done.append(days.filter(ended).select("run_date", "body", F.col("day_status").alias("status")))
+        going = days.filter(~ended)
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        left = replies.join(going.select("run_date"), "run_date", "left_semi").select("run_date", "part", "reply")
+        asked = merging_prompts(left, prompt, max_chars)
+
+
 def publish_run(
     items: DataFrame, output: str, prompt: Column | None = None, complete: Callable[[str], str | None] | None = None,
     generated_at: Column | None = None, max_chars: int = MAX_PROMPT_CHARS, calls_at_once: int | None = None,
+    connect: Callable[[], Client] | None = None,
 ) -> Published:
-    """M5: archive the items; then, unless ``complete`` is left out, have each run day summarized and published.
+    """M5: archive the items; then, unless there is neither ``complete`` nor ``connect``, have each run day summarized and published.
 
-    Everything after the archive reads the archive, so payloads are scanned once. A day without items is neither
+    ``complete`` is a model of single texts, ``connect`` the factory of a client that takes batches. Everything after the
+    archive reads one table of items, so payloads are scanned once. A day without items is neither
     archived nor summarized (F7). Previews (K4) of a run without a model come from the same archive.
     """
     spark = items.sparkSession
     archive = f"{output.rstrip('/')}/archive"
     items = through_table(items, "items")
     write_archive(items, archive)
-    if complete is None:
+    if complete is None and connect is None:
         return Published(archive, None, None)
     if prompt is None or generated_at is None:
         raise ValueError("a summarizing run needs a prompt and the time it is generated at")
     digest_path, index_path = f"{output.rstrip('/')}/digests", f"{output.rstrip('/')}/index"
-    replies = call_model_once(batch_prompts(items, prompt, max_chars), "prompt", complete, "body", calls_at_once)
-    write_digests(digests(replies, generated_at), digest_path)
+    settings = {"partitions": calls_at_once} | ({} if connect else {"batch_requests": 1, "attempts": 1})
+    replies = day_digests(items, prompt, connect or one_by_one(complete), max_chars, **settings)
+    write_digests(digests(replies.select("run_date", "body"), generated_at), digest_path)
     # The index is made from the digest table, so every published day is in it exactly once.
     index_text(index_entries(read_digests(spark, digest_path))).write.mode("overwrite").text(index_path)
     return Published(archive, digest_path, index_path)
