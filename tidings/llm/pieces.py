@@ -40,6 +40,7 @@ SPACE_MARK = "▁"
 NO_MERGE = np.int64(1 << 62)
 FREE = np.int64(-1)
 _U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
 
 
 class Model:
@@ -57,6 +58,7 @@ class Model:
         by_score = sorted(plain, key=lambda i: (-m.get_score(i), i))
         self.rank = np.zeros(n, np.int64)
         self.rank[by_score] = np.arange(len(by_score))
+        self.of_rank = np.array(by_score, np.int64)
         self.byte0 = m.piece_to_id("<0x00>")
         self.bytes = [m.id_to_piece(i).replace(SPACE_MARK, " ").encode() for i in range(n)]
         for b in range(256):
@@ -64,6 +66,7 @@ class Model:
         self.bytes_array = pa.array(self.bytes, pa.binary())
         merges = {(ids[p[:k]], ids[p[k:]]): i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
         self.size, self.merges = n, merges
+        self.drawn = mix(np.arange(1, n + 1, dtype=_U))
         self._index(np.array([a * n + b for a, b in merges], np.int64), np.array(list(merges.values()), np.int64))
         self.of_char = np.full(0x110000, -1, np.int32)
         for piece, i in ids.items():
@@ -75,6 +78,7 @@ class Model:
     def _index(self, keys: np.ndarray, pieces: np.ndarray) -> None:
         """Pairs by hashed slot, a taken slot's pair in the next free one; at most a quarter of the slots is used."""
         self.slots = 1 << (4 * len(keys)).bit_length()
+        self.shift = _U(64 - self.slots.bit_length() + 1)
         self.slot_keys, self.slot_pieces = np.full(self.slots, FREE), np.full(self.slots, -1, np.int64)
         at = self._slot(keys)
         while len(keys):
@@ -85,7 +89,7 @@ class Model:
             keys, pieces, at = keys[~placed], pieces[~placed], (at[~placed] + 1) % self.slots
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.view(_U)) % _U(self.slots)).astype(np.int64)
+        return ((keys.view(_U) * _ODD) >> self.shift).view(np.int64)
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
@@ -107,11 +111,15 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-def _skipped(keys: np.ndarray, places: np.ndarray, pieces: np.ndarray, rate: float) -> np.ndarray:
+def _candidates(model: Model, places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """What tells a word's candidates apart, as one number each."""
+    return places.view(_U) * _ODD + model.drawn[pieces]
+
+
+def _skipped(keys: np.ndarray, candidates: np.ndarray, rate: float) -> np.ndarray:
     if rate <= 0:
         return np.zeros(len(keys), bool)
-    drawn = mix(keys + places.astype(_U) * _U(0x9E3779B97F4A7C15) + mix(pieces.astype(_U) + _U(1)))
-    return drawn < _U(min(int(rate * 2.0**64), 2**64 - 1))
+    return mix(keys + candidates) < _U(min(int(rate * 2.0**64), 2**64 - 1))
 
 
 def merge_one(model: Model, symbols: list[int], key: int, rate: float) -> list[int]:
@@ -123,7 +131,7 @@ def merge_one(model: Model, symbols: list[int], key: int, rate: float) -> list[i
     def offer(i: int) -> None:
         j = nxt[i]
         piece = model.merges.get((sym[i], sym[j])) if j < n else None
-        if piece is not None and not _skipped(np.array([key], _U), np.array([i]), np.array([piece]), rate)[0]:
+        if piece is not None and not _skipped(np.array([key], _U), _candidates(model, np.array([i]), np.array([piece])), rate)[0]:
             heapq.heappush(agenda, (int(model.rank[piece]), i, sym[i], sym[j]))
 
     for i in range(n - 1):
@@ -144,11 +152,13 @@ def merge_one(model: Model, symbols: list[int], key: int, rate: float) -> list[i
 
 
 def merge_all(
-    model: Model, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None
-) -> tuple[np.ndarray, np.ndarray]:
+    model: Model, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None,
+    neighbours: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words at once: ``symbols`` end to end, word ``w`` from ``first[w]`` to ``first[w + 1]``. Each step makes the next
-    merge of every word that still has one. Gives the symbols that are left and their places. ``offered`` takes the words,
-    places and pieces of all candidates."""
+    merge of every word that still has one. Gives the symbols that are left, their places, and
+    the piece that each symbol makes with its neighbour at first (``neighbours``, if that is known already). ``offered`` takes the
+    words and the numbers of all candidates."""
     n = len(symbols)
     sym = symbols.astype(np.int64)
     word = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -159,21 +169,31 @@ def merge_all(
     alive = np.ones(n, bool)
     best = np.full(n, NO_MERGE)
 
-    def offer(at: np.ndarray) -> None:
+    def beside(at: np.ndarray) -> np.ndarray:
         right = nxt[at]
         has = right < n
         piece = np.full(len(at), -1)
         piece[has] = model.joined(sym[at[has]], sym[right[has]])
+        return piece
+
+    def offer(at: np.ndarray, piece: np.ndarray) -> None:
         able = piece >= 0
-        w = word[at]
-        if offered is not None:
-            offered.append((w[able], (at - first[w])[able], piece[able]))
-        able[able] = ~_skipped(keys[w[able]], (at - first[w])[able], piece[able], rate)
+        best[at] = NO_MERGE
+        at, piece = at[able], piece[able]
+        if offered is not None or rate > 0:
+            w = word[at]
+            drawn = _candidates(model, at - first[w], piece)
+            if offered is not None:
+                offered.append((w, drawn))
+            going = ~_skipped(keys[w], drawn, rate)
+            at, piece = at[going], piece[going]
         # Rank first, then place: the least value is the next merge.
-        best[at] = np.where(able, (model.rank[piece] << 40) + at, NO_MERGE)
+        best[at] = (model.rank[piece] << 40) + at
 
+    if neighbours is None:
+        neighbours = beside(np.arange(n))
     if n:
-        offer(np.arange(n))
+        offer(np.arange(n), neighbours)
     active = np.arange(len(first) - 1)
     starts, flat = first[:-1], np.arange(n)
     while len(active):
@@ -183,21 +203,22 @@ def merge_all(
         if not len(at):
             break
         right = nxt[at]
-        sym[at] = model.joined(sym[at], sym[right])
+        sym[at] = model.of_rank[least[going] >> 40]
         alive[right], best[right] = False, NO_MERGE
         after = nxt[right]
         nxt[at] = after
         prv[after[after < n]] = at[after < n]
-        offer(at)
+        offer(at, beside(at))
         before = prv[at]
-        offer(before[before >= 0])
+        before = before[before >= 0]
+        offer(before, beside(before))
         # Words that are done leave, and merged places with them.
         active = active[going]
         keep = alive[flat] & np.repeat(going, np.diff(np.append(starts, len(flat))))
         flat = flat[keep]
         counts = np.bincount(word[flat], minlength=len(first) - 1)[active]
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(active) else np.zeros(0, np.int64)
-    return sym[alive], np.flatnonzero(alive)
+    return sym[alive], np.flatnonzero(alive), neighbours
 
 
 def _with_bytes(model: Model, sym: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,9 +254,8 @@ def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 
 def _dropping(offered: list[tuple[np.ndarray, ...]], n_words: int, which: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
     """Whether each occurrence skips any of the candidates that its word offers without dropout."""
-    of, places, pieces = (np.concatenate(x) for x in zip(*offered, strict=True)) if offered else [np.zeros(0, np.int64)] * 3
-    order = np.argsort(of, kind="stable")
-    places, pieces = places[order], pieces[order]
+    of, drawn = (np.concatenate(x) for x in zip(*offered, strict=True)) if offered else (np.zeros(0, np.int64), np.zeros(0, _U))
+    drawn = drawn[np.argsort(of, kind="stable")]
     counts = np.bincount(of, minlength=n_words)
     begin = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros(len(which), bool)
@@ -245,14 +265,16 @@ def _dropping(offered: list[tuple[np.ndarray, ...]], n_words: int, which: np.nda
         n = counts[words]
         at = np.repeat(begin[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         owner = np.repeat(np.arange(len(words)), n)
-        out[a + owner[_skipped(keys[a + owner], places[at], pieces[at], rate)]] = True
+        out[a + owner[_skipped(keys[a + owner], drawn[at], rate)]] = True
     return out
 
 
 def _merged(
-    model: Model, words: list[bytes], keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of all words end to end, and how many each word has."""
+    model: Model, words: list[bytes], keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None,
+    neighbours: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of all words end to end, and how many each word has; where each word's characters begin, and what
+    each of them makes with its neighbour."""
     joined = b"".join(words)
     chars = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
     leads = (np.frombuffer(joined, np.uint8) & 0xC0) != 0x80
@@ -264,7 +286,7 @@ def _merged(
     for w in long:
         # Taken out here and merged one by one; unknown symbols never merge.
         short_symbols[first[w] : first[w + 1]] = -1
-    sym, places = merge_all(model, short_symbols, first, keys, rate, offered)
+    sym, places, neighbours = merge_all(model, short_symbols, first, keys, rate, offered, neighbours)
     owner = np.searchsorted(first, places, side="right") - 1
     pieces, width = _with_bytes(model, sym, chars[places])
     of_word = np.bincount(owner, weights=width, minlength=len(words)).astype(np.int64)
@@ -281,7 +303,7 @@ def _merged(
         parts = [special.get(w, pieces[at[w] : at[w + 1]]) for w in range(len(words))]
         pieces = np.concatenate(parts)
         of_word = np.array([len(x) for x in parts])
-    return pieces, of_word
+    return pieces, of_word, first, neighbours
 
 
 def encode_batch(model: Model, texts: list[str], doc_ids: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,14 +329,17 @@ def encode_batch(model: Model, texts: list[str], doc_ids: np.ndarray, rate: floa
         return [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
 
     offered: list[tuple[np.ndarray, ...]] = []
-    pieces, of_word = _merged(model, spans(chosen), keys[chosen], 0.0, offered if rate > 0 else None)
+    pieces, of_word, first, neighbours = _merged(model, spans(chosen), keys[chosen], 0.0, offered if rate > 0 else None)
     if rate > 0:
         # The heap notes no candidates: occurrences of a long word are all merged.
         begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         dropping = _dropping(offered, len(chosen), which, keys, rate) | (begun[end] - begun[start] > LONG_WORD)
         own = np.flatnonzero(dropping)
         if len(own):
-            more, of_more = _merged(model, spans(own), keys[own], rate)
+            # An occurrence begins with the same candidates as its word.
+            n = np.diff(first)[which[own]]
+            begin = np.repeat(first[which[own]] - (np.cumsum(n) - n), n)
+            more, of_more, *_ = _merged(model, spans(own), keys[own], rate, None, neighbours[begin + np.arange(len(begin))])
             which[own] = len(chosen) + np.arange(len(own))
             pieces, of_word = np.concatenate([pieces, more]), np.concatenate([of_word, of_more])
     at = np.concatenate([[0], np.cumsum(of_word)])
