@@ -156,6 +156,16 @@ def r10_published_bullets(spark, sf_dir):
     return rows.select("path", "section", "label", "url")
 
 
+@query("r10_digest_links", f"""
+WITH {SCORED}, {BULLETS}
+SELECT strftime(run_date, '%Y-%m-%d') || '-summary.md' AS path, section, 0 AS link_no, url FROM bullets WHERE day(run_date) <> 5
+""")
+def r10_digest_links(spark, sf_dir):
+    """Every link of every line of the rendered digests, with its section."""
+    links = published.digest_links(_published(spark, sf_dir))
+    return links.select("path", "section", F.col("link_no").cast("int").alias("link_no"), "url")
+
+
 @query("r11_failed_digests", """
 SELECT DISTINCT strftime(DATE '2024-03-02' + CAST(doc_id % 10 AS INTEGER), '%Y-%m-%d') || '-summary.md' AS path,
   strftime(DATE '2024-03-02' + CAST(doc_id % 10 AS INTEGER), '%Y-%m-%d') || ' 00:00:00.000000' AS generated_at,
