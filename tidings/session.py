@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,10 +79,31 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_tables(spark: SparkSession, *paths: str | None) -> bool:
+    """Delete intermediate tables that nothing reads any more; of no path (null) there is none."""
+    done = False
+    for path in filter(None, paths):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        done = folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True) or done
+    return done
+
+
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete this application's intermediate tables, once nothing that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return drop_tables(spark, scratch_dir(spark))
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here delete their shuffle files when they end, not when the driver collects garbage. For writes: what reads the
+    table doesn't need them, and a lost file is made again while the write still runs."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:
