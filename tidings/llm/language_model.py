@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import held_by_crc, prepare
 from tidings.llm.words import batch_bytes, mix, word_spans
-from tidings.session import through_table
+from tidings.session import drop_tables, new_table_path, shuffles_dropped, through_table
 
 UNIT_SHARE = 1024
 SUFFIXES = 512
@@ -241,34 +241,49 @@ def word_bigrams(training: DataFrame) -> DataFrame:
     return pairs.groupBy("first", "second").agg(F.sum("n").alias("n"))
 
 
-#: Places in a word's profile: classes before it, classes after it, and itself after itself.
-AFTER, OWN = CLASSES + 1, 2 * (CLASSES + 1)
+#: Places in a word's profile: classes of words before it that may move in this sweep, of those that may not, classes after it, and itself
+#: after itself.
+STILL, AFTER, OWN = CLASSES + 1, 2 * (CLASSES + 1), 3 * (CLASSES + 1)
 
 
-def word_profiles(bigrams: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(word, at, n)`` of the frequent words, and ``(word, known, class, profile)`` of all others.
+def word_profiles(bigrams: DataFrame, classes: DataFrame, half: int | None) -> DataFrame:
+    """``classes`` with the ``profile`` of each word: whole for the frequent words and the half that may move (none if null), for all others
+    what the class pair counts need besides. So each bigram is sent once, twice only where both of its words may move.
 
-    ``classes(word, known, frequent, class)`` has one row per word. Known words are few and joined by broadcast, so that no
-    shuffle has a frequent key; counts of frequent words are summed before theirs.
+    ``classes(word, known, frequent, class)`` has one row per word. Known words are few and joined by broadcast, so that no shuffle has a
+    frequent key; their own counts are summed before the shuffle.
     """
+    moves = lambda c: F.lit(False) if half is None else (F.col(f"{c}_kind") == 2) | (F.col(c).bitwiseAND(F.lit(1)) == half)
     known = F.broadcast(classes.filter("known").select(F.col("word").alias("other"), F.col("class").alias("at")))
     rare = classes.filter("not known").select(F.col("word").alias("other"), F.col("class").alias("at"))
-    frequent = F.broadcast(classes.filter("frequent").select("word", F.lit(True).alias("frequent")))
-    sides = []
-    for word, other, other_known, place in (("second", "first", "first_known", 0), ("first", "second", "second_known", AFTER)):
-        side = bigrams.select(F.col(word).alias("word"), F.col(other).alias("other"), F.col(other_known).alias("other_known"), "n")
-        for part, named in ((side.filter("other_known"), known), (side.filter("not other_known"), rare)):
-            sides.append(part.join(named, "other").select("word", (F.col("at") + place).alias("at"), "n"))
-    sides.append(bigrams.filter("first = second").select(F.col("first").alias("word"), F.lit(OWN).alias("at"), "n"))
-    rows = sides[0]
-    for side in sides[1:]:
-        rows = rows.unionByName(side)
-    rows = rows.join(frequent, "word", "left")
-    driven = rows.filter("frequent").groupBy("word", "at").agg(F.sum("n").alias("n"))
-    # Dealt out by word once; both groupings keep to that.
-    others = rows.filter("frequent is null").select("word", "at", "n").repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n"))
-    others = others.groupBy("word").agg(F.collect_list(F.struct("at", "n")).alias("profile"))
-    return driven, others.join(classes.filter("not frequent").select("word", "known", "class"), "word")
+
+    def sent(rows: DataFrame, word: str, other: str, place) -> DataFrame:
+        ends = [F.col(f"{c}{kind}").alias(f"{name}{kind}") for c, name in ((word, "word"), (other, "other")) for kind in ("", "_kind")]
+        return rows.select(*ends, place.alias("place"), "n")
+
+    to_second = sent(bigrams.filter(moves("second") | ~moves("first")), "second", "first", F.when(moves("first"), 0).otherwise(STILL))
+    sides = to_second if half is None else to_second.unionByName(sent(bigrams.filter(moves("first")), "first", "second", F.lit(AFTER)))
+
+    def placed(sides: DataFrame) -> DataFrame:
+        parts = [sides.filter("other_kind > 0").join(known, "other"), sides.filter("other_kind = 0").join(rare, "other")]
+        return parts[0].unionByName(parts[1]).select("word", (F.col("at") + F.col("place")).alias("at"), "n")
+
+    total = F.sum("n").alias("n")
+    rows = placed(sides.filter("word_kind > 0")).groupBy("word", "at").agg(total).unionByName(placed(sides.filter("word_kind = 0")))
+    rows = rows.unionByName(bigrams.filter(moves("first") & (F.col("first") == F.col("second"))).select(F.col("first").alias("word"), F.lit(OWN).alias("at"), "n"))
+    # Dealt out by word once; both groupings and the join keep to that.
+    profiles = rows.repartition("word").groupBy("word", "at").agg(total).groupBy("word").agg(F.collect_list(F.struct("at", "n")).alias("profile"))
+    return classes.join(profiles, "word", "left")
+
+
+def _pair_counts(profiles: DataFrame) -> np.ndarray:
+    """Class pair counts, each bigram once: of the words that may move with what follows them, of all others with what they precede."""
+    pairs = np.zeros((CLASSES + 1, CLASSES + 1))
+    entries = profiles.select("class", F.explode("profile").alias("x")).filter(F.col("x.at").between(STILL, OWN - 1))
+    for r in entries.groupBy("class", F.col("x.at").alias("at")).agg(F.sum("x.n").alias("n")).collect():
+        at = (r["class"], r["at"] - AFTER) if r["at"] >= AFTER else (r["at"] - STILL, r["class"])
+        pairs[at] += r["n"]
+    return pairs
 
 
 def best_classes(classes: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, n: np.ndarray, draw: np.ndarray | None = None) -> np.ndarray:
@@ -304,6 +319,11 @@ def best_classes(classes: np.ndarray, left: np.ndarray, right: np.ndarray, own:
     return np.where(gain[each, best] > gain[each, classes] + 1e-9, best, classes)
 
 
+def _sides(dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of classes before and after words and of themselves after themselves, from rows of profile places."""
+    return dense[:, :STILL] + dense[:, STILL:AFTER], dense[:, AFTER:OWN], dense[:, OWN]
+
+
 def _moved(sent, half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = sent.value
@@ -312,57 +332,71 @@ def _moved(sent, half: int):
                 batch = whole.slice(start, CHUNK)
                 words, classes = batch.column("word").to_numpy(), batch.column("class").to_numpy().astype(np.int64)
                 profile = batch.column("profile")
-                of = np.repeat(np.arange(len(words)), profile.value_lengths().to_numpy())
+                of = np.repeat(np.arange(len(words)), profile.value_lengths().fill_null(0).to_numpy())
                 at, count = (profile.flatten().field(k).to_numpy() for k in (0, 1))
                 dense = np.zeros((len(words), OWN + 1))
                 dense[of, at] = count
                 draw = mix(words.view(_U)[:, None] + np.arange(CLASSES, dtype=_U) * _U(0x9E3779B97F4A7C15)) / 2.0**64
-                moved = best_classes(classes, dense[:, :AFTER], dense[:, AFTER:OWN], dense[:, OWN], n, draw)
-                moved = np.where((words & 1) == half, moved, classes)
+                moved, may = classes.copy(), (words & 1) == half
+                moved[may] = best_classes(classes[may], *_sides(dense[may]), n, draw[may])
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("known"), pa.array(moved, pa.int32())], ["word", "known", "class"])
 
     return run
 
 
+def _written(df: DataFrame, name: str, *parts: str) -> tuple[DataFrame, str]:
+    """``df`` as a table of the shared folder, and its path. The files of its shuffles go as soon as it is written."""
+    spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
+    with shuffles_dropped(spark):
+        df.write.partitionBy(*parts).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 CLASS_COLUMNS = ["word", "known", "frequent", "class"]
 
 
 def cluster_words(training: DataFrame, start: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``(word, known, frequent, class)`` of all training words and the class pair counts, by exchange from ``start``."""
+    """``(word, known, frequent, class)`` of all training words and the class pair counts, by exchange from ``start``. A sweep's tables are
+    deleted when nothing reads them any more; of the assignments the best is kept."""
     spark = training.sparkSession
-    known = F.broadcast(start.filter("known").select("word", F.lit(True).alias("flag")))
+    kinds = start.filter("known").select("word", F.when(F.col("frequent"), 2).otherwise(1).cast("byte").alias("kind"))
     bigrams = word_bigrams(training)
     for c in ("first", "second"):
-        flag = known.select(F.col("word").alias(c), F.col("flag").alias(f"{c}_known"))
-        bigrams = bigrams.join(flag, c, "left").withColumn(f"{c}_known", F.coalesce(f"{c}_known", F.lit(False)))
-    bigrams = through_table(bigrams, "word_bigrams")
-    classes, best = start, None
-    driven_words = {r["word"]: r["class"] for r in start.filter("frequent").collect()}
-    names = np.array(sorted(driven_words), np.int64)
-    driven_classes = np.array([driven_words[int(w)] for w in names], np.int64)
+        kind = F.broadcast(kinds.select(F.col("word").alias(c), F.col("kind").alias(f"{c}_kind")))
+        bigrams = bigrams.join(kind, c, "left").withColumn(f"{c}_kind", F.coalesce(f"{c}_kind", F.lit(0).cast("byte")))
+    # Parts by kind, so that each branch of a sweep reads its own.
+    bigrams, bigrams_path = _written(bigrams, "word_bigrams", "first_kind", "second_kind")
+    classes, path, best = start, None, None
+    driven = {r["word"]: r["class"] for r in start.filter("frequent").collect()}
+    names = np.array(sorted(driven), np.int64)
+    driven_classes = np.array([driven[int(w)] for w in names], np.int64)
     for sweep in range(SWEEPS + 1):
-        driven, others = word_profiles(bigrams, classes)
-        others = through_table(others, "profiles")
-        # At most UNIT_SHARE words and twice the classes.
-        rows = driven.toPandas()
-        dense = np.zeros((len(names), OWN + 1))
-        dense[np.searchsorted(names, rows["word"].to_numpy(np.int64)), rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-        pairs = np.zeros((CLASSES + 1, CLASSES + 1))
-        np.add.at(pairs, driven_classes, dense[:, AFTER:OWN])
-        summed = others.select("class", F.explode("profile").alias("x")).filter(F.col("x.at").between(AFTER, OWN - 1))
-        for r in summed.groupBy("class", (F.col("x.at") - AFTER).alias("at")).agg(F.sum("x.n").alias("n")).collect():
-            pairs[r["class"], r["at"]] += r["n"]
+        last = sweep == SWEEPS
+        profiles, profiles_path = _written(word_profiles(bigrams, classes, None if last else sweep % 2), "profiles")
+        pairs = _pair_counts(profiles)
         reached = likelihood(pairs)
         if best is None or reached > best[0]:
-            best = (reached, classes, pairs)
-        if sweep == SWEEPS:
+            if best is not None:
+                drop_tables(spark, best[3])
+            best = (reached, classes, pairs, path)
+        else:
+            drop_tables(spark, path)
+        if last:
+            drop_tables(spark, profiles_path, bigrams_path)
             break
-        order = np.argsort(-dense[:, :AFTER].sum(axis=1), kind="stable")
+        # At most UNIT_SHARE words and the end.
+        rows = profiles.filter("frequent").select("word", F.explode("profile").alias("x")).select("word", "x.at", "x.n").toPandas()
+        dense = np.zeros((len(names), OWN + 1))
+        dense[np.searchsorted(names, rows["word"].to_numpy(np.int64)), rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+        before, after, own = _sides(dense)
+        order = np.argsort(-before.sum(axis=1), kind="stable")
         order = order[driven_classes[order] < CLASSES]
-        driven_classes = exchange_sweep(driven_classes, dense[:, :AFTER], dense[:, AFTER:OWN], dense[:, OWN], pairs, order)
+        driven_classes = exchange_sweep(driven_classes, before, after, own, pairs, order)
+        others = profiles.filter("not frequent").select("word", "known", "class", "profile")
         moved = others.mapInArrow(_moved(spark.sparkContext.broadcast(pairs), sweep % 2), "word long, known boolean, class int")
         fixed = spark.createDataFrame([(int(w), True, True, int(c)) for w, c in zip(names, driven_classes, strict=True)], "word long, known boolean, frequent boolean, class int")
-        classes = through_table(moved.withColumn("frequent", F.lit(False)).select(*CLASS_COLUMNS).unionByName(fixed), "classes")
+        classes, path = _written(moved.withColumn("frequent", F.lit(False)).select(*CLASS_COLUMNS).unionByName(fixed), "classes")
+        drop_tables(spark, profiles_path)
     return best[1], best[2]
 
 
