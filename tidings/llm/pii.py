@@ -8,7 +8,8 @@ chooses boundaries and kinds together, so a number is never both part of a phone
 a rule's span are dropped, as are those whose own score over "none" is below ``MARGIN``.
 
 The field is trained here by its likelihood, on regions of a bounded sample of texts (``TRAIN_TEXTS``, chosen by
-hash, and at most ``TRAIN_REGIONS`` of their regions): the rules' spans and keyed secrets are the segments. Parts of the features
+hash, and at most ``TRAIN_REGIONS`` of their regions): the rules' spans and keyed secrets are the segments. Long runs are sampled in parts of ``REGION_TOKENS`` tokens, parts of more than
+``REGION_CHARS`` characters or with a span of more than ``MAX_TOKENS`` tokens aren't learnt from (all are searched). Parts of the features
 are left out at random in training, so that a span is known by several of its marks and not by the rule's own sign alone.
 
 Defined results: null and empty texts have no span; spans count code points, end exclusive; repeated rows stay; a text of
@@ -31,8 +32,9 @@ from tidings.llm.common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS, "secret")
-MAX_TOKENS = 4
+MAX_TOKENS = 8
 REGION_TOKENS = 24
+REGION_CHARS = 1000
 TRAIN_TEXTS = 20_000
 TRAIN_REGIONS = 1_500
 EPOCHS = 6
@@ -114,7 +116,7 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
                 while before > at and text[before - 1] in GAPS:
                     before -= 1
                 first = before
-                while first > max(at, before - 32) and text[first - 1] not in GAPS:
+                while first > at and text[first - 1] not in GAPS:
                     first -= 1
                 if first < before:
                     run.insert(0, (first, before))
@@ -179,8 +181,9 @@ SECRET_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "ac
 _SECRET = re.compile(r"\b(?:" + "|".join(SECRET_KEYS) + r")\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{12,}[\"']?|\bAKIA[A-Z0-9]{16}\b")
 
 
-def gold(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """The training segments ``(first token, end token, label)`` of a region, ``none`` for single tokens between them."""
+def gold(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]] | None:
+    """The training segments ``(first token, end token, label)`` of a region, ``none`` for single tokens between them; null for a region with a
+    span of more than ``MAX_TOKENS`` tokens, whose tokens would count as ``none``."""
     start, end = tokens[0][0], tokens[-1][1]
     near = text[start:end]
     spans = [(k, a + start, b + start) for k, a, b in base_spans(near)]
@@ -188,7 +191,9 @@ def gold(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]
     cover: dict[int, tuple[int, int, int]] = {}
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         inside = [t for t, (x, y) in enumerate(tokens) if x < b and y > a]
-        if inside and len(inside) <= MAX_TOKENS and not any(t in cover for t in inside):
+        if len(inside) > MAX_TOKENS:
+            return None
+        if inside and not any(t in cover for t in inside):
             segment = (inside[0], inside[-1] + 1, LABELS.index(kind))
             cover.update(dict.fromkeys(inside, segment))
     return sorted({cover.get(t, (t, t + 1, 0)) for t in range(len(tokens))})
@@ -242,7 +247,10 @@ class Field:
 
     def learn(self, text: str, tokens: list[tuple[int, int]], squares: dict[str, np.ndarray], drop: np.random.Generator) -> None:
         """One adaptive step up the region's log likelihood: true segments against their expectation, which sums over all
-        segmentations."""
+        segmentations. Regions without gold segments teach nothing."""
+        segments = gold(text, tokens)
+        if segments is None:
+            return
         table, n = self.table(text, tokens, drop), len(tokens)
         forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         forward[0] = backward[n] = 0.0
@@ -251,7 +259,7 @@ class Field:
             forward[j] = np.logaddexp(forward[j], forward[i] + v)
         for (i, j), v in sorted(whole.items(), key=lambda x: -x[0][0]):
             backward[i] = np.logaddexp(backward[i], backward[j] + v)
-        true = {(i, j): label for i, j, label in gold(text, tokens)}
+        true = {(i, j): label for i, j, label in segments}
         slope: dict[str, np.ndarray] = {}
         for (i, j), (found, s) in table.items():
             g = -np.exp(np.clip(forward[i] + s + backward[j] - forward[n], -700, 0))
@@ -273,7 +281,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # The sample is of short parts of runs; whole runs are searched.
                 for tokens in (run[k : k + REGION_TOKENS] for k in range(0, len(run), REGION_TOKENS)):
                     start, end = tokens[0][0], tokens[-1][1]
-                    if end - start <= 1000:
+                    if end - start <= REGION_CHARS:
                         out.append(text[start:end])
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["region"])
 
