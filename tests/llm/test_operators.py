@@ -363,6 +363,45 @@ def test_superscripts_are_no_quads():
     assert not any(f.startswith("quad") for f in pii.features(text, [(0, len(text))], 0, 1))
 
 
+def test_gold_of_many_tokens():
+    """A phone and a card of five tokens are segments; a region with a longer span is left out."""
+    tokens = lambda t: [m.span() for m in re.finditer(r"\S+", t)]
+    for text, kind, first, end in (("call +1 262 555 37 52 now", "phone", 1, 6), ("card 4000 0000 0000 0000 006 ok", "card", 1, 6)):
+        assert (first, end, pii.LABELS.index(kind)) in pii.gold(text, tokens(text))
+    long = "+1 2 6 2 5 5 5 3 7 5 2"
+    assert len(pii.base_spans(long)) == 1 and pii.gold(long, tokens(long)) is None
+    field = pii.Field()
+    field.learn(long, tokens(long), {}, np.random.default_rng(1))
+    assert not field.weights
+
+
+def test_words_before_a_mark_are_whole():
+    text = "x" * 100 + " 4587"
+    assert next(pii.regions(text))[0] == (0, 100)
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    """Columns called like the stages' own pass through; rows whose nulls lie in other columns are told apart."""
+    own = ["_key", "_id", "_text", "text_key", "_deal", "_KEY_", "n_words", "kept"]
+    given = docs
+    for c in own:
+        given = given.withColumn(c, F.lit(c))
+    bench = spark.createDataFrame([(1, BASE, "extra")], "item_id long, text string, doc_id string")
+    for stage in (quality.kept_documents, near_dedup.kept_documents, lambda d: decontaminate.clean_documents(d, bench), pii.mask):
+        rows = lambda df: Counter(repr((r["doc_id"], r["text"])) for r in df.collect())
+        got = stage(given)
+        assert got.columns == given.columns and all(r[c] == c for r in got.collect() for c in own)
+        assert rows(got) == rows(stage(docs))
+    # The same text under (null, "a"), whose group is alike, and ("a", null), whose group is not.
+    plain = [(i, prose(70, 51 + i), None, "a") for i in range(40)]
+    loud = [(100 + i, prose(70, 151 + i) + " #" * 40, "a", None) for i in range(40)]
+    odd = loud[0][1]
+    table = spark.createDataFrame([*plain, *loud, (200, odd, None, "a"), (201, odd, "a", None)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.kept_documents(table).collect()}
+    judged = {r["doc_id"] for r in quality.judged(table).filter("kept").collect()}
+    assert kept == judged and 201 in kept and 200 not in kept
+
+
 def test_language_model_base_scores(docs, none):
     given = [(i, [*words(t), None]) for i, t in rows_of(docs)]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import prepare
+from tidings.llm.common import free_name, prepare
 from tidings.llm.words import mix, shingle_sets
 from tidings.session import through_table
 
@@ -99,6 +99,7 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    found = through_table(contaminations(docs, items).select(F.col("doc_id").alias("_id"), "text_key").distinct(), "found")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_key"))
+    own_id, key = free_name(docs, "_id"), free_name(docs, "text_key")
+    found = through_table(contaminations(docs, items).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key)).distinct(), "found")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(key))
     return docs.join(found, same, "left_anti")

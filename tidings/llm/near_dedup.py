@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import component_labels, prepare, verified_links
+from tidings.llm.common import component_labels, free_name, prepare, verified_links
 from tidings.llm.words import mix, shingle_sets
 from tidings.session import through_table
 
@@ -271,7 +271,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     several texts of a component that bear its id (or, all ids being null, none) one."""
     named = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     worded = named.filter("set_id is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*")
-    kept = worded.unionByName(named.filter("set_id is null").select("doc_id", "text_key")).distinct().withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    keyed = docs.withColumn("_text", text_key())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    kept = worded.unionByName(named.filter("set_id is null").select("doc_id", "text_key")).distinct()
+    own_id, key, name = (free_name(docs, n) for n in ("_id", "_key", "_text"))
+    kept = kept.withColumnsRenamed({"doc_id": own_id, "text_key": key})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(name) == F.col(key))
+    return docs.withColumn(name, text_key()).join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
