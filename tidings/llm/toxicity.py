@@ -6,7 +6,7 @@ in linear time as half of (square of the sum - sum of the squares), learns that
 insult with a group's name, than their weights add up to. Its inputs are the terms that tell
 
 - alone: their share of toxic training rows differs from the overall share by at least ``MIN_Z`` standard deviations; or
-- in company: a first machine of the terms above leaves residuals, and the leading eigenvectors of the terms' residual-weighted
+- in company: a first machine of the terms that tell alone leaves residuals, and the leading eigenvectors of the terms' residual-weighted
   covariance are the directions in which pairs of terms explain them. They are found by multiplying with the rows, so no pair is
   ever made, on either half of the training rows by itself. A term enters if its rows of the *other* half go with that half's
   direction by ``PAIR_Z`` standard deviations. So both words of a pair that tells only together become inputs though neither tells
@@ -38,7 +38,7 @@ from tidings.session import through_table
 BUCKETS = 1 << 20
 MIN_ROWS = 5
 MIN_Z = 4.0
-#: Higher than ``MIN_Z``: every term above ``MIN_ROWS`` is tried in ``FACTORS`` directions of two halves.
+#: Higher than ``MIN_Z``: every term that could reach it is tried in ``FACTORS`` directions of two halves.
 PAIR_Z = 5.0
 FACTORS = 4
 #: Multiplications that turn random directions towards the leading ones.
@@ -251,13 +251,13 @@ def calibrated(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return slope, shift
 
 
-def residuals(training: DataFrame, machine: Machine, counts: Counts) -> DataFrame:
-    """``(half, residual, terms)`` per training row: what the machine leaves to explain, the terms as places in ``counts.terms``."""
+def residuals(training: DataFrame, machine: Machine, tried: np.ndarray, share: float) -> DataFrame:
+    """``(half, residual, terms)`` per training row: what the machine leaves to explain, its terms that are tried as places in ``tried``."""
     context = training.sparkSession.sparkContext
     sent = context.broadcast((machine.chosen, machine.weights))
     seen = training.mapInArrow(_margins(sent), "doc_id long, toxic int, margin double").toPandas().sort_values("doc_id")
     slope, shift = calibrated(seen["margin"].to_numpy(np.float64), seen["toxic"].to_numpy(np.float64))
-    known, bar = context.broadcast(counts.terms), SETTLED * min(counts.share, 1 - counts.share)
+    known, bar = context.broadcast(tried), SETTLED * min(share, 1 - share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained, every = Machine(*sent.value), Machine(known.value, np.zeros((1, 1), np.float32))
@@ -381,17 +381,24 @@ def fit(training: DataFrame) -> Machine:
     counts = Counts(training)
     alone = counts.telling()
     machine = rounds(training, Machine(counts.terms[alone]))
-    if counts.one_sided() or not len(counts.terms):
+    if counts.one_sided():
         return machine
-    means = counts.n / counts.rows
-    left = residuals(training, machine, counts)
+    # A sum of n values is at most sqrt(n) times the root of their squares' sum, so a term of fewer rows can't reach PAIR_Z.
+    tried = counts.n >= PAIR_Z**2
+    means = counts.n[tried] / counts.rows
+    if not len(means):
+        return machine
+    left = residuals(training, machine, counts.terms[tried], counts.share)
     values, found = directions(left, means)
-    chosen = alone | (company(left, means, found) >= PAIR_Z)
+    chosen = alone.copy()
+    chosen[tried] |= company(left, means, found) >= PAIR_Z
     if chosen.sum() == alone.sum():
         return machine
     wider = Machine(counts.terms[chosen])
     # Factors can only start along directions of positive value: a product of factors is never negative with itself.
-    start = found[0][chosen] * (values[0] > 0)
+    start = np.zeros((len(chosen), found.shape[2]))
+    start[tried] = found[0] * (values[0] > 0)
+    start = start[chosen]
     wider.weights[:-1, 1 : 1 + start.shape[1]] += START * start / np.maximum(np.abs(start).max(axis=0), 1e-12)
     return rounds(training, wider)
 
