@@ -444,3 +444,33 @@ def test_a_limit_above_the_bound_is_refused(spark):
     df = spark.range(50).select(F.lit(1).alias("g"), F.col("id").alias("v"), F.lit(20).alias("own"))
     with pytest.raises(PySparkException, match="above 10"):
         top_per_group(df, ["g"], [F.col("v")], F.col("own"), 10, ["v"]).collect()
+
+
+def test_errors_come_from_one_parse_of_each_payload(spark):
+    from tidings.sources.feed import feed_errors
+    from tidings.sources.listing import listing_errors
+    from tidings.sources.video import video_errors
+
+    bodies = {
+        "feed": [
+            "<rss><channel><title>t</title><item><title>a</title><link>l</link></item><item><link>m</link></item><item><guid>g</guid></item></channel></rss>",
+            "<rss><channel><item><title>a</title></item></channel></rss>", "<feed><title>t</title><entry><id>i</id></entry></feed>",
+            "<feed><title>t</title></feed>", "<html/>", "", None,
+        ],
+        "listing": ['{"data": {"children": [{"data": {"id": "x"}}, {"data": null}, {}]}}', '{"data": {"children": []}}', "{", None],
+        "video": ['{"items": [{"id": {"videoId": "v"}, "snippet": null}, {}]}', '{"items": []}', "[", None],
+    }
+    want = {
+        "feed": ["entry without title or link: g", "entry without title or link: i", "entry without title or link: m"]
+        + ["unreadable feed"] * 4,
+        "listing": ["post with missing fields: ?"] * 2 + ["post with missing fields: x"] + ["unreadable page"] * 2,
+        "video": ["unreadable search result"] * 2 + ["video with missing fields: ?", "video with missing fields: v"],
+    }
+    for errors, stage, parser in ((feed_errors, "feed", "from_xml"), (listing_errors, "listing", "from_json"), (video_errors, "video", "from_json")):
+        payloads = spark.createDataFrame([("s", b) for b in bodies[stage]], "source_name string, body string")
+        found = errors(payloads)
+        assert sorted(r["reason"] for r in found.collect()) == want[stage]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # A feed has two dialects, of which a payload is parsed as one.
+        assert plan.count(parser + "(") <= (2 if stage == "feed" else 1), plan
+        assert "Union" not in plan

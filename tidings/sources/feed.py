@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions.dates import feed_date
 from tidings.schemas import ATOM, RSS
+from tidings.sources.faults import error_rows
 
 # Bodies that are no feed become error rows; the job goes on.
 XML = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
@@ -28,23 +29,26 @@ def is_rss(body: str = "body") -> Column:
 def read_feeds(payloads: DataFrame, body: str = "body") -> DataFrame:
     """One row per entry, in feed order (``item_pos``). Reads all dialects in one pass; other roots have no entries."""
     kept = [c for c in payloads.columns if c != body]
-    atom = is_atom(body)
+    rows = _parsed(payloads, kept, body).select(*kept, "feed_title", "feed_description", F.posexplode("entries").alias("item_pos", "e"))
+    return rows.select(*kept, "item_pos", "feed_title", "feed_description", "e.*")
+
+
+def _parsed(payloads: DataFrame, kept: list, body: str) -> DataFrame:
+    """Each payload parsed once: its title, description and entries, all null if it is no feed. Items and errors are read from this."""
     feeds = payloads.select(
         *kept,
         F.when(is_rss(body), F.from_xml(F.col(body), RSS, XML)).alias("rss"),
-        F.when(atom, F.from_xml(F.col(body), ATOM, XML)).alias("atom"),
+        F.when(is_atom(body), F.from_xml(F.col(body), ATOM, XML)).alias("atom"),
     )
-    rows = feeds.select(
-        *kept,
+    names = [c for c in feeds.columns if c not in ("rss", "atom")]
+    return feeds.select(
+        *names,
         F.coalesce(F.col("rss.channel.title"), F.col("atom.title")).alias("feed_title"),
         F.coalesce(F.col("rss.channel.description"), F.col("atom.subtitle")).alias("feed_description"),
-        F.posexplode(
-            F.coalesce(
-                F.transform(F.coalesce("rss.channel.item", "rss.item"), _rss_entry), F.transform("atom.entry", _atom_entry)
-            )
-        ).alias("item_pos", "e"),
+        F.coalesce(
+            F.transform(F.coalesce("rss.channel.item", "rss.item"), _rss_entry), F.transform("atom.entry", _atom_entry)
+        ).alias("entries"),
     )
-    return rows.select(*kept, "item_pos", "feed_title", "feed_description", "e.*")
 
 
 def _entry(**fields: Column) -> Column:
@@ -90,18 +94,8 @@ def complete() -> Column:
 
 def feed_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
     """An error row for each payload that is no feed, and for each entry without title or link."""
-    sha = F.sha2(F.col(body), 256).alias("body_sha")
-    rss_title = F.from_xml(F.col(body), "channel struct<title:string>", XML)["channel"]["title"]
-    atom_title = F.from_xml(F.col(body), "title string", XML)["title"]
-    title = F.when(is_atom(body), atom_title).when(is_rss(body), rss_title)
-    feeds = payloads.filter(F.col(body).isNull() | title.isNull()).select(
-        "source_name", F.lit("feed").alias("stage"), F.lit("unreadable feed").alias("reason"), sha
-    )
-    entries = read_feeds(payloads.select("source_name", sha, F.col(body).alias("_b")), "_b")
-    return feeds.unionByName(
-        entries.filter("feed_title is not null and (title is null or link is null)").select(
-            "source_name", F.lit("feed").alias("stage"),
-            F.concat(F.lit("entry without title or link: "), F.coalesce("uri", "link", F.lit("?"))).alias("reason"),
-            "body_sha",
-        )
-    )
+    feeds = _parsed(payloads, ["source_name", F.sha2(F.col(body), 256).alias("body_sha")], body)
+    bad = F.filter("entries", lambda e: e["title"].isNull() | e["link"].isNull())
+    reasons = F.transform(bad, lambda e: F.concat(F.lit("entry without title or link: "), F.coalesce(e["uri"], e["link"], F.lit("?"))))
+    unreadable = F.col("feed_title").isNull()
+    return error_rows(feeds, "feed", F.when(unreadable, F.array(F.lit("unreadable feed"))).otherwise(reasons))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.schemas import LISTING
+from tidings.sources.faults import error_rows
 
 # What a post must have to become an item.
 REQUIRED = ("id", "title", "author", "url", "created", "score", "num_comments", "over_18")
@@ -41,22 +42,15 @@ def read_listing(payloads: DataFrame, body: str = "body") -> DataFrame:
     return explode_posts(read_pages(payloads, body))
 
 
-def complete() -> Column:
-    """Whether a post has every field a record needs; others go to the error rows, one by one."""
-    return reduce(Column.__and__, [F.col(c).isNotNull() for c in REQUIRED])
+def complete(post: Column | None = None) -> Column:
+    """Whether a post (of columns, or a struct) has every field a record needs; others go to the error rows, one by one."""
+    return reduce(Column.__and__, [(F.col(c) if post is None else post[c]).isNotNull() for c in REQUIRED])
 
 
 def listing_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """Error rows for unreadable pages and for posts with missing fields."""
-    sha = F.sha2(F.col(body), 256).alias("body_sha")
-    pages = payloads.filter(~readable(body)).select(
-        "source_name", F.lit("listing").alias("stage"), F.lit("unreadable page").alias("reason"), sha
-    )
-    posts = read_listing(payloads.select("source_name", sha, F.col(body).alias("_b")), "_b")
-    return pages.unionByName(
-        posts.filter(~complete()).select(
-            "source_name", F.lit("listing").alias("stage"),
-            F.concat(F.lit("post with missing fields: "), F.coalesce(F.col("id"), F.lit("?"))).alias("reason"),
-            "body_sha",
-        )
-    )
+    """Error rows for unreadable pages and for posts with missing fields, from one reading of each page."""
+    pages = payloads.select("source_name", F.sha2(F.col(body), 256).alias("body_sha"), children(body).alias("children"))
+    bad = F.filter("children", lambda c: ~complete(c["data"]))
+    reasons = F.transform(bad, lambda c: F.concat(F.lit("post with missing fields: "), F.coalesce(c["data"]["id"], F.lit("?"))))
+    unreadable = F.col("children").isNull()
+    return error_rows(pages, "listing", F.when(unreadable, F.array(F.lit("unreadable page"))).otherwise(reasons))

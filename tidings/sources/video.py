@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions.dates import iso_zone, iso_zoned
 from tidings.schemas import SEARCH
+from tidings.sources.faults import error_rows
 
 # What a search result must have to become an item.
 REQUIRED = ("video_id", "title", "description", "thumbnail_url")
@@ -40,17 +41,15 @@ def complete() -> Column:
 
 
 def video_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """Error rows for unreadable searches and for results without the fields a record needs."""
-    sha = F.sha2(F.col(body), 256).alias("body_sha")
-    unreadable = F.from_json(F.col(body), SEARCH)["items"].isNull()
-    pages = payloads.filter(unreadable).select(
-        "source_name", F.lit("video").alias("stage"), F.lit("unreadable search result").alias("reason"), sha
-    )
-    rows = read_videos(payloads.select("source_name", sha, F.col(body).alias("_b")), "_b")
-    return pages.unionByName(
-        rows.filter(~complete()).select(
-            "source_name", F.lit("video").alias("stage"),
-            F.concat(F.lit("video with missing fields: "), F.coalesce(F.col("video_id"), F.lit("?"))).alias("reason"),
-            "body_sha",
-        )
+    """Error rows for unreadable searches and for results without the fields a record needs, from one reading of each search."""
+    items = F.from_json(F.col(body), SEARCH)["items"].alias("items")
+    found = payloads.select("source_name", F.sha2(F.col(body), 256).alias("body_sha"), items)
+    whole = F.transform("items", lambda v: F.struct(v["id"]["videoId"].alias("video_id"), (
+        v["id"]["videoId"].isNotNull() & v["snippet"]["title"].isNotNull()
+        & v["snippet"]["description"].isNotNull() & v["snippet"]["thumbnails"]["high"]["url"].isNotNull()
+    ).alias("whole")))
+    reasons = F.transform(
+        F.filter(whole, lambda v: ~v["whole"]), lambda v: F.concat(F.lit("video with missing fields: "), F.coalesce(v["video_id"], F.lit("?")))
     )
+    unreadable = F.col("items").isNull()
+    return error_rows(found, "video", F.when(unreadable, F.array(F.lit("unreadable search result"))).otherwise(reasons))
