@@ -13,6 +13,7 @@ from tidings.operators import callouts, counts, grouping, model, prompt, publish
 from tidings.operators.union import union_items
 from tidings.plans.daily import day_digests
 from tidings.schemas import ITEM_COLUMNS
+from tidings.session import scratch_dir
 from tidings.sources.archive import list_digests, read_archive, read_digest_files
 
 from conftest import rows
@@ -159,6 +160,25 @@ def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
     assert len(rounds) <= 9
 
 
+def test_grouping_leaves_no_large_tables(spark):
+    """What rounds are made from goes when it is read for the last time, and shuffle files with the queries that wrote them."""
+    def kept():
+        return set(os.listdir(scratch_dir(spark))) if os.path.isdir(scratch_dir(spark)) else set()
+
+    def shuffled():
+        at = f"{spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]}"
+        return {f for _, _, files in os.walk(at) for f in files if f.startswith("shuffle_")}
+
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)]
+    keys = [" ".join(words[i : i + 12]) for i in range(40)]
+    df = spark.createDataFrame([(f"n{i:04d}", k) for i, k in enumerate(keys)], "node string, key string")
+    tables, files = kept(), shuffled()
+    assert grouping.similar_labels(df).count() == 40
+    assert {name.rsplit("-", 1)[0] for name in kept() - tables} <= {"labels", "links"}
+    assert len(shuffled() - files) <= 16
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"n{i + 1:03d}", f"n{i:03d}") for i in range(40)], "node string, other string")
     got = rows(grouping.components(links), "node", "label")

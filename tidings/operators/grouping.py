@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.text import title_key
-from tidings.session import ship_package, spread, through_table
+from tidings.session import drop_tables, ship_package, shuffles_dropped, spread, written
 
 SHINGLE = 5
 MAX_DISTANCE = 0.3
@@ -25,7 +25,7 @@ PROBES, TARGETS = 256, 512
 # Similar nodes that a node takes along from one round.
 PARTNERS = 8
 # Words of 64 bits in a node's outline.
-OUTLINE = 4
+OUTLINE = 8
 # Shingles that are put last in the order of all, at most.
 COMMON = 65536
 # Beyond the one shingle that must be shared, one more is asked for per so many of a set.
@@ -132,7 +132,7 @@ def _prefixes(common: np.ndarray, similarity: float):
 def title_sets(keys: DataFrame) -> DataFrame:
     """``(node, sh, n, bits)``: each key's shingles, how many they are, and their outline."""
     ship_package(keys.sparkSession)
-    return through_table(spread(keys).mapInArrow(_sets, "node string, sh array<long>, n long, bits array<long>"), "sets")
+    return spread(keys).mapInArrow(_sets, f"node {keys.schema['node'].dataType.simpleString()}, sh array<long>, n long, bits array<long>")
 
 
 def title_buckets(sets: DataFrame, similarity: float) -> DataFrame:
@@ -144,8 +144,9 @@ def title_buckets(sets: DataFrame, similarity: float) -> DataFrame:
     titles must meet in many buckets before they are compared.
     """
     often = sets.select("sh").mapInArrow(_common, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    often = np.array([r["s"] for r in often.orderBy(F.desc("c"), "s").limit(COMMON).collect()][::-1], np.int64)
-    return spread(sets.select("node", "sh")).mapInArrow(_prefixes(often, similarity), "node string, bucket long")
+    with shuffles_dropped(sets.sparkSession):
+        often = np.array([r["s"] for r in often.orderBy(F.desc("c"), "s").limit(COMMON).collect()][::-1], np.int64)
+    return spread(sets.select("node", "sh")).mapInArrow(_prefixes(often, similarity), f"node {sets.schema['node'].dataType.simpleString()}, bucket long")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -157,9 +158,10 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 def _may_be_similar(similarity: float) -> Column:
     """What sizes and outlines allow: sets this similar differ in at most this share of both sizes together."""
-    differing = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(OUTLINE)), F.lit(0))
-    sizes = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
-    return sizes & (differing <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-9)
+    a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "bits")} for side in "ab")
+    differing = sum((F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k])) for k in range(OUTLINE)), F.lit(0))
+    sizes = F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9
+    return sizes & (differing <= (1 - similarity) / (1 + similarity) * (a["n"] + b["n"]) + 1e-9)
 
 
 def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -168,9 +170,11 @@ def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, similarit
 
     Only buckets of several components are looked at, and in them the nodes outside the largest one beside all others.
     They are dealt to blocks, which are joined by equality, so no task holds a bucket. Pairs that meet in enough buckets
-    are compared as whole sets. If nothing comes out, every pair of every bucket is connected or unlike.
+    are compared as whole sets. If nothing comes out, every pair of every bucket is connected or unlike. The links are a table; what it was
+    made from is deleted.
     """
-    named = through_table(
+    spark = members.sparkSession
+    named, named_path = written(
         members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "label"), "labelled"
     )
     sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
@@ -181,23 +185,38 @@ def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, similarit
         )
     )
     inside = named.join(split, "bucket").join(sets.select("node", "n", "bits"), "node").withColumn("probe", F.col("label") != F.col("largest"))
-    inside = through_table(inside, "unresolved")
-    dealt = F.xxhash64("node")
-    probes = inside.filter("probe").select(
-        "bucket", "node", "label", "n", "bits", F.pmod(dealt, "probe_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("target_blocks") - 1)).alias("j")
-    )
-    targets = inside.select(
-        "bucket", F.col("node").alias("other"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("probe").alias("probe2"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("probe_blocks") - 1)).alias("i"), F.pmod(dealt, "target_blocks").alias("j"),
-    )
-    # Two probes meet twice in a bucket and are counted once.
-    once = ~F.col("probe2") | (F.col("node") < F.col("other"))
-    met = probes.join(targets, ["bucket", "i", "j"]).filter((F.col("label") != F.col("label2")) & once & _may_be_similar(similarity))
-    near = met.groupBy(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"), F.least("n", "n2").alias("n")).agg(F.count("*").alias("met"))
-    found = similar_pairs(near.filter(f"met >= 1 + n div {SLACK}").select("node", "other"), sets, similarity)
+    inside, inside_path = written(inside, "unresolved")
+    drop_tables(spark, named_path)
+    # Each row goes to its probe block beside all target blocks and to its target block beside all probe blocks, once to the cell of
+    # both, so the join's two sides are one shuffle.
+    i, j = (F.pmod(F.xxhash64("node"), blocks) for blocks in ("probe_blocks", "target_blocks"))
+    along = lambda blocks: F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+    as_probe = F.when(F.col("probe"), F.transform(along("target_blocks"), lambda x: F.struct(i.alias("i"), x.alias("j"))))
+    as_target = F.transform(along("probe_blocks"), lambda x: F.struct(x.alias("i"), j.alias("j")))
+    cells = inside.withColumn("cell", F.explode(F.array_union(F.coalesce(as_probe, F.array().cast("array<struct<i:bigint,j:bigint>>")), as_target)))
+    dealt = cells.select(
+        "bucket", "node", "label", "n", "bits", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"),
+        (F.when(F.col("probe") & (F.col("cell.i") == i), 1).otherwise(0) + F.when(F.col("probe"), 2).otherwise(0)
+         + F.when(F.col("cell.j") == j, 4).otherwise(0)).cast("byte").alias("role"),
+    ).repartition("bucket", "i", "j")
+    own = lambda side, bit: F.col(f"{side}.role").cast("int").bitwiseAND(bit)
+    # Two probes meet twice in a bucket and are counted once. The roles are tested together, as a test of one side would make two shuffles.
+    once = (own("b", 2) == 0) | (F.col("a.node") < F.col("b.node"))
+    roles = own("a", 1) * own("b", 4) > 0
+    met = dealt.alias("a").join(dealt.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "i", "j")])
+    met = met.filter(roles & (F.col("a.label") != F.col("b.label")) & once & _may_be_similar(similarity))
+    near = met.groupBy(
+        F.least("a.node", "b.node").alias("node"), F.greatest("a.node", "b.node").alias("other"), F.least("a.n", "b.n").alias("n")
+    ).agg(F.count("*").alias("met"))
+    near, near_path = written(near.filter(f"met >= 1 + n div {SLACK}").select("node", "other"), "near")
+    drop_tables(spark, inside_path)
+    found, found_path = written(similar_pairs(near, sets, similarity), "found")
+    drop_tables(spark, near_path)
     both = found.unionByName(found.select(F.col("other").alias("node"), F.col("node").alias("other")))
     place = F.row_number().over(Window.partitionBy("node").orderBy("other"))
-    return both.withColumn("place", place).filter(F.col("place") <= PARTNERS + 1)
+    links, _ = written(both.withColumn("place", place).filter(F.col("place") <= PARTNERS + 1), "links")
+    drop_tables(spark, found_path)
+    return links
 
 
 def similar_labels(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
@@ -206,25 +225,26 @@ def similar_labels(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataF
 
     First every node is compared with one node, the one that is smallest in most of its buckets, which settles hot families.
     Then nodes look for partners in other components. If none has more of them than are taken along, all links are known;
-    else the next round looks again, with at most half of the components that had a partner.
+    else the next round looks again, with at most half of the components that had a partner. Sets and members are deleted in the end.
     """
-    similarity = 1 - max_distance
-    sets = title_sets(keys)
-    each = title_buckets(sets, similarity)
+    spark, similarity = keys.sparkSession, 1 - max_distance
+    sets, sets_path = written(title_sets(keys), "sets")
+    each, each_path = written(title_buckets(sets, similarity), "buckets")
     leaders = each.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1")
-    members = through_table(each.join(leaders.drop("c"), "bucket"), "members")
+    members, members_path = written(each.join(leaders.drop("c"), "bucket"), "members")
+    drop_tables(spark, each_path)
     led = members.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
     first = led.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("other"))
-    labels = components(through_table(similar_pairs(first, sets, similarity), "links"))
+    labels = components(written(similar_pairs(first, sets, similarity), "links")[0])
     members = members.drop("leader")
     while True:
-        more = through_table(open_links(members, labels, sets, similarity), "links")
+        more = open_links(members, labels, sets, similarity)
         most = more.agg(F.max("place")).first()[0]
-        if most is None:
-            return labels
-        known = labels.filter("node <> label").select("node", F.col("label").alias("other"))
-        labels = components(known.unionByName(more.filter(F.col("place") <= PARTNERS).drop("place")))
-        if most <= PARTNERS:
+        if most is not None:
+            known = labels.filter("node <> label").select("node", F.col("label").alias("other"))
+            labels = components(known.unionByName(more.filter(F.col("place") <= PARTNERS).drop("place")))
+        if most is None or most <= PARTNERS:
+            drop_tables(spark, sets_path, members_path)
             return labels
 
 
@@ -232,31 +252,40 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, label)``: the smallest node each node of ``links(node, other)`` is connected with. Labels travel along links
     and are then replaced by their own label, so the rounds grow with the logarithm of the longest path; each round is a
     table."""
+    spark = links.sparkSession
     both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    both = through_table(both.distinct(), "edges")
-    labels = through_table(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    both, both_path = written(both.distinct(), "edges")
+    labels, path = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
         heard = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
-        nearest = through_table(labels.unionByName(heard).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        nearest, nearest_path = written(labels.unionByName(heard).groupBy("node").agg(F.min("label").alias("label")), "labels")
         jump = nearest.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = through_table(nearest.join(jump, "label").select("node", F.col("next").alias("label")), "labels")
-        if step.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty():
+        step, step_path = written(nearest.join(jump, "label").select("node", F.col("next").alias("label")), "labels")
+        with shuffles_dropped(spark):
+            settled = step.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty()
+        drop_tables(spark, path, nearest_path)
+        if settled:
+            drop_tables(spark, both_path)
             return step
-        labels = step
+        labels, path = step, step_path
 
 
 def similar_groups(items: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """R5, near: ``group_key`` per item becomes that of its component of similar titles (the one whose digest is
     smallest). Equal titles are merged first, so copies cost one node however many there are. Items without a title
     stay alone."""
-    keyed = items.withColumn("_key", exact_key()).withColumn("node", F.md5("_key"))
-    keys = through_table(
-        keyed.filter(title_key(F.col("title")) != "").select("node", F.col("_key").alias("key")).distinct(), "keys"
+    spark = items.sparkSession
+    keyed = items.withColumn("_key", exact_key()).withColumn("_digest", F.md5("_key"))
+    keys, keys_path = written(
+        keyed.filter(title_key(F.col("title")) != "").select(F.col("_digest").alias("digest"), F.col("_key").alias("key")).distinct(), "keys"
     )
-    labels = similar_labels(keys, max_distance)
-    named = labels.join(keys.select(F.col("node").alias("label"), F.col("key").alias("group_key")), "label")
+    # Nodes are numbers in the order of the digests: a node stands in many rows, which are a third as wide with numbers.
+    nodes, _ = written(keys.repartitionByRange("digest").sortWithinPartitions("digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    drop_tables(spark, keys_path)
+    labels = similar_labels(nodes.select("node", "key"), max_distance)
+    named = labels.join(nodes.select("node", "digest"), "node").join(nodes.select(F.col("node").alias("label"), F.col("key").alias("group_key")), "label")
     return (
-        keyed.join(named.select("node", "group_key"), "node", "left")
+        keyed.join(named.select(F.col("digest").alias("_digest"), "group_key"), "_digest", "left")
         .withColumn("group_key", F.coalesce("group_key", "_key"))
-        .drop("node", "_key")
+        .drop("_digest", "_key")
     )
