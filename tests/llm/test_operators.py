@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidings.llm import decontaminate, language_model, near_dedup, pieces, pii, quality, sharding, token_counts, toxicity, warc
 from tidings.llm.words import mix
+from tidings.session import scratch_dir
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -468,6 +470,24 @@ def test_words_of_one_suffix_get_classes_of_their_own(spark, monkeypatch):
     assert sum(kinds.values()) > 700 and apart / sum(kinds.values()) > 0.7
 
 
+def test_class_model_leaves_no_large_tables(spark):
+    """Counts, bigrams, profiles and looked-up words go when they are read for the last time, shuffle files with the queries that wrote them."""
+    def kept():
+        return set(os.listdir(scratch_dir(spark))) if os.path.isdir(scratch_dir(spark)) else set()
+
+    def shuffled():
+        at = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+        return {f for _, _, files in os.walk(at) for f in files if f.startswith("shuffle_")}
+
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(VOCABULARY) for _ in range(30))) for i in range(50)], "doc_id long, text string")
+    tables, files = kept(), shuffled()
+    scored = language_model.scores(docs)
+    assert {name.rsplit("-", 1)[0] for name in kept() - tables} <= {"classes", "lexicon", "parts", "found"}
+    assert len(shuffled() - files) <= 16
+    assert scored.count() == 50
+
+
 def test_toxicity_learns_pairs(spark, docs, none):
     r = random.Random(8)
     rows = []

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import held_by_crc, prepare
 from tidings.llm.words import batch_bytes, mix, word_spans
-from tidings.session import drop_tables, new_table_path, shuffles_dropped, through_table
+from tidings.session import drop_tables, shuffles_dropped, written
 
 UNIT_SHARE = 1024
 SUFFIXES = 512
@@ -344,20 +344,11 @@ def _moved(sent, half: int):
     return run
 
 
-def _written(df: DataFrame, name: str, *parts: str) -> tuple[DataFrame, str]:
-    """``df`` as a table of the shared folder, and its path. The files of its shuffles go as soon as it is written."""
-    spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
-    with shuffles_dropped(spark):
-        df.write.partitionBy(*parts).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 CLASS_COLUMNS = ["word", "known", "frequent", "class"]
 
 
-def cluster_words(training: DataFrame, start: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``(word, known, frequent, class)`` of all training words and the class pair counts, by exchange from ``start``. A sweep's tables are
-    deleted when nothing reads them any more; of the assignments the best is kept."""
+def cluster_words(training: DataFrame, start: DataFrame, start_path: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """``(word, known, frequent, class)`` of all training words and the class pair counts, by exchange from ``start``. A sweep's tables are deleted when nothing reads them any more, that of ``start`` too; of the assignments the best is kept."""
     spark = training.sparkSession
     kinds = start.filter("known").select("word", F.when(F.col("frequent"), 2).otherwise(1).cast("byte").alias("kind"))
     bigrams = word_bigrams(training)
@@ -365,15 +356,16 @@ def cluster_words(training: DataFrame, start: DataFrame) -> tuple[DataFrame, np.
         kind = F.broadcast(kinds.select(F.col("word").alias(c), F.col("kind").alias(f"{c}_kind")))
         bigrams = bigrams.join(kind, c, "left").withColumn(f"{c}_kind", F.coalesce(f"{c}_kind", F.lit(0).cast("byte")))
     # Parts by kind, so that each branch of a sweep reads its own.
-    bigrams, bigrams_path = _written(bigrams, "word_bigrams", "first_kind", "second_kind")
-    classes, path, best = start, None, None
+    bigrams, bigrams_path = written(bigrams, "word_bigrams", "first_kind", "second_kind")
+    classes, path, best = start, start_path, None
     driven = {r["word"]: r["class"] for r in start.filter("frequent").collect()}
     names = np.array(sorted(driven), np.int64)
     driven_classes = np.array([driven[int(w)] for w in names], np.int64)
     for sweep in range(SWEEPS + 1):
         last = sweep == SWEEPS
-        profiles, profiles_path = _written(word_profiles(bigrams, classes, None if last else sweep % 2), "profiles")
-        pairs = _pair_counts(profiles)
+        profiles, profiles_path = written(word_profiles(bigrams, classes, None if last else sweep % 2), "profiles")
+        with shuffles_dropped(spark):
+            pairs = _pair_counts(profiles)
         reached = likelihood(pairs)
         if best is None or reached > best[0]:
             if best is not None:
@@ -395,7 +387,7 @@ def cluster_words(training: DataFrame, start: DataFrame) -> tuple[DataFrame, np.
         others = profiles.filter("not frequent").select("word", "known", "class", "profile")
         moved = others.mapInArrow(_moved(spark.sparkContext.broadcast(pairs), sweep % 2), "word long, known boolean, class int")
         fixed = spark.createDataFrame([(int(w), True, True, int(c)) for w, c in zip(names, driven_classes, strict=True)], "word long, known boolean, frequent boolean, class int")
-        classes, path = _written(moved.withColumn("frequent", F.lit(False)).select(*CLASS_COLUMNS).unionByName(fixed), "classes")
+        classes, path = written(moved.withColumn("frequent", F.lit(False)).select(*CLASS_COLUMNS).unionByName(fixed), "classes")
         drop_tables(spark, profiles_path)
     return best[1], best[2]
 
@@ -492,7 +484,7 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     training = docs.filter(~held_by_crc("doc_id", 7, 2))
-    counts = through_table(word_counts(training), "words")
+    counts, counts_path = written(word_counts(training), "words")
     summed = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = summed["n"], summed["v"]
     # At most KNOWN_SHARE words can have so large a share.
@@ -500,8 +492,10 @@ def scores(docs: DataFrame) -> DataFrame:
     is_known = (F.col("n") * KNOWN_SHARE >= total) | is_end
     top = counts.filter((F.col("n") * UNIT_SHARE >= total) & ~is_end).select("word").toPandas()
     units = Units(top["word"].to_numpy(np.int64).view(_U))
-    coarse = through_table(unit_bigrams(training, units), "bigrams")
-    coarse_classes, _ = cluster(coarse, units)
+    coarse, coarse_path = written(unit_bigrams(training, units), "bigrams")
+    with shuffles_dropped(spark):
+        coarse_classes, _ = cluster(coarse, units)
+    drop_tables(spark, coarse_path)
 
     of_unit = {int(h): int(coarse_classes[u]) for u, h in enumerate(units.frequent.view(np.int64))}
     named = F.broadcast(spark.createDataFrame([*of_unit.items(), (int(END_HASH), CLASSES)], "word long, own int"))
@@ -509,9 +503,10 @@ def scores(docs: DataFrame) -> DataFrame:
     start = counts.join(of_bucket, "bucket").join(named, "word", "left").select(
         "word", is_known.alias("known"), F.col("own").isNotNull().alias("frequent"), F.coalesce("own", "class").alias("class")
     )
-    classes, pairs = cluster_words(training, through_table(start, "classes"))
+    classes, pairs = cluster_words(training, *written(start, "classes"))
 
-    lexicon = through_table(counts.join(classes, "word"), "lexicon")
+    lexicon, _ = written(counts.join(classes, "word"), "lexicon")
+    drop_tables(spark, counts_path)
     # A class may have many words of a bucket; of equal ones the least class counts.
     sized = lexicon.groupBy("bucket", "class").count().collect()
     words, shares = np.zeros(CLASSES + 1), np.zeros((SUFFIXES + 1, CLASSES + 1))
@@ -525,15 +520,18 @@ def scores(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(Scorer(hashes, n, known_class, by_suffix, pairs, words))
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    parts = through_table(numbered.mapInArrow(_partly_scored(sent), PARTS), "parts")
+    parts, _ = written(numbered.mapInArrow(_partly_scored(sent), PARTS), "parts")
     rest = parts.select("row", F.posexplode(F.arrays_zip("rest", "rest_n")).alias("place", "x")).select(
         "row", "place", F.col("x.rest").alias("word"), F.col("x.rest_n").alias("times")
     )
     seldom = lexicon.filter("not known").select("word", "n", "class")
-    found = rest.join(seldom, "word").groupBy("row").agg(
+    # In two tables, so that the shuffles by word are gone when those by row begin.
+    hits, hits_path = written(rest.join(seldom, "word").select("row", "place", "class", "times", "n"), "hits")
+    found, _ = written(hits.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rest_logs"), F.sum("times").alias("rest_known"),
         F.collect_list(F.struct("place", "class")).alias("found"),
-    )
+    ), "found")
+    drop_tables(spark, hits_path)
     zero = F.lit(0.0)
     joined = parts.drop("rest", "rest_n").join(found, "row", "left").select(
         "row", "doc_id", "n_tokens", (F.col("known_tokens") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
