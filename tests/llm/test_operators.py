@@ -233,6 +233,24 @@ def test_pieces_decode_and_vary(docs, none):
     assert len(flat) > len(library.encode("different words " * 50))
 
 
+def test_merging_in_parts_changes_nothing(monkeypatch):
+    """Words merged some at a time get the pieces, places and noted candidates of all at once."""
+    model = pieces.load(MODEL)
+    words = [" international", " a", " understanding\u4e2d", " ", " reconsiderations", " x" * 7, " zz"] * 9
+    symbols = model.of_char[np.array([ord(c) for w in words for c in w])].astype(np.int64)
+    first, keys = np.cumsum([0, *map(len, words)]), np.arange(len(words)).astype(np.uint64) * np.uint64(977)
+    for rate in (0.0, 0.3):
+        noted, noted_parts = [], []
+        whole = pieces.merge_all(model, symbols, first, keys, rate, noted)
+        for size in (1, 20, 1 << 20):
+            monkeypatch.setattr(pieces, "PART_CHARS", size)
+            noted_parts.clear()
+            parts = pieces.merge_parts(model, symbols, first, keys, rate, noted_parts)
+            assert all(a.tolist() == b.tolist() for a, b in zip(whole, parts, strict=True))
+            flat = lambda x: sorted((int(w), int(c)) for of, drawn in x for w, c in zip(of, drawn, strict=True))
+            assert flat(noted) == flat(noted_parts)
+
+
 def test_both_ways_of_merging_agree(monkeypatch):
     model, texts = pieces.load(MODEL), [prose(50, k) + " naïve ▁" for k in range(5)]
     fast = pieces.encode_batch(model, texts, np.arange(5), 0.2, 3)

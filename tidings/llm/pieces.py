@@ -36,9 +36,13 @@ from tidings.llm.words import mix, span_hashes
 DROPOUT = 0.1
 SEED = 20240229
 LONG_WORD = 96
+#: Characters of the words that are merged together.
+PART_CHARS = 1 << 17
 SPACE_MARK = "▁"
 NO_MERGE = np.int64(1 << 62)
 FREE = np.int64(-1)
+# Bits of a slot that hold the piece.
+PIECE_BITS = 21
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 
@@ -65,9 +69,12 @@ class Model:
             self.bytes[self.byte0 + b] = bytes([b])
         self.bytes_array = pa.array(self.bytes, pa.binary())
         merges = {(ids[p[:k]], ids[p[k:]]): i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        if n >= 1 << PIECE_BITS - 1:
+            raise ValueError("more pieces than a slot has room for")
         self.size, self.merges = n, merges
         self.drawn = mix(np.arange(1, n + 1, dtype=_U))
-        self._index(np.array([a * n + b for a, b in merges], np.int64), np.array(list(merges.values()), np.int64))
+        pairs = np.array(list(merges), np.int64).reshape(-1, 2)
+        self._index(self._key(pairs[:, 0], pairs[:, 1]), np.array(list(merges.values()), np.int64))
         self.of_char = np.full(0x110000, -1, np.int32)
         for piece, i in ids.items():
             if len(piece) == 1:
@@ -76,33 +83,41 @@ class Model:
         self.of_char[ord(SPACE_MARK)] = -1
 
     def _index(self, keys: np.ndarray, pieces: np.ndarray) -> None:
-        """Pairs by hashed slot, a taken slot's pair in the next free one; at most a quarter of the slots is used."""
-        self.slots = 1 << (4 * len(keys)).bit_length()
+        """Pairs by hashed slot, a taken slot's pair in the next free one; at most half of the slots is used. A slot holds the pair
+        and its piece as one number."""
+        self.slots = 1 << (2 * len(keys)).bit_length()
         self.shift = _U(64 - self.slots.bit_length() + 1)
-        self.slot_keys, self.slot_pieces = np.full(self.slots, FREE), np.full(self.slots, -1, np.int64)
+        self.slot = np.full(self.slots, FREE)
         at = self._slot(keys)
         while len(keys):
-            free = self.slot_keys[at] == FREE
-            self.slot_keys[at[free]] = keys[free]
-            placed = self.slot_keys[at] == keys
-            self.slot_pieces[at[placed]] = pieces[placed]
+            free = self.slot[at] == FREE
+            self.slot[at[free]] = keys[free] << PIECE_BITS | pieces[free]
+            placed = self.slot[at] >> PIECE_BITS == keys
             keys, pieces, at = keys[~placed], pieces[~placed], (at[~placed] + 1) % self.slots
 
+    def _key(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pairs as numbers. An unknown symbol (-1) gives one that no pair of pieces has."""
+        return left * (2 * self.size) + right
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(_U) * _ODD) >> self.shift).view(np.int64)
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
-        known = np.flatnonzero((left >= 0) & (right >= 0))
-        key = left[known] * self.size + right[known]
+        key = self._key(left, right)
         at = self._slot(key)
-        out = np.full(len(left), -1, np.int64)
-        while len(known):
-            seen = self.slot_keys[at]
-            same = seen == key
-            out[known[same]] = self.slot_pieces[at[same]]
-            on = ~same & (seen != FREE)
-            known, key, at = known[on], key[on], (at[on] + 1) % self.slots
+        seen = self.slot[at]
+        same = seen >> PIECE_BITS == key
+        out = np.where(same, seen & ((1 << PIECE_BITS) - 1), -1)
+        on = np.flatnonzero(~same & (seen != FREE))
+        at = at[on]
+        while len(on):
+            at = (at + 1) % self.slots
+            seen = self.slot[at]
+            same = seen >> PIECE_BITS == key[on]
+            out[on[same]] = seen[same] & ((1 << PIECE_BITS) - 1)
+            more = ~same & (seen != FREE)
+            on, at = on[more], at[more]
         return out
 
 
@@ -160,21 +175,18 @@ def merge_all(
     the piece that each symbol makes with its neighbour at first (``neighbours``, if that is known already). ``offered`` takes the
     words and the numbers of all candidates."""
     n = len(symbols)
-    sym = symbols.astype(np.int64)
+    # Behind the last place stands a symbol that joins with none.
+    sym = np.append(symbols, -1).astype(np.int64)
     word = np.repeat(np.arange(len(first) - 1), np.diff(first))
     nxt = np.arange(1, n + 1)
     nxt[first[1:] - 1] = n
-    prv = np.arange(-1, n - 1)
+    prv = np.arange(-1, n)
     prv[first[:-1]] = -1
     alive = np.ones(n, bool)
     best = np.full(n, NO_MERGE)
 
     def beside(at: np.ndarray) -> np.ndarray:
-        right = nxt[at]
-        has = right < n
-        piece = np.full(len(at), -1)
-        piece[has] = model.joined(sym[at[has]], sym[right[has]])
-        return piece
+        return model.joined(sym[at], sym[nxt[at]])
 
     def offer(at: np.ndarray, piece: np.ndarray) -> None:
         able = piece >= 0
@@ -185,8 +197,9 @@ def merge_all(
             drawn = _candidates(model, at - first[w], piece)
             if offered is not None:
                 offered.append((w, drawn))
-            going = ~_skipped(keys[w], drawn, rate)
-            at, piece = at[going], piece[going]
+            if rate > 0:
+                going = ~_skipped(keys[w], drawn, rate)
+                at, piece = at[going], piece[going]
         # Rank first, then place: the least value is the next merge.
         best[at] = (model.rank[piece] << 40) + at
 
@@ -194,33 +207,56 @@ def merge_all(
         neighbours = beside(np.arange(n))
     if n:
         offer(np.arange(n), neighbours)
-    active = np.arange(len(first) - 1)
     starts, flat = first[:-1], np.arange(n)
-    while len(active):
+    gone = 0
+    while len(starts):
         least = np.minimum.reduceat(best[flat], starts)
         going = least < NO_MERGE
-        at = least[going] & ((1 << 40) - 1)
+        at = least[going]
         if not len(at):
             break
+        rank, at = at >> 40, at & ((1 << 40) - 1)
         right = nxt[at]
-        sym[at] = model.of_rank[least[going] >> 40]
+        sym[at] = model.of_rank[rank]
         alive[right], best[right] = False, NO_MERGE
         after = nxt[right]
         nxt[at] = after
-        prv[after[after < n]] = at[after < n]
-        offer(at, beside(at))
+        # The place behind the last one takes what is written to it and is never read.
+        prv[after] = at
         before = prv[at]
-        before = before[before >= 0]
-        offer(before, beside(before))
-        # Words that are done leave, and merged places with them.
-        active = active[going]
-        keep = alive[flat] & np.repeat(going, np.diff(np.append(starts, len(flat))))
-        flat = flat[keep]
-        counts = np.bincount(word[flat], minlength=len(first) - 1)[active]
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(active) else np.zeros(0, np.int64)
+        changed = np.concatenate([at, before[before >= 0]])
+        offer(changed, beside(changed))
+        # Words that are done leave, and merged places with them, when there are enough of either.
+        gone += len(at)
+        if 8 * gone > len(flat) or 4 * len(at) < 3 * len(starts):
+            keep = alive[flat] & np.repeat(going, np.diff(np.append(starts, len(flat))))
+            counts = np.add.reduceat(keep, starts, dtype=np.int64)[going]
+            flat, gone = flat[keep], 0
+            starts = np.cumsum(counts) - counts
+    sym = sym[:-1]
     return sym[alive], np.flatnonzero(alive), neighbours
 
 
+def merge_parts(
+    model: Model, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None,
+    neighbours: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``merge_all``, of as many words at a time as a processor's cache has room for."""
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, first[-1], PART_CHARS)), len(first) - 1))
+    parts = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        at = slice(first[a], first[b])
+        noted: list[tuple[np.ndarray, ...]] | None = None if offered is None else []
+        sym, places, beside = merge_all(model, symbols[at], first[a : b + 1] - first[a], keys[a:b], rate, noted, None if neighbours is None else neighbours[at])
+        parts.append((sym, places + first[a], beside))
+        if offered is not None:
+            offered.extend((w + a, drawn) for w, drawn in noted or [])
+    if not parts:
+        return merge_all(model, symbols, first, keys, rate, offered, neighbours)
+    sym, places, beside = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return sym, places, beside
+
+
 def _with_bytes(model: Model, sym: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols as pieces, unknown characters as the pieces of their bytes; and how many pieces each symbol has."""
     unknown = sym < 0
@@ -270,26 +306,24 @@ def _dropping(offered: list[tuple[np.ndarray, ...]], n_words: int, which: np.nda
 
 
 def _merged(
-    model: Model, words: list[bytes], keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None,
+    model: Model, data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: float, offered: list[tuple[np.ndarray, ...]] | None = None,
     neighbours: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The pieces of all words end to end, and how many each word has; where each word's characters begin, and what
-    each of them makes with its neighbour."""
-    joined = b"".join(words)
-    chars = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
-    leads = (np.frombuffer(joined, np.uint8) & 0xC0) != 0x80
-    byte_first = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
-    first = np.concatenate([[0], np.cumsum(leads)])[byte_first]
+    each of them makes with its neighbour. The words' bytes stand end to end in ``data``."""
+    chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    leads = (data & 0xC0) != 0x80
+    first = np.concatenate([[0], np.cumsum(leads)])[np.concatenate([[0], np.cumsum(lengths)])]
     symbols = model.of_char[chars].astype(np.int64)
     long = np.flatnonzero(np.diff(first) > LONG_WORD)
     short_symbols = symbols.copy()
     for w in long:
         # Taken out here and merged one by one; unknown symbols never merge.
         short_symbols[first[w] : first[w + 1]] = -1
-    sym, places, neighbours = merge_all(model, short_symbols, first, keys, rate, offered, neighbours)
+    sym, places, neighbours = merge_parts(model, short_symbols, first, keys, rate, offered, neighbours)
     owner = np.searchsorted(first, places, side="right") - 1
     pieces, width = _with_bytes(model, sym, chars[places])
-    of_word = np.bincount(owner, weights=width, minlength=len(words)).astype(np.int64)
+    of_word = np.bincount(owner, weights=width, minlength=len(lengths)).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(of_word)])
     special = {}
     for w in long:
@@ -300,7 +334,7 @@ def _merged(
             np.array([s]) if s >= 0 else model.byte0 + np.frombuffer(chr(next(unknown_chars)).encode(), np.uint8).astype(np.int64) for s in left
         ])
     if special:
-        parts = [special.get(w, pieces[at[w] : at[w + 1]]) for w in range(len(words))]
+        parts = [special.get(w, pieces[at[w] : at[w + 1]]) for w in range(len(lengths))]
         pieces = np.concatenate(parts)
         of_word = np.array([len(x) for x in parts])
     return pieces, of_word, first, neighbours
@@ -323,13 +357,14 @@ def encode_batch(model: Model, texts: list[str], doc_ids: np.ndarray, rate: floa
     doc = np.repeat(np.arange(len(texts)), np.diff(per_doc))
     keys = mix(mix(doc_ids.astype(np.int64).view(_U) + _U(seed))[doc] + (np.arange(len(start)) - per_doc[doc]).astype(_U))
     which, chosen = _distinct(data, start, end)
-    raw = data.tobytes()
+    lengths = end - start
 
-    def spans(at: np.ndarray) -> list[bytes]:
-        return [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+    def bytes_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = lengths[at]
+        return data[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
     offered: list[tuple[np.ndarray, ...]] = []
-    pieces, of_word, first, neighbours = _merged(model, spans(chosen), keys[chosen], 0.0, offered if rate > 0 else None)
+    pieces, of_word, first, neighbours = _merged(model, *bytes_of(chosen), keys[chosen], 0.0, offered if rate > 0 else None)
     if rate > 0:
         # The heap notes no candidates: occurrences of a long word are all merged.
         begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -339,13 +374,13 @@ def encode_batch(model: Model, texts: list[str], doc_ids: np.ndarray, rate: floa
             # An occurrence begins with the same candidates as its word.
             n = np.diff(first)[which[own]]
             begin = np.repeat(first[which[own]] - (np.cumsum(n) - n), n)
-            more, of_more, *_ = _merged(model, spans(own), keys[own], rate, None, neighbours[begin + np.arange(len(begin))])
+            more, of_more, *_ = _merged(model, *bytes_of(own), keys[own], rate, None, neighbours[begin + np.arange(len(begin))])
             which[own] = len(chosen) + np.arange(len(own))
             pieces, of_word = np.concatenate([pieces, more]), np.concatenate([of_word, of_more])
     at = np.concatenate([[0], np.cumsum(of_word)])
-    lengths = of_word[which]
-    ends = np.cumsum(lengths)
-    out = pieces[np.repeat(at[which] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+    counts = of_word[which]
+    ends = np.cumsum(counts)
+    out = pieces[np.repeat(at[which] - (ends - counts), counts) + np.arange(int(ends[-1]))]
     return out, np.concatenate([[0], ends])[per_doc]
 
 
