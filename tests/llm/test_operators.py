@@ -488,6 +488,37 @@ def test_words_of_one_suffix_get_classes_of_their_own(spark, monkeypatch):
     assert sum(kinds.values()) > 700 and apart / sum(kinds.values()) > 0.7
 
 
+def test_parts_of_the_vocabulary_count_every_bigram(spark, monkeypatch):
+    """Class pair counts of the last assignment against those of the texts, and no table of a row per bigram."""
+    r = random.Random(5)
+    rows = [(i, None if i == 7 else " ".join(r.choice("abc") if r.random() < 0.4 else f"w{r.randrange(900)}" for _ in range(r.randrange(80)))) for i in range(120)]
+    training = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, sizes = {}, {}
+    whole, write = language_model.cluster_words, language_model.written
+
+    def counted(df, name, *parts):
+        table, path = write(df, name, *parts)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table, path
+
+    monkeypatch.setattr(language_model, "cluster_words", lambda *x: kept.setdefault("got", whole(*x)))
+    monkeypatch.setattr(language_model, "written", counted)
+    monkeypatch.setattr(language_model, "KNOWN_SHARE", 100)
+    language_model.scores(training).collect()
+    classes, pairs = kept["got"]
+    of = {x["word"]: x["class"] for x in classes.collect()}
+    want, seen = np.zeros_like(pairs), set()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            hashes = language_model.tokens(pa.array([text], pa.string()))[0].view(np.int64).tolist()
+            for a, b in zip([int(language_model.END_HASH), *hashes], hashes):
+                want[of[a], of[b]] += 1
+                seen.add((a, b))
+    assert (pairs == want).all() and len(of) > 800
+    per_bigram = {name: n for name, n in sizes.items() if name not in ("words", "classes", "lexicon", "bigrams")}
+    assert max(per_bigram.values()) < len(seen) / 10
+
+
 def test_class_model_leaves_no_large_tables(spark):
     """Counts, bigrams, profiles and looked-up words go when they are read for the last time, shuffle files with the queries that wrote them."""
     def kept():
