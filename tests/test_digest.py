@@ -5,8 +5,10 @@ import itertools
 import os
 import random
 import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidings.operators import callouts, counts, grouping, model, prompt, publish, published, render, themes
@@ -179,6 +181,59 @@ def test_grouping_leaves_no_large_tables(spark):
     assert len(shuffled() - files) <= 16
 
 
+def test_grouping_writes_little(spark, monkeypatch):
+    """Unlike titles that share many shingles: all tables together take a few times the titles, not a wide row per shingle and round."""
+    sizes, original = [], grouping.written
+
+    def measured(df, name, *parts):
+        table, path = original(df, name, *parts)
+        sizes.append(sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet")))
+        return table, path
+
+    monkeypatch.setattr(grouping, "written", measured)
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3000)]
+    keys = [" ".join(rnd.choice(words) for _ in range(100)) for _ in range(400)]
+    df = spark.createDataFrame([(f"n{i:04d}", k) for i, k in enumerate(keys)], "node string, key string").coalesce(1)
+    assert grouping.similar_labels(df).count() == 0
+    assert sum(sizes) < 8 * sum(map(len, keys))
+
+
+def test_no_link_is_lost_between_blocks_and_turns(spark, monkeypatch):
+    """Families whose sizes go apart as far as they may, in blocks of a few nodes or marks that are compared in many turns."""
+    rnd = random.Random(8)
+    keys = []
+    for _ in range(12):
+        words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(rnd.randint(3, 30))]
+        keys += [" ".join(words[: len(words) - cut]) for cut in range(0, len(words) // 2)]
+    keys = sorted(set(keys))
+    turns = []
+    ranges = grouping._ranges
+    monkeypatch.setattr(grouping, "_ranges", lambda *a: turns.append(ranges(*a)) or turns[-1])
+    for limits in ({"MARKS": 60, "COPIES": 1}, {"TARGETS": 4, "PROBES": 3, "MEETS": 5, "COPIES": 3}):
+        for name, value in limits.items():
+            monkeypatch.setattr(grouping, name, value)
+        assert labels_of(spark, keys) == brute_groups(keys, 0.3)
+    assert all(n > 1 for _, n in turns) and len(turns) == 2
+
+
+def test_blocks_of_fitting_sizes_meet_once():
+    """Any two nodes whose sizes may go together meet in one cell of their blocks, whatever blocks their bands are in."""
+    sizes = [Row(band=b, least=n, most=n + n // 40, nodes=n % 7 + 1, marks=(n * 37) % 50 + 1) for b, n in enumerate(range(20, 400, 12))]
+    for marks, targets in ((20, 100), (200, 3), (10**6, 10**6)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(grouping, "MARKS", marks)
+            m.setattr(grouping, "TARGETS", targets)
+            of, turns = grouping._ranges(sizes, 0.7)
+        assert turns >= 1 and min(of["splits"]) >= 1
+        blocks = lambda r: range(of["start"][r["band"]], of["start"][r["band"]] + of["splits"][r["band"]])
+        seen = lambda r: range(of["first"][r["band"]], of["last"][r["band"]] + 1)
+        for a in sizes:
+            for b in sizes:
+                if a["most"] >= 0.7 * b["least"] and b["most"] >= 0.7 * a["least"]:
+                    assert set(blocks(b)) <= set(seen(a)) and set(blocks(a)) <= set(seen(b))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"n{i + 1:03d}", f"n{i:03d}") for i in range(40)], "node string, other string")
     got = rows(grouping.components(links), "node", "label")

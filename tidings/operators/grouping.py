@@ -1,18 +1,20 @@
 """Items about the same announcement, by equal or by similar titles, and the primary source of each group.
 
 No group is ever gathered: groups are keys on rows and primaries are plain aggregates. Similar titles are found without
-loss: titles that are similar enough share one of their rarest shingles, so every pair meets in a bucket, and buckets are
-compared until each is one component or holds no similar pair of two components.
+loss: titles that are similar enough share some of their rarest shingles, their marks. Nodes are dealt to blocks of about one
+size, and every two blocks whose sizes may go together are compared once, by the marks that their nodes share.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.text import title_key
@@ -20,12 +22,16 @@ from tidings.session import drop_tables, ship_package, shuffles_dropped, spread,
 
 SHINGLE = 5
 MAX_DISTANCE = 0.3
-# Nodes of a bucket that meet in one block.
-PROBES, TARGETS = 256, 512
+# Nodes of a block, and those of them that look for partners at once.
+TARGETS, PROBES = 32768, 4096
+# Marks of a block, and meetings of nodes that are counted at once.
+MARKS, MEETS = 2_000_000, 1_000_000
+# How often all marks are sent at once; if blocks are so many that it takes more, they are compared in turns.
+COPIES = 6
+# Sizes of nodes in a band differ by this factor at most.
+BAND = 1.05
 # Similar nodes that a node takes along from one round.
 PARTNERS = 8
-# Words of 64 bits in a node's outline.
-OUTLINE = 8
 # Shingles that are put last in the order of all, at most.
 COMMON = 65536
 # Beyond the one shingle that must be shared, one more is asked for per so many of a set.
@@ -78,30 +84,11 @@ def shingles(key: str) -> np.ndarray:
     return np.unique(hashes.view(np.int64))
 
 
-def outline(sh: np.ndarray) -> np.ndarray:
-    """Each shingle sets one of the bits of a few words. Where two outlines differ, one of the sets has a shingle that
-    the other lacks, so many differing bits prove two sets unlike without looking at them."""
-    bits = np.zeros(OUTLINE, np.int64)
-    np.bitwise_or.at(bits, sh % OUTLINE, np.int64(1) << ((sh >> 8) & 63))
-    return bits
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shingles(key) for key in batch.column("key").to_pylist()]
-        sizes, bits = pa.array([len(sh) for sh in found], pa.int64()), _lists([outline(sh) for sh in found])
-        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(found), sizes, bits], ["node", "sh", "n", "bits"])
-
-
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles that stand out in a batch; which ones do matters for speed only."""
     for batch in batches:
-        hashes, counts = np.unique(batch.column("sh").flatten().to_numpy(), return_counts=True)
+        found = [np.zeros(0, np.int64), *map(shingles, batch.column("key").to_pylist())]
+        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
         often = counts > 1
         yield pa.RecordBatch.from_arrays([pa.array(hashes[often]), pa.array(counts[often])], ["s", "c"])
 
@@ -111,140 +98,219 @@ def overlap(similarity: float, n: int) -> int:
     return math.ceil(n * similarity - 1e-9)
 
 
-def _prefixes(common: np.ndarray, similarity: float):
+def _marks(common: np.ndarray, similarity: float):
     """Each set's first shingles in one order for all sets: those that stand out come last, the most common at the end."""
     by_hash = np.argsort(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts = []
-            for sh in batch.column("sh"):
-                sh = sh.values.to_numpy()
+            sizes, firsts = [], [np.zeros(0, np.int32)]
+            for sh in map(shingles, batch.column("key").to_pylist()):
                 at = np.minimum(np.searchsorted(common, sh, sorter=by_hash), max(len(common) - 1, 0))
                 place = np.where(common[by_hash[at]] == sh, by_hash[at] + 1, 0) if len(common) else np.zeros(len(sh))
-                firsts.append(sh[np.argsort(place, kind="stable")[: len(sh) - overlap(similarity, len(sh)) + 1 + len(sh) // SLACK]])
-            nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]))], ["node", "bucket"])
+                first = sh[np.argsort(place, kind="stable")[: len(sh) - overlap(similarity, len(sh)) + 1 + len(sh) // SLACK]]
+                sizes.append(len(sh))
+                firsts.append(first.astype(np.int32))
+            ends = np.cumsum([len(f) for f in firsts])
+            marks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts)))
+            columns = [batch.column("node"), batch.column("key"), pa.array(sizes, pa.int64()), marks]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "key", "n", "marks"])
 
     return run
 
 
-def title_sets(keys: DataFrame) -> DataFrame:
-    """``(node, sh, n, bits)``: each key's shingles, how many they are, and their outline."""
-    ship_package(keys.sparkSession)
-    return spread(keys).mapInArrow(_sets, f"node {keys.schema['node'].dataType.simpleString()}, sh array<long>, n long, bits array<long>")
-
-
-def title_buckets(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, bucket)``: the rarest shingles of each set.
+def title_marks(keys: DataFrame, similarity: float) -> DataFrame:
+    """``(node, key, n, marks)``: how many shingles each key has, and the rarest of them.
 
     Two sets that are similar enough share ``k`` shingles among their first ``n - overlap + k`` in any common order, as what
-    lies behind is too little to make up the overlap. Rare shingles first keeps buckets small: the order ends with at most
+    lies behind is too little to make up the overlap. Rare shingles first lets few nodes meet: the order ends with at most
     ``COMMON`` common ones, all others come before them by their hash. ``k`` is 1 and a tenth of the set, so that long
-    titles must meet in many buckets before they are compared.
+    titles must share many marks before they are compared. Marks are the lower halves of the hashes: shingles that are taken for
+    one another make more nodes meet, and never fewer.
     """
-    often = sets.select("sh").mapInArrow(_common, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    with shuffles_dropped(sets.sparkSession):
+    ship_package(keys.sparkSession)
+    often = spread(keys.select("key")).mapInArrow(_common, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    with shuffles_dropped(keys.sparkSession):
         often = np.array([r["s"] for r in often.orderBy(F.desc("c"), "s").limit(COMMON).collect()][::-1], np.int64)
-    return spread(sets.select("node", "sh")).mapInArrow(_prefixes(often, similarity), f"node {sets.schema['node'].dataType.simpleString()}, bucket long")
+    node = keys.schema["node"].dataType.simpleString()
+    return spread(keys.select("node", "key")).mapInArrow(_marks(often, similarity), f"node {node}, key string, n long, marks array<int>")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``(node, other)`` whose whole sets are similar enough."""
-    a, b = sets.select("node", "sh", "n"), sets.select(F.col("node").alias("other"), F.col("sh").alias("sh2"), F.col("n").alias("n2"))
-    common = F.size(F.array_intersect("sh", "sh2"))
-    return pairs.join(a, "node").join(b, "other").filter(common / (F.col("n") + F.col("n2") - common) >= similarity).select("node", "other")
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(64)(shingles)
+        for batch in batches:
+            kept = []
+            for key, key2 in zip(batch.column("key").to_pylist(), batch.column("key2").to_pylist(), strict=True):
+                a, b = of(key), of(key2)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(common / (len(a) + len(b) - common) >= similarity)
+            yield batch.select(["node", "other"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
 
 
-def _may_be_similar(similarity: float) -> Column:
-    """What sizes and outlines allow: sets this similar differ in at most this share of both sizes together."""
-    a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "bits")} for side in "ab")
-    differing = sum((F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k])) for k in range(OUTLINE)), F.lit(0))
-    sizes = F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9
-    return sizes & (differing <= (1 - similarity) / (1 + similarity) * (a["n"] + b["n"]) + 1e-9)
+def similar_pairs(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(node, other)`` whose whole sets are similar enough. Keys are sent and not sets, which are five times as wide."""
+    a, b = keys.select("node", "key"), keys.select(F.col("node").alias("other"), F.col("key").alias("key2"))
+    both = pairs.join(a, "node").join(b, "other").select("node", "other", "key", "key2")
+    return both.mapInArrow(_similar(similarity), both.select("node", "other").schema)
+
+
+def _ranges(sizes: list[Row], similarity: float) -> tuple[dict[str, list[int]], int]:
+    """For each band of sizes: the blocks its nodes are dealt to (``start``, ``splits``), and the first and last block they may have
+    partners in; and how many turns it takes to compare all. Neighbouring bands share a block while they fit into one."""
+    groups: list[dict] = []
+    for r in sizes:
+        g = groups[-1] if groups else None
+        if not g or g["nodes"] + r["nodes"] > TARGETS or g["marks"] + r["marks"] > MARKS:
+            groups.append(g := {"bands": [], "least": r["least"], "nodes": 0, "marks": 0})
+        g["bands"].append(r["band"])
+        g |= {"most": r["most"], "nodes": g["nodes"] + r["nodes"], "marks": g["marks"] + r["marks"]}
+    blocks = 0
+    for g in groups:
+        g |= {"start": blocks, "splits": max(math.ceil(g["nodes"] / TARGETS), math.ceil(g["marks"] / MARKS))}
+        blocks += g["splits"]
+    found = {name: [0] * (groups[-1]["bands"][-1] + 1 if groups else 1) for name in ("start", "splits", "first", "last")}
+    sent = 0
+    for g in groups:
+        near = [o for o in groups if o["most"] >= similarity * g["least"] - 1e-9 and g["most"] >= similarity * o["least"] - 1e-9]
+        g |= {"first": near[0]["start"], "last": near[-1]["start"] + near[-1]["splits"] - 1}
+        sent += g["marks"] * (g["last"] - g["first"] + 1)
+        for band in g["bands"]:
+            for name, values in found.items():
+                values[band] = g[name]
+    return found, max(1, math.ceil(sent / COPIES / max(1, sum(g["marks"] for g in groups))))
+
+
+def _meet(similarity: float, probes: int, meets: int):
+    """The pairs of two blocks, or of one with itself, that share enough marks and are of fitting sizes and different labels."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        role, n = cell.column("role").to_numpy(), cell.column("n").to_numpy()
+        label = pc.dictionary_encode(cell.column("label").combine_chunks()).indices.to_numpy()
+        width = pc.list_value_length(cell.column("marks")).to_numpy()
+        owner = np.repeat(np.arange(len(n)), width)
+        # A mark in front of a label: those who share a mark lie together, and among them those of one label.
+        full = (pc.list_flatten(cell.column("marks")).to_numpy().astype(np.int64) << 32) | label[owner].astype(np.int64)
+        asking, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        held = np.flatnonzero((role & 2)[owner])
+        held = held[np.argsort(full[held])]
+        there, whose = full[held], np.searchsorted(asked, owner[held])
+        own = np.flatnonzero((role & 1)[owner])
+        order = np.argsort(full[own])
+        sought = full[own][order]
+        mark = sought >> 32 << 32
+        low, own_low, own_high, high = np.empty((4, len(own)), np.int64)
+        low[order], high[order] = np.searchsorted(there, mark), np.searchsorted(there, mark + (1 << 32))
+        own_low[order], own_high[order] = np.searchsorted(there, sought), np.searchsorted(there, sought, "right")
+        until = np.cumsum(width[asking])
+        met = np.concatenate([[0], np.cumsum(own_low - low + high - own_high)])[until]
+        found, begin = [np.zeros((2, 0), np.int64)], 0
+        while begin < len(asking):
+            done = met[begin - 1] if begin else 0
+            end = min(begin + probes, max(begin + 1, int(np.searchsorted(met, done + meets, "right"))))
+            part = slice(until[begin - 1] if begin else 0, until[end - 1])
+            who = np.repeat(np.arange(end - begin), width[asking[begin:end]])
+            starts, lengths = np.concatenate([low[part], own_high[part]]), np.concatenate([own_low[part] - low[part], high[part] - own_high[part]])
+            at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            pair = np.repeat(np.concatenate([who, who]), lengths) * len(asked) + whose[at]
+            if len(pair) * 8 > (end - begin) * len(asked):
+                count = np.bincount(pair, minlength=(end - begin) * len(asked)).reshape(end - begin, -1)
+                least = 1 + np.ceil(similarity * n[asking[begin:end]] - 1e-9).astype(np.int64) // SLACK
+                a, b = np.nonzero(count >= np.minimum(least, 1 + n[asking[begin:end]] // SLACK)[:, None])
+                count = count[a, b]
+            else:
+                pair, count = np.unique(pair, return_counts=True)
+                a, b = np.divmod(pair, max(1, len(asked)))
+            a, b = asking[begin + a], asked[b]
+            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            # All that a node shares with one whose marks reach further lies among the marks of both, or behind its own marks.
+            behind = np.maximum(n[a] - width[a], n[b] - width[b])
+            least = np.maximum(1 + small // SLACK, np.ceil(similarity / (1 + similarity) * (small + large) - 1e-9) - behind)
+            # In a block with itself two nodes meet twice and are counted once.
+            good = (count >= least) & (small >= similarity * large - 1e-9) & ((role[a] != 3) | (a < b))
+            found.append(np.stack([a[good], b[good]]))
+            begin = end
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"node": cell.column("node").take(pa.array(a)), "other": cell.column("node").take(pa.array(b))})
+
+    return run
 
 
-def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, other, place)``: for each node the first similar nodes of other components that share a bucket with it, one
-    more than ``PARTNERS`` at most.
+def open_links(marks: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """``(node, other)``: every pair of similar nodes in different components, once, as a table with its path.
 
-    Only buckets of several components are looked at, and in them the nodes outside the largest one beside all others.
-    They are dealt to blocks, which are joined by equality, so no task holds a bucket. Pairs that meet in enough buckets
-    are compared as whole sets. If nothing comes out, every pair of every bucket is connected or unlike. The links are a table; what it was
-    made from is deleted.
+    Nodes lie in blocks by size, so that a node is sent only to blocks of sizes that its partners may have, and a block is bounded
+    by its marks. What two blocks share is counted where they meet: nodes of one component don't meet, and only pairs that share
+    enough marks come out and are compared as whole sets. What is sent at once is bounded by ``COPIES``.
     """
-    spark = members.sparkSession
-    named, named_path = written(
-        members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "label"), "labelled"
-    )
-    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    split = (
-        sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("largest"))
-        .filter("most < all").select(
-            "bucket", "largest", F.ceil((F.col("all") - F.col("most")) / PROBES).alias("probe_blocks"), F.ceil(F.col("all") / TARGETS).alias("target_blocks")
+    spark = marks.sparkSession
+    labelled = marks.select("node", "n", "marks").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named, named_path = written(labelled.withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int")), "labelled")
+    with shuffles_dropped(spark):
+        sizes = named.groupBy("band").agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("nodes"), F.sum(F.size("marks")).alias("marks")
         )
-    )
-    inside = named.join(split, "bucket").join(sets.select("node", "n", "bits"), "node").withColumn("probe", F.col("label") != F.col("largest"))
-    inside, inside_path = written(inside, "unresolved")
+        of, turns = _ranges(sorted(sizes.collect(), key=lambda r: r["band"]), similarity)
+    of = {name: F.get(F.array(*map(F.lit, values)), F.col("band")).cast("long") for name, values in of.items()}
+    own, other = F.col("own"), F.col("other")
+    dealt = named.withColumn("own", of["start"] + F.pmod(F.xxhash64("node"), of["splits"]))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(of["first"], of["last"])))
+    node, near, paths = marks.schema["node"].dataType.simpleString(), [], []
+    for turn in range(turns):
+        cells = dealt.filter(F.pmod(own + other, F.lit(turns)) == turn).select(
+            F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "node", "label", "n", "marks",
+            (F.when(own <= other, 1).otherwise(0) + F.when(own >= other, 2).otherwise(0)).alias("role"),
+        )
+        pairs, path = written(cells.groupBy("i", "j").applyInArrow(_meet(similarity, PROBES, MEETS), f"node {node}, other {node}"), "near")
+        near.append(pairs)
+        paths.append(path)
     drop_tables(spark, named_path)
-    # Each row goes to its probe block beside all target blocks and to its target block beside all probe blocks, once to the cell of
-    # both, so the join's two sides are one shuffle.
-    i, j = (F.pmod(F.xxhash64("node"), blocks) for blocks in ("probe_blocks", "target_blocks"))
-    along = lambda blocks: F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
-    as_probe = F.when(F.col("probe"), F.transform(along("target_blocks"), lambda x: F.struct(i.alias("i"), x.alias("j"))))
-    as_target = F.transform(along("probe_blocks"), lambda x: F.struct(x.alias("i"), j.alias("j")))
-    cells = inside.withColumn("cell", F.explode(F.array_union(F.coalesce(as_probe, F.array().cast("array<struct<i:bigint,j:bigint>>")), as_target)))
-    dealt = cells.select(
-        "bucket", "node", "label", "n", "bits", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"),
-        (F.when(F.col("probe") & (F.col("cell.i") == i), 1).otherwise(0) + F.when(F.col("probe"), 2).otherwise(0)
-         + F.when(F.col("cell.j") == j, 4).otherwise(0)).cast("byte").alias("role"),
-    ).repartition("bucket", "i", "j")
-    own = lambda side, bit: F.col(f"{side}.role").cast("int").bitwiseAND(bit)
-    # Two probes meet twice in a bucket and are counted once. The roles are tested together, as a test of one side would make two shuffles.
-    once = (own("b", 2) == 0) | (F.col("a.node") < F.col("b.node"))
-    roles = own("a", 1) * own("b", 4) > 0
-    met = dealt.alias("a").join(dealt.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "i", "j")])
-    met = met.filter(roles & (F.col("a.label") != F.col("b.label")) & once & _may_be_similar(similarity))
-    near = met.groupBy(
-        F.least("a.node", "b.node").alias("node"), F.greatest("a.node", "b.node").alias("other"), F.least("a.n", "b.n").alias("n")
-    ).agg(F.count("*").alias("met"))
-    near, near_path = written(near.filter(f"met >= 1 + n div {SLACK}").select("node", "other"), "near")
-    drop_tables(spark, inside_path)
-    found, found_path = written(similar_pairs(near, sets, similarity), "found")
-    drop_tables(spark, near_path)
+    found, found_path = written(similar_pairs(reduce(DataFrame.unionByName, near), marks, similarity), "found")
+    drop_tables(spark, *paths)
+    return found, found_path
+
+
+def next_links(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(node, other, place)``: for each node the first of its partners that are in other components, one more than ``PARTNERS`` at most."""
     both = found.unionByName(found.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    named = both.join(labels, "node", "left").join(labels.select(F.col("node").alias("other"), F.col("label").alias("label2")), "other", "left")
+    apart = named.filter(F.coalesce("label", "node") != F.coalesce("label2", "other")).select("node", "other")
     place = F.row_number().over(Window.partitionBy("node").orderBy("other"))
-    links, _ = written(both.withColumn("place", place).filter(F.col("place") <= PARTNERS + 1), "links")
-    drop_tables(spark, found_path)
-    return links
+    return written(apart.withColumn("place", place).filter(F.col("place") <= PARTNERS + 1), "links")[0]
 
 
 def similar_labels(keys: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """``(node, label)`` for the keys that are linked to others: keys of Jaccard distance up to ``max_distance`` are linked,
     and a label is the smallest node that a node is connected with.
 
-    First every node is compared with one node, the one that is smallest in most of its buckets, which settles hot families.
-    Then nodes look for partners in other components. If none has more of them than are taken along, all links are known;
-    else the next round looks again, with at most half of the components that had a partner. Sets and members are deleted in the end.
+    First every node is compared with one node, the one that is smallest among those of most of its marks, which settles hot families.
+    Then all links between what is still apart are found. If no node has more of them than are taken along, all are known;
+    else the next round takes some again, with at most half of the components that had a partner. Marks and links are deleted in the end.
     """
     spark, similarity = keys.sparkSession, 1 - max_distance
-    sets, sets_path = written(title_sets(keys), "sets")
-    each, each_path = written(title_buckets(sets, similarity), "buckets")
-    leaders = each.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1")
-    members, members_path = written(each.join(leaders.drop("c"), "bucket"), "members")
-    drop_tables(spark, each_path)
-    led = members.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
-    first = led.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("other"))
-    labels = components(written(similar_pairs(first, sets, similarity), "links")[0])
-    members = members.drop("leader")
+    marks, marks_path = written(title_marks(keys, similarity), "marks")
+    each = marks.select("node", F.explode("marks").alias("mark"))
+    leaders = each.groupBy("mark").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    leaders, leaders_path = written(leaders, "leaders")
+    led = each.join(leaders, "mark").filter("node <> leader").select("node", "leader").repartition("node")
+    led = led.groupBy("node", "leader").agg(F.count("*").alias("c"))
+    first, first_path = written(led.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("other")), "first")
+    drop_tables(spark, leaders_path)
+    labels = components(written(similar_pairs(first, marks, similarity), "links")[0])
+    drop_tables(spark, first_path)
+    found, found_path = open_links(marks, labels, similarity)
+    drop_tables(spark, marks_path)
     while True:
-        more = open_links(members, labels, sets, similarity)
-        most = more.agg(F.max("place")).first()[0]
+        more = next_links(found, labels)
+        with shuffles_dropped(spark):
+            most = more.agg(F.max("place")).first()[0]
         if most is not None:
             known = labels.filter("node <> label").select("node", F.col("label").alias("other"))
             labels = components(known.unionByName(more.filter(F.col("place") <= PARTNERS).drop("place")))
         if most is None or most <= PARTNERS:
-            drop_tables(spark, sets_path, members_path)
+            drop_tables(spark, found_path)
             return labels
 
 
